@@ -103,6 +103,30 @@ def _group(line: Column, kind: Column, group: int) -> Column:
     )
 
 
+def within(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` evaluated once, for use inside expressions."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def candidate_field(c: ColumnOrName) -> Column:
+    """Expression form of ``with_candidate`` (kind, label, value), for lines held in an array."""
+
+    def labelled(line: Column, kind: Column, label: Column) -> Column:
+        tail = F.when(kind == "value", F.regexp_extract(line, java(K.LABEL_VALUE), 5)).otherwise("")
+        keep = (
+            (label != "")
+            & ~F.lower(label).isin(K.STOPWORD_LABELS)
+            & (word_count(squeeze(label)) <= K.LABEL_MAX_WORDS)
+            & is_label(label)
+        )
+        return F.when(keep, F.struct(kind.alias("kind"), label.alias("label"), strip(tail).alias("value")))
+
+    def kinded(line: Column, kind: Column) -> Column:
+        return F.when(kind.isNotNull(), within(strip(_group(line, kind, 3)), lambda label: labelled(line, kind, label)))
+
+    return within(strip(F.coalesce(col(c), F.lit(""))), lambda line: within(_kind(line), lambda kind: kinded(line, kind)))
+
+
 def let(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns behind a one-row generator.
 

@@ -1,3 +1,3 @@
 """Import every query module so that it registers itself."""
 
-from . import scalar_queries  # noqa: F401
+from . import scalar_queries, page_queries, match_queries  # noqa: F401
