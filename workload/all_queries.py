@@ -1,3 +1,5 @@
 """Import every query module so that it registers itself."""
 
-from . import scalar_queries, page_queries, match_queries  # noqa: F401
+from . import (  # noqa: F401
+    scalar_queries, page_queries, match_queries, project_queries, extract_queries, verify_queries,
+)

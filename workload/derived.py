@@ -97,7 +97,7 @@ DOCUMENT_COLUMNS = [
     ("id", "o_orderkey"),
     ("project_id", "o_custkey"),
     ("original_filename", "CASE WHEN o_orderkey % 11 = 0 THEN 'notes' ELSE 'bid_set-' || cast(o_orderkey as string) || '.v' || cast(o_orderkey % 3 as string) END || CASE o_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN '.PDF' WHEN 2 THEN '.exe' WHEN 3 THEN '.docx' WHEN 4 THEN '.png' WHEN 5 THEN '.tiff' WHEN 6 THEN '.doc' ELSE '.pdf' END"),
-    ("file_size", "cast(o_totalprice * 1200 as bigint)"),
+    ("file_size", "cast(floor(o_totalprice * 1200) as bigint)"),
     ("page_count", "cast(o_orderkey % 7 as int)"),
     ("upload_status", "CASE o_orderstatus WHEN 'F' THEN 'processed' WHEN 'O' THEN 'uploaded' ELSE 'failed' END"),
     ("created_at", "o_orderdate"),
