@@ -81,7 +81,11 @@ CELL_ROWS = [
     (6, 2, 0, "'#' || cast(p_size as string) || '-' || cast(p_partkey as string)", 2, "NULL", "NULL", "NULL"),
     (6, 2, 1, "'Serial no'", 1, "NULL", "NULL", "NULL"),
     (6, 3, 0, "'Approved by:'", 1, "NULL", "NULL", "NULL"),
-    (6, 3, 1, "''", 1, "NULL", "NULL", "NULL"),
+    (6, 3, 1, "CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END", 1, "NULL", "NULL", "NULL"),
+    (6, 4, 0, "'Checked by:'", 1, "NULL", "NULL", "NULL"),
+    (6, 4, 1, "'Dated:'", 1, "NULL", "NULL", "NULL"),
+    (6, 4, 2, "'Place:'", 1, "NULL", "NULL", "NULL"),
+    (6, 4, 3, "p_brand", 1, "NULL", "NULL", "NULL"),
 ]
 
 # --- relational core ------------------------------------------------------------------------------
@@ -250,7 +254,7 @@ def with_ctes(uses: list[str], sql: str) -> str:
     ctes = [f"{n} AS ({CTES[n][1]})" for n in order]
     body = sql.strip()
     if body[:5].upper() == "WITH ":
-        return "WITH " + ", ".join(ctes + [body[5:]])
+        return "WITH RECURSIVE " + ", ".join(ctes + [body[5:]])
     return ("WITH " + ", ".join(ctes) + " " if ctes else "") + body
 
 
