@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
+from .cut import cut
 from .prefix import running
 from .structure import cover_titles
 from .tables import form_cells, number_tables, table_structure
@@ -44,6 +45,7 @@ def register_fields(candidates: DataFrame, order: list[str]) -> DataFrame:
     first = df.groupBy("doc_id", "label_key").agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("r")).select("doc_id", "label_key", "r.*")
     first = first.withColumn("base", F.coalesce("explicit_id", X.slug("field_label")))
     first = first.withColumn("root", F.regexp_replace("base", r"(_\d+)+$", "")).withColumn("ord", F.struct(*order))
+    first = cut(first)
     per_base = first.groupBy("doc_id", "root", "base").agg(F.count("*").alias("n"))
     mixed = per_base.groupBy("doc_id", "root").agg(F.count("*").alias("bases"), F.max("n").alias("most")).where("bases > 1 and most > 1")
     tagged = first.join(mixed.select("doc_id", "root", F.lit(True).alias("_mixed")), ["doc_id", "root"], "left")
@@ -64,7 +66,7 @@ def register_fields(candidates: DataFrame, order: list[str]) -> DataFrame:
 
 def _marked(paged: DataFrame) -> DataFrame:
     """Blocks with heading and cover marks, section number, and the page reading has reached."""
-    covers = cover_titles(paged).select("doc_id", "block_seq", F.col("label").alias("cover_label"))
+    covers = cut(cover_titles(paged).select("doc_id", "block_seq", F.col("label").alias("cover_label")))
     df = paged.join(covers, ["doc_id", "block_seq"], "left").withColumn("_t", X.strip("text"))
     para = F.col("block_type") != "table"
     df = X.let(df, is_heading=para & X.is_heading("style", "text"))
@@ -75,8 +77,8 @@ def _marked(paged: DataFrame) -> DataFrame:
         "reached": ("last", F.when(filled | ~para, F.col("page"))),
         "paragraph_no": ("sum", para.cast("int")),
         "_before": ("lag", F.col("is_heading") & filled)})
-    return df.withColumns({"reached": F.coalesce("reached", F.lit(1)), "section_no": F.col("section_no").cast("int"), "starts": starts,
-                           "paragraph_index": F.when(para, (F.col("paragraph_no") - 1).cast("int"))}).drop("paragraph_no")
+    return cut(df.withColumns({"reached": F.coalesce("reached", F.lit(1)), "section_no": F.col("section_no").cast("int"), "starts": starts,
+                           "paragraph_index": F.when(para, (F.col("paragraph_no") - 1).cast("int"))}).drop("paragraph_no"))
 
 
 def field_candidates(marked: DataFrame, cells: DataFrame, tables: DataFrame) -> DataFrame:
@@ -160,6 +162,7 @@ def page_structure(paged: DataFrame, cells: DataFrame, totals: DataFrame, header
     text layer, preferred over the rebuilt text).
     """
     key = ["doc_id", "page_number"]
+    paged = cut(paged)
     blocks = paged.where("block_type <> 'table'").withColumn("_t", X.strip("text")).where("_t <> ''").withColumnRenamed("page", "page_number")
     lines = X.with_candidate(blocks, "_t", "_c")
     lines = X.let(lines, _h=X.is_heading("style", "text"))

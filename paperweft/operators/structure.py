@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed as K, text as X
+from .cut import cut
 from .prefix import running
 
 IS_TABLE = "block_type = 'table'"
@@ -88,8 +89,8 @@ def block_pages(blocks: DataFrame, boundaries: DataFrame, stats: DataFrame) -> D
 
 
 def estimate_pages(blocks: DataFrame, totals: DataFrame | None = None) -> DataFrame:
-    stats = document_stats(blocks, totals)
-    return block_pages(blocks, page_boundaries(blocks, stats), stats)
+    stats = cut(document_stats(blocks, totals))
+    return block_pages(blocks, cut(page_boundaries(blocks, stats)), stats)
 
 
 def _locate(needles: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as K, text as X
+from .cut import cut
 from .prefix import running
 
 
@@ -26,15 +27,17 @@ def _grid_column(cells: DataFrame) -> DataFrame:
 
 
 def merge_vertical(cells: DataFrame) -> DataFrame:
-    """Drop continuation cells of vertical merges; their count goes to the opening cell's rowspan."""
-    df = _grid_column(cells)
-    goes_on = F.col("vmerge").isNotNull() & (F.col("vmerge") != "restart")
-    df = running(df.withColumn("_on", goes_on), [*TABLE, "col"], "row_no", {
-        "_owner": ("last", F.when(~F.col("_on"), F.col("row_no"))),
-        "_open": ("last", F.when(~F.col("_on"), F.col("vmerge").isNotNull()))})
-    taken = df.where("_on and _open").groupBy(*TABLE, "col", F.col("_owner").alias("row_no")).agg(F.count("*").alias("_more"))
-    return df.where("not _on").join(taken, [*TABLE, "col", "row_no"], "left").withColumn(
-        "rowspan", (1 + F.coalesce("_more", F.lit(0))).cast("int")).drop("_on", "_owner", "_open", "_more")
+    """Drop continuation cells of vertical merges; their count goes to the opening cell's rowspan.
+
+    Windows run over one column of one table.
+    """
+    down = Window.partitionBy(*TABLE, "col").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on = F.coalesce(F.col("vmerge") != "restart", F.lit(False))
+    df = _grid_column(cells).withColumn("_on", on).withColumns({
+        "_owner": F.last(F.when(~F.col("_on"), F.col("row_no")), ignorenulls=True).over(down),
+        "_open": F.last(F.when(~F.col("_on"), F.col("vmerge").isNotNull()), ignorenulls=True).over(down)})
+    more = F.count_if(F.col("_on") & F.col("_open")).over(Window.partitionBy(*TABLE, "col", "_owner"))
+    return df.withColumn("rowspan", (1 + more).cast("int")).where("not _on").drop("_on", "_owner", "_open")
 
 
 def table_structure(cells: DataFrame, grid: DataFrame | None = None) -> DataFrame:
@@ -59,17 +62,15 @@ def table_structure(cells: DataFrame, grid: DataFrame | None = None) -> DataFram
 
 def collapse_merges(cells: DataFrame) -> DataFrame:
     """Join empty cells under a hidden border to the cell above (after vertical merges)."""
-    merged = _grid_column(merge_vertical(cells).drop("col"))
-    chain = merged.where("colspan = 1")
-    hidden = F.lit("none")
-    chain = running(chain, [*TABLE, "col"], "row_no", {"_above": ("lag", F.coalesce("border_bottom", F.lit("")))})
-    gone = (F.col("_above") == hidden) & (F.coalesce("border_top", F.lit("")) == hidden) & (F.col("text") == "")
-    chain = chain.withColumn("_gone", F.coalesce(gone, F.lit(False)))
-    chain = running(chain, [*TABLE, "col"], "row_no", {"_anchor": ("last", F.when(~F.col("_gone"), F.col("row_no")))})
-    more = chain.where("_gone").groupBy(*TABLE, "col", F.col("_anchor").alias("row_no")).agg(F.count("*").alias("_more"))
-    kept = chain.where("not _gone").drop("_above", "_gone", "_anchor").join(more, [*TABLE, "col", "row_no"], "left").withColumn(
-        "rowspan", (F.col("rowspan") + F.coalesce("_more", F.lit(0))).cast("int")).drop("_more")
-    return kept.unionByName(merged.where("colspan <> 1").select(*kept.columns))
+    df = _grid_column(merge_vertical(cells).drop("col")).withColumn("_one", F.col("colspan") == 1)
+    column = Window.partitionBy(*TABLE, "col", "_one").orderBy("row_no")
+    above = F.lag(F.coalesce("border_bottom", F.lit(""))).over(column)
+    gone = F.col("_one") & (F.col("text") == "") & (F.coalesce("border_top", F.lit("")) == "none") & (F.coalesce("_above", F.lit("")) == "none")
+    df = df.withColumn("_above", above).withColumn("_gone", gone)
+    upto = column.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_anchor", F.last(F.when(~F.col("_gone"), F.col("row_no")), ignorenulls=True).over(upto))
+    more = F.count_if("_gone").over(Window.partitionBy(*TABLE, "col", "_one", "_anchor"))
+    return df.withColumn("rowspan", (F.col("rowspan") + more).cast("int")).where("not _gone").drop("_one", "_above", "_gone", "_anchor")
 
 
 def cell_field_id(label: Column, table: Column, row: Column, cell: Column) -> Column:
@@ -161,28 +162,27 @@ def form_cells(cells: DataFrame) -> DataFrame:
     rows = rows.select(*TABLE, "row_no", "_t", "_m", "_took", "_second",
                        F.transform("_used", lambda u, i: u | F.coalesce(i == F.col("_second.cell_no"), F.lit(False))).alias("_used"))
 
-    cell = lambda i, label, value: F.struct(i.cast("int").alias("cell_no"), label.alias("label"), value.alias("value"))
+    rows = cut(rows)
+    cell = lambda phase, i, label, value: F.struct(
+        F.lit(phase).alias("phase"), i.cast("int").alias("cell_no"), label.alias("label"), value.alias("value"))
     keep = lambda a: F.filter(a, lambda x: x.isNotNull())
-    zero = keep(F.transform("_m", lambda x, i: F.when(x["value"].isNotNull(), cell(i, x["label"], x["value"]))))
-    one = keep(F.transform("_m", lambda x, i: F.when(F.get("_took", i), cell(i, F.get("_m", i - 1)["label"], x["text"]))))
-    out = lambda phase, a: rows.select(*TABLE, F.lit(phase).alias("phase"), "row_no", F.inline(a))
-    found = out(0, zero).unionByName(out(1, one)).unionByName(
-        rows.where("_second is not null").select(*TABLE, F.lit(2).alias("phase"), "row_no", F.col("_second.cell_no").cast("int").alias("cell_no"), "_second.label", "_second.value"))
+    zero = keep(F.transform("_m", lambda x, i: F.when(x["value"].isNotNull(), cell(0, i, x["label"], x["value"]))))
+    one = keep(F.transform("_m", lambda x, i: F.when(F.get("_took", i), cell(1, i, F.get("_m", i - 1)["label"], x["text"]))))
+    two = keep(F.array(F.when(F.col("_second").isNotNull(), cell(2, F.col("_second.cell_no"), F.col("_second.label"), F.col("_second.value")))))
 
     # phase 3: tables under a header row
-    top = rows.where("row_no = 0")
     full = F.filter("_t", lambda x: x != "")
     is_header = (
         (F.size(full) >= 3)
         & F.forall(full, lambda x: (F.length(x) <= 24) & (X.word_count(X.squeeze(x)) <= 4) & ~X.is_code(x))
         & F.forall("_m", lambda x: ~F.contains(x["text"], F.lit(":")) & ~(x["value"].isNull() & x["pending"]))
     )
-    heads = top.where(is_header).select(*TABLE, F.col("_t").alias("_h"))
-    named = F.transform("_t", lambda x, i: F.when(
-        ~F.get("_used", i) & (F.coalesce(F.get("_h", i), F.lit("")) != ""),
-        cell(i, F.concat(F.get("_h", i), F.lit(" (row "), F.col("row_no").cast("string"), F.lit(")")), x)))
-    below = rows.where("row_no > 0").join(heads, TABLE).select(*TABLE, F.lit(3).alias("phase"), "row_no", F.inline(keep(named)))
-    return found.unionByName(below)
+    heads = rows.where("row_no = 0").where(is_header).select(*TABLE, F.col("_t").alias("_h"))
+    rows = rows.join(heads, TABLE, "left")
+    named = keep(F.transform("_t", lambda x, i: F.when(
+        (F.col("row_no") > 0) & ~F.get("_used", i) & (F.coalesce(F.get("_h", i), F.lit("")) != ""),
+        cell(3, i, F.concat(F.get("_h", i), F.lit(" (row "), F.col("row_no").cast("string"), F.lit(")")), x))))
+    return rows.select(*TABLE, "row_no", F.inline(F.concat(zero, one, two, named)))
 
 
 def header_fields(cells: DataFrame) -> DataFrame:
