@@ -49,13 +49,13 @@ def substring_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope:
 
     # three words or more: rarest inner word, provided that all inner words occur
     inner = wanted.where(F.size("_w") >= 3).select(
-        *scope, "_needle", F.explode(F.array_distinct(F.slice("_w", 2, F.size("_w") - 2))).alias("_word"))
+        *scope, "_needle", F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))))).alias("_word"))
     inner = inner.join(vocabulary, scope + ["_word"], "left").groupBy(*scope, "_needle").agg(
         F.min_by("_word", F.coalesce("_df", F.lit(0))).alias("_word"), F.min(F.coalesce("_df", F.lit(0))).alias("_low"))
     inner = inner.where("_low > 0").select(*scope, "_word", "_needle", F.lit(False).alias("_exact"))
 
     # one or two words: look the longer word up in the vocabulary
-    first, last = F.element_at("_w", 1), F.element_at("_w", -1)
+    first, last = F.get("_w", F.lit(0)), F.get("_w", F.size("_w") - 1)
     mode = F.when(F.size("_w") == 1, "in").when(F.length(first) >= F.length(last), "end").otherwise("start")
     short = wanted.where(F.size("_w") <= 2).withColumn("_mode", mode).withColumn(
         "_piece", F.when(F.col("_mode") == "start", last).otherwise(first))
