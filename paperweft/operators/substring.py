@@ -16,7 +16,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .cut import cut
+
 _GRAM = 4
+BROADCAST_ROWS = 500_000
+BROADCAST_CHARS = 32_000_000
+
+
+def fits_broadcast(lookup: DataFrame) -> bool:
+    """Size check on materialized rows; beyond it the join is shuffled."""
+    n, chars = lookup.agg(F.count("*"), F.coalesce(F.sum(F.length("_word") + F.coalesce(F.length("_needle"), F.lit(0))), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and chars <= BROADCAST_CHARS
 
 
 def _grams(word, sizes):
@@ -42,17 +52,18 @@ def substring_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope:
     texts = texts.select(*ident, F.col(text).alias("_text"))
     wanted = needles.select(*scope, F.col(needle).alias("_needle")).where("_needle <> ''").distinct()
     pieces = F.filter(F.split("_needle", " "), lambda w: w != "")
-    wanted = wanted.withColumn("_w", pieces).where(F.size("_w") > 0)
+    # numbered once (the checkpoint fixes the numbers), so that the many raw hits carry a number, not a text
+    wanted = cut(wanted.withColumn("_w", pieces).where(F.size("_w") > 0).withColumn("_id", F.monotonically_increasing_id()))
 
     words = texts.select(*ident, F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")).where("_word <> ''")
-    vocabulary = words.groupBy(*scope, "_word").agg(F.count("*").alias("_df"))
+    vocabulary = cut(words.groupBy(*scope, "_word").agg(F.count("*").alias("_df")))
 
     # three words or more: rarest inner word, provided that all inner words occur
     inner = wanted.where(F.size("_w") >= 3).select(
-        *scope, "_needle", F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))))).alias("_word"))
-    inner = inner.join(vocabulary, scope + ["_word"], "left").groupBy(*scope, "_needle").agg(
+        *scope, "_id", "_needle", F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))))).alias("_word"))
+    inner = inner.join(vocabulary, scope + ["_word"], "left").groupBy(*scope, "_id", "_needle").agg(
         F.min_by("_word", F.coalesce("_df", F.lit(0))).alias("_word"), F.min(F.coalesce("_df", F.lit(0))).alias("_low"))
-    inner = inner.where("_low > 0").select(*scope, "_word", "_needle", F.lit(False).alias("_exact"))
+    inner = inner.where("_low > 0").select(*scope, "_word", "_id", "_needle")
 
     # one or two words: look the longer word up in the vocabulary
     first, last = F.get("_w", F.lit(0)), F.get("_w", F.size("_w") - 1)
@@ -69,9 +80,18 @@ def substring_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope:
         .otherwise(F.endswith("_word", F.col("_piece")))
     )
     short = grams.join(short, scope + ["_gram"]).where(fits).select(
-        *scope, "_word", "_needle", (F.col("_mode") == "in").alias("_exact"))
-
-    pairs = words.join(inner.unionByName(short), scope + ["_word"]).select(*ident, "_needle", "_exact").distinct()
-    sure = pairs.where("_exact").drop("_exact")
-    doubtful = pairs.where("not _exact").join(texts, ident).where(F.contains("_text", F.col("_needle")))
-    return sure.unionByName(doubtful.select(*ident, "_needle")).withColumnRenamed("_needle", needle)
+        *scope, "_word", "_id", F.when(F.col("_mode") != "in", F.col("_needle")).alias("_needle"))
+
+    # _needle is NULL where the word decides (one-word needles)
+    lookup = cut(inner.unionByName(short))
+    holds = F.col("_needle").isNull() | F.contains("_text", F.col("_needle"))
+    if fits_broadcast(lookup):
+        # the text rides along inside the generated code: nothing but hits is shuffled
+        with_text = texts.select(*ident, "_text", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
+        found = with_text.join(F.broadcast(lookup), scope + ["_word"]).where(holds).select(*ident, "_id").distinct()
+    else:
+        pairs = words.join(lookup, scope + ["_word"]).select(*ident, "_id", "_needle").distinct()
+        sure = pairs.where("_needle is null").select(*ident, "_id")
+        doubtful = pairs.where("_needle is not null").join(texts, ident).where(holds).select(*ident, "_id")
+        found = sure.unionByName(doubtful).distinct()
+    return found.join(wanted.select("_id", F.col("_needle").alias(needle)), "_id").drop("_id")

@@ -27,13 +27,15 @@ def test_running_equals_window_for_any_segment(spark):
         assert {(r.k, r.i): (r.s, r.m, r.l, r.g) for r in got.collect()} == want
 
 
-def test_substring_join_equals_brute_force(spark):
+def test_substring_join_equals_brute_force(spark, monkeypatch):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6)))
     texts = [(i, " ".join(word() for _ in range(rnd.randint(0, 12)))) for i in range(60)]
     needles = sorted({" ".join(word() for _ in range(rnd.randint(1, 4))) for _ in range(80)} | {"a", "ab", "a b"})
-    hits = substring.substring_hits(spark.createDataFrame(texts, "id int, text string"), ["id"], spark.createDataFrame([(n,) for n in needles], "needle string"))
-    assert rows(hits, "id", "needle") == sorted((i, n) for i, t in texts for n in needles if n in t)
+    for limit in (500_000, 0):  # broadcast and shuffled look-up
+        monkeypatch.setattr(substring, "BROADCAST_ROWS", limit)
+        hits = substring.substring_hits(spark.createDataFrame(texts, "id int, text string"), ["id"], spark.createDataFrame([(n,) for n in needles], "needle string"))
+        assert rows(hits, "id", "needle") == sorted((i, n) for i, t in texts for n in needles if n in t)
 
 
 def test_detection_branches(spark):
