@@ -59,11 +59,9 @@ def detection_counts(documents: DataFrame, detected: DataFrame, templates: DataF
     per_doc = detected.groupBy("doc_id").agg(
         F.count_if(F.col("match_status") == "matched").alias("matched"),
         F.count_if(F.col("match_status") == "review").alias("review"))
-    total = templates.agg(F.countDistinct("template_id").alias("_total"))
+    total = F.lit(templates.select("template_id").distinct().count())
     counted = documents.select("doc_id").distinct().join(per_doc, "doc_id", "left").na.fill(0, ["matched", "review"])
-    # one row on the right: a scalar
-    return counted.join(F.broadcast(total)).select(
-        "doc_id", "matched", "review", (F.col("_total") - F.col("matched") - F.col("review")).alias("not_found"))
+    return counted.select("doc_id", "matched", "review", (total - F.col("matched") - F.col("review")).alias("not_found"))
 
 
 def confirmed(detected: DataFrame) -> DataFrame:
