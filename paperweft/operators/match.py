@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed as K, html as H, text as X
-from .pages import first_filled, html_fields
+from .pages import html_fields
 from .substring import substring_hits
 
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .parts import nest
 from .structure import page_count
-from ..functions import text as X
 
 
 def _json_string(c: Column) -> Column:

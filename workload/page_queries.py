@@ -6,7 +6,6 @@ from paperweft.functions import fixed as K
 from paperweft.operators import pages as P
 
 from . import oracle as O
-from .derived import SPEC_BASE
 from .registry import query
 
 q = O.q

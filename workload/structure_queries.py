@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from paperweft.operators import pages as P, schema as S, signature as G, structure as D, tables as T
 
 from . import oracle as O
-from .derived import SPEC_BASE
 from .registry import query
 
 q = O.q

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from paperweft.operators import verify as V
 
-from . import oracle as O
 from .extract_queries import with_verification
 from .registry import query
 
