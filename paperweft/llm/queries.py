@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, digests, language, mixing
+from . import decontaminate, digests, jaccard, language, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(m["items"], ",").cast("binary"), 256).alias("items_sha256"), (m.n_hit > 0).alias("contaminated"))
 
 
+@query("op8_jaccard_components", r"""
+with recursive d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as g from d),
+n as (select doc_id, count(*) as n_shingles from s group by 1),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as both_have from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_have >= 90 * (x.n_shingles + y.n_shingles - both_have)),
+e as materialized (select a, b from l union select b, a from l),
+r(doc_id, c) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.c)
+select r.doc_id, coalesce(any_value(n_shingles), 0) as n_shingles, min(c) as component_id from r left join n using (doc_id) group by 1
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the join of all documents with themselves at a similarity of 0.9 on 3-word shingles."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 @query("op9_source_mix", r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5('0:' || coalesce(doc_id::varchar, '')) as key from documents),
