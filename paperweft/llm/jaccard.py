@@ -118,6 +118,47 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+def _compare(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, ...) with both sets (sa, sb), their sizes and whether they link."""
+    left = profiles.select(F.col("key").alias("a"), F.col("set").alias("sa"))
+    right = profiles.select(F.col("key").alias("b"), F.col("set").alias("sb"))
+    rows = pairs.join(left, "a").join(right, "b").withColumns({"na": F.size("sa"), "nb": F.size("sb"), "both": F.size(F.array_intersect("sa", "sb"))})
+    return rows.withColumn("linked", F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
+
+
+def _cross(compared: DataFrame, part: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a pivot's classes in different components that may still link.
+
+    With D(x) the symmetric difference of x and the pivot, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+    elements. A linked pair differs in at most c (|x| + |y|) of them, c = (100 - percent) / (100 + percent),
+    so D(x) and D(y) share at least s elements. Of a pair in different components one, say y, isn't linked to the
+    pivot, so |D(y)| > c (|y| + |pivot|). For x not linked, s >= |D(x)| - (100 - percent) |x| / percent
+    (triangle inequality); for x linked, s >= (|D(x)| + 1 - c (|x| - |pivot|)) / 2; s is never below 1.
+    Two sets that share s elements share one among the |D| - s + 1 rarest of each (prefix filter), and
+    in copies with edits of their own the rarest elements are their own.
+    """
+    def of(column: str) -> DataFrame:
+        return part.select(F.col("id").alias(column), F.col("component").alias(f"{column}_part"))
+
+    placed = compared.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        "a", "b", "linked", F.coalesce("a_part", "a").alias("part"), F.coalesce("b_part", "b").alias("pivot_part"))
+    open_pivots = placed.where("part != pivot_part").select("b").distinct()
+    sets = _compare(placed.drop("pivot_part").withColumnRenamed("linked", "near").join(open_pivots, "b", "left_semi"), profiles, percent)
+    size = F.size("delta")
+    wider = F.greatest(F.lit(0), F.ceil((100 - percent) * (F.col("na") - F.col("nb")) / (100 + percent)))
+    shared = F.when(F.col("near"), F.ceil((size + 1 - wider) / 2)).otherwise(size - F.floor((100 - percent) * F.col("na") / percent))
+    rows = stored(
+        sets.withColumn("delta", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
+        .select("a", "b", "part", "na", (size - F.greatest(F.lit(1), shared) + 1).alias("prefix"), F.explode("delta").alias("element")))
+    common = rows.groupBy("b", "element").agg(F.count("*").alias("n")).where("n > 1")
+    rarest = Window.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(1)), "element")
+    prefix = stored(rows.join(common, ["b", "element"], "left").withColumn("place", F.row_number().over(rarest)).where("place <= prefix and n > 1"))
+    x, y = prefix.alias("x"), prefix.alias("y")
+    fits = F.least("x.na", "y.na") * 100 >= F.greatest("x.na", "y.na") * percent
+    return x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.part") < F.col("y.part")) & fits).select(
+        F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
@@ -126,10 +167,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     no shingles and link with nothing: their component is their own doc_id. Equal sets, repeated rows
     among them, are one node. Rows with a NULL doc_id take part only through equal sets.
 
-    Steps: equal sets become one class; every class sends its signatures; the first class of a
-    signature is compared with all others (a star, so a large group costs a row a member); classes
-    that share a signature and are still in different components are compared as well. No pair that
-    could join two components is left out.
+    Steps: equal sets become one class; every class sends its signatures; each signature's most
+    connected class is its pivot, and all others are compared with it (a star, so a large group costs a
+    row a member). Classes of a pivot that are still in different components are compared when their
+    differences to the pivot share a rare element (see ``_cross``). No pair that could join two
+    components is left out.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -162,35 +204,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     sets = stored(src.mapInArrow(keys, "doc_id long, n long, key long, key2 long"))
     classes = stored(sets.where("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep")))
     by_sig = Window.partitionBy("sig").orderBy("key")
-    members = stored(
-        src.select("doc_id", "text").mapInArrow(sign, "sig long, key long")
-        .select("sig", "key", F.first("key").over(by_sig).alias("lead")).where(F.col("key") != F.col("lead")))
-    star = members.groupBy("key", "lead").agg(F.count("*").alias("n"))
+    nodes = stored(
+        src.mapInArrow(sign, "sig long, key long").select("sig", "key", F.first("key").over(by_sig).alias("low"), F.lead("key").over(by_sig).alias("next"))
+        .where("key != low or next is not null").select("sig", "key"))
+    degree = nodes.groupBy("key").agg(F.count("*").alias("degree"))
+    pivots = nodes.join(degree, "key").groupBy("sig").agg(F.max(F.struct("degree", "key"))["key"].alias("lead"))
+    star = stored(nodes.join(pivots, "sig").where("key != lead").groupBy("key", "lead").agg(F.count("*").alias("n")).select("key", "lead"))
     involved = star.select("key").union(star.select("lead")).distinct().join(classes.where("rep is not null"), "key").select("key", F.col("rep").alias("doc_id"))
     profiles = stored(src.join(involved, "doc_id").select("key", "text").mapInArrow(profile, "key long, set array<long>"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        left = profiles.select(F.col("key").alias("a"), F.col("set").alias("sa"))
-        right = profiles.select(F.col("key").alias("b"), F.col("set").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(left, "a").join(right, "b").where(
-            both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b").distinct()
-
-    links = stored(linked(star.select(F.col("key").alias("a"), F.col("lead").alias("b"))))
+    compared = stored(_compare(star.select(F.col("key").alias("a"), F.col("lead").alias("b")), profiles, percent).select("a", "b", "na", "nb", "linked"))
+    links = compared.where("linked").select("a", "b")
     part = stored(components(links))
-
-    def of(column: str) -> DataFrame:
-        return part.select(F.col("id").alias(column), F.col("component").alias(f"{column}_part"))
-
-    placed = members.join(of("key"), "key", "left").join(of("lead"), "lead", "left").select(
-        "sig", "key", "lead", F.coalesce("key_part", "key").alias("kp"), F.coalesce("lead_part", "lead").alias("lp"))
-    open_sigs = placed.where("kp != lp").select("sig").distinct()
-    rest = stored(placed.join(open_sigs, "sig", "left_semi"))
-    nodes = rest.select("sig", "key", F.col("kp").alias("part")).union(rest.select("sig", "lead", "lp").distinct())
-    cross = nodes.alias("x").join(nodes.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") < F.col("y.part"))).select(
-        F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(
-        star.select(F.col("key").alias("a"), F.col("lead").alias("b")).union(star.select("lead", "key")), ["a", "b"], "left_anti")
-    links = links.union(stored(linked(cross)))
+    more = _cross(compared, part, profiles, percent)
+    links = links.union(stored(_compare(more, profiles, percent).where("linked").select("a", "b")))
     reps = classes.where("rep is not null").groupBy("key").agg(F.min("rep").alias("rep"))
     by_rep = links.join(reps.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
         reps.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))

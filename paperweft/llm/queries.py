@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, digests, jaccard, language, mixing
+from . import decontaminate, digests, jaccard, language, mixing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(m["items"], ",").cast("binary"), 256).alias("items_sha256"), (m.n_hit > 0).alias("contaminated"))
 
 
+@query("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; base columns are tested against brute force in tests/llm."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    return found.select(
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.as_text(F.col("all")).alias("spans"))
+
+
 @query("op8_jaccard_components", r"""
 with recursive d as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
