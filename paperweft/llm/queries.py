@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, digests, jaccard, language, mixing, pii
+from . import decontaminate, digests, jaccard, language, lines, mixing, pii, repeats, suffixes, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,12 +27,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Mixing of a table {documents} as common table expressions and a query.
+MIX_SQL = r"""d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5('0:' || coalesce(doc_id::varchar, '')) as key from {documents}),
+s as (select source, sum(size)::bigint as source_size, [3, 1, 2][((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1)::int] as weight from d group by source),
+o as (select *, 2.0::double * source_size as cap, 2.0::double * source_size / weight as stop_level from s),
+l as (
+  select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level from o
+  window before as (order by stop_level, encode(source) nulls last rows between unbounded preceding and 1 preceding)),
+w as (select *, max(case when level <= stop_level then level end) over () as water from l),
+t as (select source, source_size, case when stop_level < water then cap else coalesce(water * weight, cap) end as target from w),
+p as (
+  select d.*, source_size, target, floor(target)::bigint as budget,
+    coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size, target,
+  (case when source_size > 0 then budget // source_size * size + greatest(0, least(size, budget % source_size - before)) else 0 end)::bigint as taken
+from p
+"""
+
+
 @query("op1_language_mixture")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; held-out accuracy is tested in tests/llm."""
     return language.identify(table(spark, sf_dir, "documents")).drop("proportions")
 
 
+_BYTES = repeats.Unit("byte", 100, 32)
+_WORDS_OF = repeats.Unit("word", 20, 8)
+
+
+@query("op2_byte_repeats", r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, i, md5(substr(h, (2 * i + 1)::int, 200)) as k from (select doc_id, h, unnest(range(n - 99)) as i from d)),
+later as (select doc_id, i from (select *, row_number() over (partition by k order by doc_id, i) as r from w) where r > 1),
+runs as (
+  select doc_id, min(i) as a, max(i) + 100 as b
+  from (select *, sum(fresh) over (partition by doc_id order by i) as run
+    from (select *, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as fresh from later))
+  group by doc_id, run),
+pieces as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as f, a as t from runs
+  union all select d.doc_id, coalesce(max(b), 0), any_value(n) from d left join runs using (doc_id) group by 1),
+kept as (select p.doc_id, string_agg(substr(h, (2 * f + 1)::int, (2 * (t - f))::int), '' order by f) as h from pieces p join d using (doc_id) group by 1),
+cut as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from runs group by 1)
+select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(kept.h)) as kept_sha256
+from d join kept using (doc_id) left join cut using (doc_id)
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document outside 100-byte strings that start earlier."""
+    return repeats.remove(table(spark, sf_dir, "documents"), _BYTES, suffixes.context_bytes, suffixes.judge_suffixes).withColumnRenamed("n_items", "n_bytes")
+
+
 @query("op3_exact_dedup", r"""
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
 g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from d group by 1)
@@ -44,6 +90,48 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.dedup(table(spark, sf_dir, "documents"), index)
 
 
+@query("op4_word_repeats", r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+p as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)),
+later as (select doc_id, i from (select *, row_number() over (partition by k order by doc_id, i) as r from p) where r > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from later),
+words as (select doc_id, unnest(range(1, len(w) + 1)) as j, unnest(w) as word from d),
+kept as (select doc_id, string_agg(word, ' ' order by j) as text from words anti join gone using (doc_id, j) group by 1),
+n as (select doc_id, count(*) as n_removed from gone group by 1)
+select d.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (doc_id) left join n using (doc_id)
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside 20-word windows that start earlier."""
+    return repeats.remove(table(spark, sf_dir, "documents"), _WORDS_OF).withColumnRenamed("n_items", "n_words").drop("n_spans")
+
+
+@query("op5_token_counts", r"""
+with d as (
+  select source, lang, len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[|*%&#!]+', ' ', 'g'), '[^\x20\x09-\x0D]+')) as words,
+    len(regexp_extract_all(coalesce(text, ''), '[0-9]+|[^\x00-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')) as pieces from documents)
+select source, lang, 'words-1' as tokenizer, count(*) as n_docs, sum(words)::bigint as n_tokens from d where words >= 20 group by all
+union all
+select source, lang, 'pieces-1', count(*), sum(pieces)::bigint from d where words >= 20 group by all
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted under two tokenizers, signs stripped and recounted, short documents deleted.
+
+    The recount is delivered twice; the second delivery changes nothing.
+    """
+    docs = table(spark, sf_dir, "documents")
+    rollup = tokencounts.Rollup(spark, f"token_counts_{uuid.uuid4().hex}")
+    first = tokencounts.counted(docs, "words-1", F.col("text")).union(tokencounts.counted(docs, "pieces-1", F.col("text")))
+    rollup.commit("insert", first)
+    signs = r"[|*%&#!]+"
+    revised = tokencounts.counted(docs.where(F.col("text").rlike(signs)), "words-1", F.regexp_replace("text", signs, " "))
+    rollup.commit("revise", revised)
+    short = rollup.entries().where("tokenizer = 'words-1' and tokens < 20").select("doc_id", "source", "lang")
+    rollup.commit("delete", short.select("*", F.explode(F.array(F.lit("words-1"), F.lit("pieces-1"))).alias("tokenizer"), F.lit(None).cast("long").alias("tokens")))
+    rollup.commit("revise", revised)
+    return rollup.totals()
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -97,24 +185,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-@query("op9_source_mix", r"""
-with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5('0:' || coalesce(doc_id::varchar, '')) as key from documents),
-s as (select source, sum(size)::bigint as source_size, [3, 1, 2][((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1)::int] as weight from d group by source),
-o as (select *, 2.0::double * source_size as cap, 2.0::double * source_size / weight as stop_level from s),
-l as (
-  select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level from o
-  window before as (order by stop_level, encode(source) nulls last rows between unbounded preceding and 1 preceding)),
-w as (select *, max(case when level <= stop_level then level end) over () as water from l),
-t as (select source, source_size, case when stop_level < water then cap else coalesce(water * weight, cap) end as target from w),
-p as (
-  select d.*, source_size, target, floor(target)::bigint as budget,
-    coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size::bigint as size, source_size, target,
-  (case when source_size > 0 then budget // source_size * size + greatest(0, least(size, budget % source_size - before)) else 0 end)::bigint as taken
-from p
-""")
+@query("op9_source_mix", "with " + MIX_SQL.replace("{documents}", "documents"))
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_line_templates", r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (
+  select doc_id, i as line_no, list_transform(list_filter(regexp_split_to_array(ls[i + 1], '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+    lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t from (select doc_id, ls, unnest(range(len(ls))) as i from d)),
+m as (select *, len(t) as n, t[1] as a, t[2] as b from l where len(t) >= 4),
+leaf as (select n, a, b from m group by all having count(distinct doc_id) >= 3),
+c as (select m.* from m join leaf using (n, a, b)),
+e as (select doc_id, line_no, n, a, b, t, unnest(range(len(t))) as place, unnest(t) as token from c),
+k as (select n, a, b, place, token, 1 as constant from e where token <> '<*>' group by all having count(distinct doc_id) >= 3),
+g as (
+  select doc_id, line_no, n, any_value(t) as t, list(case when constant is null then '<*>' else token end order by place) as tree, count(*) filter (place >= 2 and constant = 1) as fixed
+  from e left join k using (n, a, b, place, token) group by doc_id, line_no, n),
+x as (select doc_id, line_no, case when fixed * 10 >= (n - 2) * 6 then list_prepend('tree', tree) else list_prepend('line', t) end as template from g),
+r as (select template from x group by 1 having count(distinct doc_id) >= 3),
+gone as (select distinct doc_id, line_no from x join r using (template)),
+y as (select doc_id, ls[i + 1] as line, i as line_no from (select doc_id, ls, unnest(range(len(ls))) as i from d)),
+kept as (select doc_id, string_agg(line, chr(10) order by line_no) as text from y anti join gone using (doc_id, line_no) group by 1),
+n as (select doc_id, count(*) as n_dropped from gone group by 1)
+select d.doc_id, len(ls) as n_lines, coalesce(n_dropped, 0) as n_dropped, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (doc_id) left join n using (doc_id)
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document outside templates that three documents share."""
+    return lines.drop_templates(table(spark, sf_dir, "documents")).drop("kept")

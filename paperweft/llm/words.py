@@ -114,29 +114,17 @@ def range_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
-def sliding(op, a: np.ndarray, width: int) -> np.ndarray:
-    """``op`` (minimum or maximum) over every ``width`` consecutive values, by doubling."""
-    if len(a) < width:
-        return a[:0]
+def smallest(grams: np.ndarray, width: int) -> np.ndarray:
+    """Position of the smallest of every ``width`` consecutive grams, the leftmost if equal, by doubling."""
+    value, place = grams, np.arange(len(grams))
+
+    def best(v, p, shift, n):
+        right = v[shift : shift + n] < v[:n]
+        return np.where(right, v[shift : shift + n], v[:n]), np.where(right, p[shift : shift + n], p[:n])
+
     span = 1
-    while span * 2 <= width:
-        a = op(a[:-span], a[span:])
-        span *= 2
-    rest = width - span
-    return op(a[:-rest], a[rest:]) if rest else a
-
-
-def anchors(grams: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
-    """Winnowing: positions whose gram is the smallest of some ``width`` consecutive grams.
-
-    ``left[i]`` is the number of grams of the same document from i on. Ties are all taken, so the
-    anchors inside a window follow from its content alone, and every window has one.
-    """
-    if len(grams) < width:
-        return np.zeros(0, np.int64)
-    grams = grams | _U(1)
-    low = sliding(np.minimum, grams, width)
-    low[left[: len(low)] < width] = 0
-    pad = np.zeros(width - 1, _U)
-    high = sliding(np.maximum, np.concatenate([pad, low, pad]), width)
-    return np.flatnonzero(high == grams)
+    while span < width and len(value):
+        shift = min(span, width - span)
+        value, place = best(value, place, shift, max(0, len(value) - shift))
+        span += shift
+    return place
