@@ -8,13 +8,15 @@ that recur across documents are dropped.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .store import stored
 
-ANY = "<*>"
+ANY = b"<*>"
+_DIGIT = re.compile(rb"[0-9]")
 #: Leading tokens that the tree branches on.
 DEPTH = 2
 #: Documents that a leaf, a constant token and a dropped template need.
@@ -25,35 +27,69 @@ MIN_TOKENS = 4
 CONSTANT_TENTHS = 6
 
 
-def tokens(line: Column) -> Column:
-    words = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(ANY)).otherwise(w))
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, leaf, t): tokens of lines long enough; a token with a digit is variable from the start."""
-    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line")).select("doc_id", "line_no", tokens(F.col("line")).alias("t"))
-    return rows.where(F.size("t") >= MIN_TOKENS).withColumn("leaf", F.xxhash64(F.size("t"), *[F.get("t", F.lit(i)) for i in range(DEPTH)]))
+def tokens(line: bytes) -> list[bytes]:
+    """Tokens between ASCII white space; one with a digit is variable from the start."""
+    return [ANY if not w.isalpha() and _DIGIT.search(w) else w for w in line.split()]
+
+
+def line_rows(docs: DataFrame, with_line: bool) -> DataFrame:
+    """(doc_id, line_no, leaf, n, whole and the line itself) of lines of at least ``MIN_TOKENS`` tokens.
+
+    ``leaf`` hashes the path in the tree, ``whole`` all tokens.
+    """
+    def parse(batches):
+        for batch in batches:
+            out = ([], [], [], [], [], [])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i, line in enumerate((text or "").encode("utf-8", "replace").split(b"\n")):
+                    t = tokens(line)
+                    if len(t) >= MIN_TOKENS:
+                        row = (doc, i, _hash(b"%d" % len(t), *t[:DEPTH]), len(t), _hash(b"line", *t), line)
+                        for column, value in zip(out, row):
+                            column.append(value)
+            arrays = [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
+            yield pa.record_batch(arrays[: 5 + with_line], ["doc_id", "line_no", "leaf", "n", "whole", "line"][: 5 + with_line])
+
+    return docs.select("doc_id", "text").mapInArrow(parse, "doc_id long, line_no int, leaf long, n int, whole long" + ", line binary" * with_line)
+
+
+def _fields(batches):
+    """A row for every field that isn't variable from the start: hash of (leaf, place, token)."""
+    for batch in batches:
+        out = ([], [], [], [])
+        for doc, i, leaf, line in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "line_no", "leaf", "line"))):
+            for place, token in enumerate(tokens(line)):
+                if token != ANY:
+                    for column, value in zip(out, (_hash(b"%d,%d" % (leaf, place), token), doc, i, place < DEPTH)):
+                        column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, kinds)], ["field", "doc_id", "line_no", "leading"])
+
+
+def _shared(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
+    """Keys that occur in ``min_docs`` documents; partial sums first, so a frequent key costs a row a task."""
+    return rows.select(key, "doc_id").distinct().groupBy(key).agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs).select(key)
 
 
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, line_no, template) of lines in leaves that ``min_docs`` documents share.
 
-    Counts of documents are aggregates with partial sums, and a leaf's lines are never gathered: a token
-    finds out whether it is constant by a join on (leaf, place, token). A line with too few constants
-    after its leading tokens is its own template (numbers still variable).
+    A leaf's lines are never gathered: a field finds out whether it is constant by a join on (leaf,
+    place, token). A line with too few constants after its leading tokens is its own template
+    (numbers still variable).
     """
-    each = line_rows(docs)
-    leaves = each.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    near = stored(each.join(leaves, "leaf", "left_semi").select("doc_id", "line_no", "leaf", "t", F.xxhash64(F.lit("line"), "t").alias("whole")))
-    places = near.select("doc_id", "line_no", "leaf", "whole", F.size("t").alias("n"), F.posexplode("t").alias("place", "token")).withColumn("h", F.xxhash64("token"))
-    constant = places.where(F.col("token") != ANY).select("leaf", "place", "h", "doc_id").distinct().groupBy("leaf", "place", "h").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs)
-    marked = places.select("doc_id", "line_no", "leaf", "whole", "n", "place", "h").join(constant, ["leaf", "place", "h"], "left")
-    field = F.struct("place", F.when(F.col("c").isNotNull(), F.col("h")).alias("h"))
-    lines = marked.groupBy("doc_id", "line_no", "leaf", "whole", "n").agg(F.array_sort(F.collect_set(field)).alias("fields"))
-    fixed = F.size(F.filter("fields", lambda f: (f["place"] >= DEPTH) & f["h"].isNotNull()))
-    general = fixed * 10 >= (F.col("n") - DEPTH) * CONSTANT_TENTHS
-    return lines.select("doc_id", "line_no", F.when(general, F.xxhash64(F.lit("tree"), "leaf", "fields")).otherwise(F.xxhash64("leaf", "whole")).alias("template"))
+    near = stored(line_rows(docs, True).join(_shared(line_rows(docs, False), "leaf", min_docs), "leaf", "left_semi"))
+    fields = near.select("doc_id", "line_no", "leaf", "line").mapInArrow(_fields, "field long, doc_id long, line_no int, leading boolean")
+    constant = fields.join(_shared(fields, "field", min_docs), "field", "left_semi")
+    trees = constant.groupBy("doc_id", "line_no").agg(
+        F.xxhash64(F.array_sort(F.collect_set("field"))).alias("tree"), F.size(F.collect_set(F.when(~F.col("leading"), F.col("field")))).alias("fixed"))
+    general = F.col("fixed") * 10 >= (F.col("n") - DEPTH) * CONSTANT_TENTHS
+    template = F.when(general, F.xxhash64(F.lit("tree"), "leaf", "tree")).otherwise(F.xxhash64(F.lit("line"), "whole"))
+    return near.select("doc_id", "line_no", "leaf", "n", "whole").join(trees, ["doc_id", "line_no"], "left").select("doc_id", "line_no", template.alias("template"))
 
 
 def _kept(texts: pa.Array, dropped: pa.Array) -> pa.Array:
@@ -73,9 +109,8 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, doc_id: str = "doc
     is one empty line; lines of fewer than ``MIN_TOKENS`` tokens stay. Rows of one doc_id must hold one
     text and are one document; a row with a NULL doc_id keeps all its lines.
     """
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = stored(templates(src.where("doc_id is not null"), min_docs))
-    recurring = named.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
-    gone = named.join(recurring, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
+    gone = named.join(_shared(named, "template", min_docs), "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
     clean = F.arrow_udf(_kept, "struct<n_lines: long, n_dropped: long, kept_sha256: string, kept: string>")
     return src.join(gone, "doc_id", "left").select("doc_id", clean("text", "dropped").alias("r")).select("doc_id", "r.*")
