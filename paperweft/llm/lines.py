@@ -11,6 +11,7 @@ import hashlib
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .store import stored
@@ -28,33 +29,35 @@ CONSTANT_TENTHS = 6
 
 
 def _hash(*parts: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
+    h = xxhash.xxh3_64_intdigest(b"\0".join(parts))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def tokens(line: bytes) -> list[bytes]:
     """Tokens between ASCII white space; one with a digit is variable from the start."""
-    return [ANY if not w.isalpha() and _DIGIT.search(w) else w for w in line.split()]
+    words = line.split()
+    return [ANY if _DIGIT.search(w) else w for w in words] if _DIGIT.search(line) else words
 
 
 def line_rows(docs: DataFrame, with_line: bool) -> DataFrame:
-    """(doc_id, line_no, leaf, n, whole and the line itself) of lines of at least ``MIN_TOKENS`` tokens.
+    """(doc_id, leaf), or also (line_no, n, whole, line), of lines of at least ``MIN_TOKENS`` tokens.
 
     ``leaf`` hashes the path in the tree, ``whole`` all tokens.
     """
     def parse(batches):
         for batch in batches:
-            out = ([], [], [], [], [], [])
+            rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for i, line in enumerate((text or "").encode("utf-8", "replace").split(b"\n")):
                     t = tokens(line)
                     if len(t) >= MIN_TOKENS:
-                        row = (doc, i, _hash(b"%d" % len(t), *t[:DEPTH]), len(t), _hash(b"line", *t), line)
-                        for column, value in zip(out, row):
-                            column.append(value)
-            arrays = [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
-            yield pa.record_batch(arrays[: 5 + with_line], ["doc_id", "line_no", "leaf", "n", "whole", "line"][: 5 + with_line])
+                        leaf = _hash(b"%d" % len(t), *t[:DEPTH])
+                        rows.append((doc, leaf, i, len(t), _hash(b"line", *t), line) if with_line else (doc, leaf))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())[: 6 if with_line else 2]
+            columns = list(zip(*rows)) or [[] for _ in kinds]
+            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["doc_id", "leaf", "line_no", "n", "whole", "line"][: len(kinds)])
 
-    return docs.select("doc_id", "text").mapInArrow(parse, "doc_id long, line_no int, leaf long, n int, whole long" + ", line binary" * with_line)
+    return docs.select("doc_id", "text").mapInArrow(parse, "doc_id long, leaf long" + ", line_no int, n int, whole long, line binary" * with_line)
 
 
 def _fields(batches):
