@@ -126,7 +126,16 @@ def _compare(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("linked", F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
 
 
-def _cross(compared: DataFrame, part: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+def _placed(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the components that a and b are in so far; a class without links is its own."""
+    def of(column: str) -> DataFrame:
+        return part.select(F.col("id").alias(column), F.col("component").alias(f"{column}_part"))
+
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        "a", "b", F.coalesce("a_part", "a").alias("part"), F.coalesce("b_part", "b").alias("pivot_part"))
+
+
+def _cross(placed: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a pivot's classes in different components that may still link.
 
     With D(x) the symmetric difference of x and the pivot, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
@@ -137,16 +146,11 @@ def _cross(compared: DataFrame, part: DataFrame, profiles: DataFrame, percent: i
     Two sets that share s elements share one among the |D| - s + 1 rarest of each (prefix filter), and
     in copies with edits of their own the rarest elements are their own.
     """
-    def of(column: str) -> DataFrame:
-        return part.select(F.col("id").alias(column), F.col("component").alias(f"{column}_part"))
-
-    placed = compared.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
-        "a", "b", "linked", F.coalesce("a_part", "a").alias("part"), F.coalesce("b_part", "b").alias("pivot_part"))
     open_pivots = placed.where("part != pivot_part").select("b").distinct()
-    sets = _compare(placed.drop("pivot_part").withColumnRenamed("linked", "near").join(open_pivots, "b", "left_semi"), profiles, percent)
+    sets = _compare(placed.drop("pivot_part").join(open_pivots, "b", "left_semi"), profiles, percent)
     size = F.size("delta")
     wider = F.greatest(F.lit(0), F.ceil((100 - percent) * (F.col("na") - F.col("nb")) / (100 + percent)))
-    shared = F.when(F.col("near"), F.ceil((size + 1 - wider) / 2)).otherwise(size - F.floor((100 - percent) * F.col("na") / percent))
+    shared = F.when(F.col("linked"), F.ceil((size + 1 - wider) / 2)).otherwise(size - F.floor((100 - percent) * F.col("na") / percent))
     rows = stored(
         sets.withColumn("delta", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
         .select("a", "b", "part", "na", (size - F.greatest(F.lit(1), shared) + 1).alias("prefix"), F.explode("delta").alias("element")))
@@ -168,8 +172,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     among them, are one node. Rows with a NULL doc_id take part only through equal sets.
 
     Steps: equal sets become one class; every class sends its signatures; each signature's most
-    connected class is its pivot, and all others are compared with it (a star, so a large group costs a
-    row a member). Classes of a pivot that are still in different components are compared when their
+    connected class is its pivot, and a class is compared with its pivots (a star, so a large group costs
+    a row a member): with the one it shares most signatures with, then with those that are still in other
+    components. Classes of a pivot that are still in different components are compared when their
     differences to the pivot share a rare element (see ``_cross``). No pair that could join two
     components is left out.
     """
@@ -208,15 +213,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
         src.mapInArrow(sign, "sig long, key long").select("sig", "key", F.first("key").over(by_sig).alias("low"), F.lead("key").over(by_sig).alias("next"))
         .where("key != low or next is not null").select("sig", "key"))
     degree = nodes.groupBy("key").agg(F.count("*").alias("degree"))
-    pivots = nodes.join(degree, "key").groupBy("sig").agg(F.max(F.struct("degree", "key"))["key"].alias("lead"))
-    star = stored(nodes.join(pivots, "sig").where("key != lead").groupBy("key", "lead").agg(F.count("*").alias("n")).select("key", "lead"))
+    rank = F.col("degree") * F.lit(1 << 40) + F.pmod(F.xxhash64("key"), F.lit(1 << 40))  # the same order for every signature
+    pivots = nodes.join(degree, "key").groupBy("sig").agg(F.max_by("key", rank).alias("lead"))
+    star = stored(nodes.join(pivots, "sig").where("key != lead").groupBy("key", "lead").agg(F.count("*").alias("n")))
     involved = star.select("key").union(star.select("lead")).distinct().join(classes.where("rep is not null"), "key").select("key", F.col("rep").alias("doc_id"))
     profiles = stored(src.join(involved, "doc_id").select("key", "text").mapInArrow(profile, "key long, set array<long>"))
-    compared = stored(_compare(star.select(F.col("key").alias("a"), F.col("lead").alias("b")), profiles, percent).select("a", "b", "na", "nb", "linked"))
-    links = compared.where("linked").select("a", "b")
-    part = stored(components(links))
-    more = _cross(compared, part, profiles, percent)
-    links = links.union(stored(_compare(more, profiles, percent).where("linked").select("a", "b")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stored(_compare(pairs, profiles, percent).where("linked").select("a", "b"))
+
+    pairs = star.select(F.col("key").alias("a"), F.col("lead").alias("b"))
+    nearest = star.groupBy("key").agg(F.max_by("lead", F.col("n") * F.lit(1 << 40) + F.pmod(F.xxhash64("lead"), F.lit(1 << 40))).alias("lead"))
+    links = linked(nearest.select(F.col("key").alias("a"), F.col("lead").alias("b")))
+    links = links.union(linked(_placed(pairs, stored(components(links))).where("part != pivot_part").select("a", "b")))
+    links = links.union(linked(_cross(_placed(pairs, stored(components(links))), profiles, percent)))
     reps = classes.where("rep is not null").groupBy("key").agg(F.min("rep").alias("rep"))
     by_rep = links.join(reps.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
         reps.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
