@@ -9,7 +9,7 @@ import html as _html
 import pandas as pd
 
 from ..functions import fixed as K, html as H, text as X
-from .prefix import running
+from .prefix import SEGMENT, position, running
 
 
 def page_lines(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -143,15 +143,14 @@ def text_preview(blocks: DataFrame, cells: DataFrame, limit: int = 2000) -> Data
     gathered, so the group that is concatenated is bounded whatever the document's size."""
     from .tables import number_tables
 
-    big = 1_000_000
     para = blocks.where(F.col("block_type") != "table").select(
-        "doc_id", (F.col("block_seq") * F.lit(big).cast("long")).alias("at"), X.clean_text("text").alias("piece")).where("piece <> ''")
+        "doc_id", position(F.col("block_seq")).alias("at"), X.clean_text("text").alias("piece")).where("piece <> ''")
     rows = cells.groupBy("doc_id", "table_index", "row_no").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("c"))
     rows = rows.where(F.exists("c.text", lambda x: x != "")).join(
         number_tables(blocks).select("doc_id", "table_index", "block_seq"), ["doc_id", "table_index"])
-    table = rows.select("doc_id", (F.col("block_seq") * F.lit(big).cast("long") + F.col("row_no")).alias("at"), F.concat(
+    table = rows.select("doc_id", position(F.col("block_seq"), F.col("row_no")).alias("at"), F.concat(
         F.lit("[TABLE ROW "), (F.col("row_no") + 1).cast("string"), F.lit("] "), F.array_join("c.text", " | ")).alias("piece"))
-    scanned = running(para.unionByName(table), ["doc_id"], "at", {"_end": ("sum", F.length("piece") + 1)}, segment=65_536 * big)
+    scanned = running(para.unionByName(table), ["doc_id"], "at", {"_end": ("sum", F.length("piece") + 1)}, segment=SEGMENT << 31)
     head = scanned.where(F.col("_end") - F.length("piece") - 1 < limit)
     return head.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("b")).select(
         "doc_id", F.left(F.array_join("b.piece", "\n"), F.lit(limit)).alias("preview"))

@@ -60,3 +60,9 @@ def running(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[s
     carry = scanned.groupBy(*part).agg(*totals).select(*part, *carried)
     joined = scanned.join(carry, part, "left")
     return joined.select(*df.columns, *[c.alias(n) for n, c in final.items()])
+
+
+def position(block_seq: Column, row_no: Column | None = None) -> Column:
+    """One integer for (block, row): rows of a block never reach the next block, as both are 32-bit numbers."""
+    at = F.shiftleft(block_seq.cast("long"), 31)
+    return at if row_no is None else at + row_no

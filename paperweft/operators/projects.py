@@ -18,11 +18,11 @@ def project_list(projects: DataFrame, documents: DataFrame, jobs: DataFrame, tem
                  limit: int = 100, offset: int = 0) -> DataFrame:
     """One page of projects, newest first, with template, document count and latest job status.
 
-    The page is cut first (top-k); its ids, at most ``limit`` of them, are broadcast so that the
-    documents and jobs are filtered before they are aggregated.
+    The page is cut first (top-k); documents and jobs are filtered by its ids before they are
+    aggregated. Whether the ids are broadcast is left to the optimizer's size check.
     """
     page = projects.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
-    ids = F.broadcast(page.select(F.col("id").alias("project_id")))
+    ids = page.select(F.col("id").alias("project_id"))
     n_docs = documents.join(ids, "project_id", "left_semi").groupBy("project_id").agg(F.count("*").alias("document_count"))
     latest = jobs.join(ids, "project_id", "left_semi").groupBy("project_id").agg(
         F.max_by("status", F.struct("created_at", "id")).alias("latest_job_status"))

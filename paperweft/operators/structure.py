@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 from .cut import cut
-from .prefix import running
+from .prefix import position, running
 
 IS_TABLE = "block_type = 'table'"
 
@@ -127,7 +127,7 @@ def rows_by_page(blocks: DataFrame, row_texts: DataFrame, tables: DataFrame, pag
 
     ``row_texts``: doc_id, table_index, row_no, row_text; ``tables``: doc_id, table_index, block_seq.
     """
-    at = lambda row: (F.col("block_seq").cast("long") * 1_000_000 + row).alias("seq")
+    at = lambda row: position(F.col("block_seq"), row).alias("seq")
     para = blocks.where("block_type <> 'table'").where(X.strip("text") != "").select("doc_id", at(F.lit(0)), F.col("text"))
     rows = row_texts.join(tables.select("doc_id", "table_index", "block_seq"), ["doc_id", "table_index"]).select(
         "doc_id", at(F.col("row_no")), F.col("row_text"))
@@ -151,15 +151,6 @@ def assemble_pages(pieces: DataFrame, totals: DataFrame) -> DataFrame:
     return every.join(on, ["doc_id", "page_number"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def block_texts(blocks: DataFrame, row_texts: DataFrame, tables: DataFrame) -> DataFrame:
-    """(doc_id, seq, block_seq, text): paragraph texts and tab-joined table rows in reading order."""
-    para = blocks.where("block_type <> 'table'").withColumn("text", X.strip("text")).where("text <> ''").select(
-        "doc_id", (F.col("block_seq").cast("long") * 1_000_000).alias("seq"), "block_seq", "text")
-    rows = row_texts.join(tables.select("doc_id", "table_index", "block_seq"), ["doc_id", "table_index"]).select(
-        "doc_id", (F.col("block_seq").cast("long") * 1_000_000 + F.col("row_no")).alias("seq"), "block_seq", F.col("row_text").alias("text"))
-    return para.unionByName(rows)
-
-
 def page_fragments(fragments: DataFrame, frames: DataFrame, totals: DataFrame) -> DataFrame:
     """(doc_id, page_number, content): header + fragments + footer per page, overflow at the end.
 

@@ -50,6 +50,10 @@ def activity_counts(events: DataFrame, key: str, width: str = "1 day", slide: st
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n")
 
 
-def write_counts(counts: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    return counts.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+def write_counts(counts: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Counts below ``folder``, one sub-folder a micro-batch: in ``append`` mode all of them together are the
+    result, in ``complete`` mode the newest. A repeated micro-batch overwrites its own folder."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+    return counts.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

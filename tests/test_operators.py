@@ -208,3 +208,14 @@ def test_signature_pairs(spark):
     seq = spark.createDataFrame([(3,)], "pair_id long")
     got = G.compare_signatures(make([10, 10, 10, 10]), make([10, 15, 16, 10]), seq)
     assert rows(got, "pair_id", "is_identical") == [(0, True), (1, True), (2, False), (3, False)]
+
+
+def test_positions_of_long_tables_do_not_reach_the_next_block(spark):
+    from paperweft.operators.structure import rows_by_page
+
+    blocks = spark.createDataFrame([(1, 0, "table", None), (1, 1, "table", None)], "doc_id long, block_seq int, block_type string, text string")
+    texts = spark.createDataFrame([(1, 0, 1_000_000, "far row"), (1, 1, 0, "next row")], "doc_id long, table_index int, row_no int, row_text string")
+    tables = spark.createDataFrame([(1, 0, 0), (1, 1, 1)], "doc_id long, table_index int, block_seq int")
+    pages = spark.createDataFrame([(1, 1, "far row"), (1, 2, "next row")], "doc_id long, page_number int, text string")
+    got = sorted((r.page_number, r.row_text) for r in rows_by_page(blocks, texts, tables, pages).collect())
+    assert got == [(1, "far row"), (2, "next row")]

@@ -21,7 +21,11 @@ def _stream(t, table):
 def _scratch(t):
     """Stream output goes next to the shared checkpoints; a local session without any uses /tmp."""
     base = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if base is None:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
 def _drain(q):
@@ -54,6 +58,7 @@ def _(t):
 def _(t):
     base = _scratch(t)
     events = _stream(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    name = f"activity_{uuid.uuid4().hex}"
-    _drain(W.write_counts(W.activity_counts(events, "event_type"), name, f"{base}/cp", "complete"))
-    return t.spark.table(name).select(F.floor(F.unix_seconds("window_start") / 86400).alias("day_no"), "event_type", "n")
+    _drain(W.write_counts(W.activity_counts(events, "event_type"), f"{base}/counts", f"{base}/cp", "complete"))
+    counts = t.spark.read.parquet(f"{base}/counts")
+    newest = counts.agg(F.max("version").alias("version"))
+    return counts.join(newest, "version").select(F.floor(F.unix_seconds("window_start") / 86400).alias("day_no"), "event_type", "n")

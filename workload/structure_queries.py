@@ -426,8 +426,8 @@ def _(t):
 @query("p11_rows_by_page", f"""
   WITH rt0 AS (SELECT doc_id, table_index, row_no, list({_TXT} ORDER BY pos) AS a FROM cells GROUP BY ALL),
   rt AS (SELECT doc_id, table_index, row_no, array_to_string(list_filter(list_filter(a, lambda x, i: i = 1 OR x <> a[i - 1]), lambda x: x <> ''), chr(9)) AS row_text FROM rt0),
-  nd AS (SELECT doc_id, block_seq::BIGINT * 1000000 AS seq, {_TXT} AS text, false AS is_row FROM blocks WHERE block_type <> 'table' AND {_TXT} <> ''
-     UNION ALL SELECT doc_id, block_seq::BIGINT * 1000000 + row_no, row_text, true FROM rt JOIN table_blocks USING (doc_id, table_index) WHERE row_text <> ''),
+  nd AS (SELECT doc_id, block_seq::BIGINT * 2147483648 AS seq, {_TXT} AS text, false AS is_row FROM blocks WHERE block_type <> 'table' AND {_TXT} <> ''
+     UNION ALL SELECT doc_id, block_seq::BIGINT * 2147483648 + row_no, row_text, true FROM rt JOIN table_blocks USING (doc_id, table_index) WHERE row_text <> ''),
   nk AS (SELECT doc_id, seq, text, is_row, {O.norm('text')} AS key, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM nd),
   pg AS (SELECT doc_id, page_number, {O.norm('text')} AS norm FROM document_pages),
   lc AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 1::BIGINT AS cursor_, NULL::BIGINT AS seq, NULL::VARCHAR AS text, false AS is_row FROM pg
