@@ -4,7 +4,9 @@ Sets are put into bands of similar size. Sets that are similar enough to a set o
 in at most k_i elements. The feature domain is cut (by hash) into first-level partitions, each into
 second-level ones; so many that in one of the first-level partitions the difference is at most k2, and
 all but k2 of its second-level partitions agree. A signature is the content of one such subset; similar
-sets share one. Signatures only propose pairs; every link is verified on the whole sets.
+sets share one. There are a few more partitions than needed, so that the content is rarely empty: a set with more
+than k_i filled cells needs no signature of an empty one, which unrelated sets would share. Signatures
+only propose pairs; every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np
             break
         n, top = counts[use], tops[band[use]]
         k = (100 - percent) * top // percent
-        parts = np.where(k > 0, (k + 2) // 2, 1)  # with two second-level partitions: k2 is 1, or 0 if k is
+        parts = np.where(k > 0, (23 * (k + 1) + 39) // 40, 1)  # a few more than the (k + 1) / 2 that k2 = 1 needs; k2 is 0 if k is
         base = np.concatenate([[0], np.cumsum(parts)]) * SECOND_LEVEL
         at = np.arange(n.sum()) + np.repeat(edge[use] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         h = hashes[at]
@@ -94,16 +96,20 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np
         total = np.concatenate([np.zeros(1, _U), np.cumsum(W.mix(h)[order], dtype=_U)])
         cut = np.searchsorted(cell[order], np.arange(base[-1] + 1))
         content = (total[cut[1:]] - total[cut[:-1]]).reshape(-1, SECOND_LEVEL)
+        filled = (cut[1:] > cut[:-1]).reshape(-1, SECOND_LEVEL)
         owner = np.repeat(np.arange(len(use)), parts)
+        # with over k filled cells a set agrees with a similar one in a filled cell; only others need the empty ones
+        sparse = np.add.reduceat(filled.sum(1), base[:-1] // SECOND_LEVEL) <= k
         tag = (np.arange(len(owner)) - base[owner] // SECOND_LEVEL).astype(_U) * _U(64) + band[use][owner].astype(_U) * _U(1 << 40)
         for k2 in (0, 1):
             rows = np.flatnonzero((k[owner] > 0) == bool(k2))
             for j, subset in enumerate(combinations(range(SECOND_LEVEL), SECOND_LEVEL - k2)):
-                value = np.zeros(len(rows), _U)
+                sent = rows[filled[rows][:, subset].any(1) | sparse[owner[rows]]]
+                value = np.zeros(len(sent), _U)
                 for c in subset:
-                    value = value + W.mix(content[rows, c] ^ _U(c + 1))
-                sigs.append(W.mix(value ^ W.mix(tag[rows] + _U(j + 1))))
-                sets.append(use[owner[rows]])
+                    value = value + W.mix(content[sent, c] ^ _U(c + 1))
+                sigs.append(W.mix(value ^ W.mix(tag[sent] + _U(j + 1))))
+                sets.append(use[owner[sent]])
         back += 1
     return np.concatenate(sigs), np.concatenate(sets)
 
