@@ -3,8 +3,8 @@
 A plain window over ``key`` puts all rows of a key into one task. Here every key is cut into
 segments of consecutive positions; each segment is scanned on its own, segment totals (one row per
 segment) are scanned over the key, and the carried value is joined back. A key that holds a third
-of the table is thus spread over as many tasks as it has segments. The scanned segments and their
-totals come from the same exchange, and the carry side is ``1 / segment`` of the input.
+of the table is thus spread over as many tasks as it has segments. The input is computed twice, for the
+scanned segments and for their totals; the carry side is ``1 / segment`` of the input.
 """
 
 from __future__ import annotations
