@@ -5,8 +5,10 @@ in at most k_i elements. The feature domain is cut (by hash) into first-level pa
 second-level ones; so many that in one of the first-level partitions the difference is at most k2, and
 all but k2 of its second-level partitions agree. A signature is the content of one such subset; similar
 sets share one. There are a few more partitions than needed, so that the content is rarely empty: a set with more
-than k_i filled cells needs no signature of an empty one, which unrelated sets would share. Signatures
-only propose pairs; every link is verified on the whole sets.
+than k_i filled cells needs no signature of an empty one, which unrelated sets would share. Each differing
+element spoils one cell, so a set shares at least (filled cells - largest difference) signatures with a similar
+one; a set that shares fewer with all others together is left out. Signatures only propose pairs; every link is
+verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .store import stored
 
 _U = np.uint64
 SECOND_LEVEL = 2
+_NEED = (1 << 32) - 1
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +73,18 @@ def set_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def signatures(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) of many sets; an empty set has none."""
+def signatures(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, index of the set, lane) of many sets; an empty set has none.
+
+    A lane is a set's band (high half) and the number of that band's signatures it shares with a similar set at
+    least (low half, ``_NEED``).
+    """
     if not len(hashes):
-        return np.zeros(0, _U), np.zeros(0, np.int64)
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     tops = bands(int(counts.max()), percent)
     edge = np.concatenate([[0], np.cumsum(counts)])
     own = np.searchsorted(tops, counts)
-    sigs, sets = [], []
+    sigs, sets, lanes = [], [], []
     back = 0
     while True:  # own band, then those below whose sets may be similar to this larger one
         band = own - back
@@ -99,7 +106,11 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np
         filled = (cut[1:] > cut[:-1]).reshape(-1, SECOND_LEVEL)
         owner = np.repeat(np.arange(len(use)), parts)
         # with over k filled cells a set agrees with a similar one in a filled cell; only others need the empty ones
-        sparse = np.add.reduceat(filled.sum(1), base[:-1] // SECOND_LEVEL) <= k
+        full = np.add.reduceat(filled.sum(1), base[:-1] // SECOND_LEVEL)
+        sparse = full <= k
+        # the partner is at most n * 100 / percent large, in a band below at most top
+        apart = (100 - percent) * (n + top) // (100 + percent) if back else (100 - percent) * n // percent
+        lane = (band[use] << 32) + np.where(k > 0, np.maximum(1, full - np.minimum(k, apart)), 1)
         tag = (np.arange(len(owner)) - base[owner] // SECOND_LEVEL).astype(_U) * _U(64) + band[use][owner].astype(_U) * _U(1 << 40)
         for k2 in (0, 1):
             rows = np.flatnonzero((k[owner] > 0) == bool(k2))
@@ -110,8 +121,9 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np
                     value = value + W.mix(content[sent, c] ^ _U(c + 1))
                 sigs.append(W.mix(value ^ W.mix(tag[sent] + _U(j + 1))))
                 sets.append(use[owner[sent]])
+                lanes.append(lane[owner[sent]])
         back += 1
-    return np.concatenate(sigs), np.concatenate(sets)
+    return np.concatenate(sigs), np.concatenate(sets), np.concatenate(lanes)
 
 
 def _each(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -124,8 +136,19 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+def _several(nodes: DataFrame) -> DataFrame:
+    """(sig, key, lane), each once, of signatures that more than one set has; no group is gathered."""
+    by_sig = Window.partitionBy("sig").orderBy("key")
+    once = nodes.withColumn("before", F.lag("key").over(by_sig)).where("before is null or before != key")
+    ends = once.withColumns({"first": F.lag("key").over(by_sig), "next": F.lead("key").over(by_sig)})
+    return ends.where("first is not null or next is not null").select("sig", "key", "lane")
+
+
 def _compare(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b, ...) with both sets (sa, sb), their sizes and whether they link."""
+    """``pairs`` (a, b, ...) with both sets (sa, sb), their sizes and whether they link; other sets aren't shuffled."""
+    pairs = stored(pairs)
+    keys = stored(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    profiles = profiles.join(keys, "key", "left_semi")
     left = profiles.select(F.col("key").alias("a"), F.col("set").alias("sa"))
     right = profiles.select(F.col("key").alias("b"), F.col("set").alias("sb"))
     rows = pairs.join(left, "a").join(right, "b").withColumns({"na": F.size("sa"), "nb": F.size("sb"), "both": F.size(F.array_intersect("sa", "sb"))})
@@ -159,10 +182,12 @@ def _cross(placed: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     shared = F.when(F.col("linked"), F.ceil((size + 1 - wider) / 2)).otherwise(size - F.floor((100 - percent) * F.col("na") / percent))
     rows = stored(
         sets.withColumn("delta", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
-        .select("a", "b", "part", "na", (size - F.greatest(F.lit(1), shared) + 1).alias("prefix"), F.explode("delta").alias("element")))
-    common = rows.groupBy("b", "element").agg(F.count("*").alias("n")).where("n > 1")
-    rarest = Window.partitionBy("b", "a").orderBy(F.coalesce("n", F.lit(1)), "element")
-    prefix = stored(rows.join(common, ["b", "element"], "left").withColumn("place", F.row_number().over(rarest)).where("place <= prefix and n > 1"))
+        .select("a", "b", "part", "na", size.alias("total"), (size - F.greatest(F.lit(1), shared) + 1).alias("prefix"), F.explode("delta").alias("element")))
+    common = stored(rows.groupBy("b", "element").agg(F.count("*").alias("n")).where("n > 1"))
+    held = rows.join(common, ["b", "element"])  # a set's other elements are its own and come before these
+    own = F.col("total") - F.count("*").over(Window.partitionBy("b", "a"))
+    place = own + F.row_number().over(Window.partitionBy("b", "a").orderBy("n", "element"))
+    prefix = stored(held.withColumn("place", place).where("place <= prefix"))
     x, y = prefix.alias("x"), prefix.alias("y")
     fits = F.least("x.na", "y.na") * 100 >= F.greatest("x.na", "y.na") * percent
     return x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.part") < F.col("y.part")) & fits).select(
@@ -203,8 +228,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
                     if counts[i] and x not in sent:
                         sent.add(x)
                         new[i] = True
-                sig, of = signatures(h[np.repeat(new, counts)], counts[new], percent)
-                yield pa.record_batch([_signed(sig), _signed(key[new][of])], ["sig", "key"])
+                sig, of, lane = signatures(h[np.repeat(new, counts)], counts[new], percent)
+                yield pa.record_batch([_signed(sig), _signed(key[new][of]), pa.array(lane)], ["sig", "key", "lane"])
 
     def profile(batches):
         for batch in batches:
@@ -214,10 +239,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
 
     sets = stored(src.mapInArrow(keys, "doc_id long, n long, key long, key2 long"))
     classes = stored(sets.where("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep")))
-    by_sig = Window.partitionBy("sig").orderBy("key")
-    nodes = stored(
-        src.mapInArrow(sign, "sig long, key long").select("sig", "key", F.first("key").over(by_sig).alias("low"), F.lead("key").over(by_sig).alias("next"))
-        .where("key != low or next is not null").select("sig", "key"))
+    met = stored(_several(src.mapInArrow(sign, "sig long, key long, lane long")))
+    enough = F.count("*").over(Window.partitionBy("key", "lane")) >= F.col("lane").bitwiseAND(_NEED)
+    nodes = stored(_several(met.withColumn("enough", enough).where("enough")).select("sig", "key"))
     degree = nodes.groupBy("key").agg(F.count("*").alias("degree"))
     rank = F.col("degree") * F.lit(1 << 40) + F.pmod(F.xxhash64("key"), F.lit(1 << 40))  # the same order for every signature
     pivots = nodes.join(degree, "key").groupBy("sig").agg(F.max_by("key", rank).alias("lead"))
