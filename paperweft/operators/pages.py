@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -134,8 +136,9 @@ def structure_summary(fields: DataFrame, keys: list[str], data_type: str = "data
 
 
 def needs_review(fields: DataFrame, keys: list[str], confidence: str = "confidence") -> DataFrame:
-    mean = F.avg(F.coalesce(F.col(confidence), F.lit(0.5)))
-    return fields.groupBy(*keys).agg((mean < 0.7).alias("needs_review"))
+    """Mean confidence below 0.7, a missing one counting 0.5; decimals are averaged exactly."""
+    mean = F.avg(F.coalesce(F.col(confidence), F.lit(Decimal("0.5"))))
+    return fields.groupBy(*keys).agg((mean < F.lit(Decimal("0.7"))).alias("needs_review"))
 
 
 def text_preview(blocks: DataFrame, cells: DataFrame, limit: int = 2000) -> DataFrame:

@@ -83,7 +83,7 @@ _NAMES = "CASE WHEN p_partkey % 5 = 0 THEN p_name || ' ' || cast(p_partkey % 3 +
   taken AS (SELECT DISTINCT regexp_replace(lower(p_name), ' ', '_', 'g') AS id FROM part WHERE p_partkey % 7 = 0),
   o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY seq) AS k FROM roots),
   f AS (SELECT root, 0::BIGINT AS k, coalesce((SELECT list(id) FROM taken WHERE regexp_replace(id, '(_[0-9]+)+$', '') = root), []) AS used, NULL::BIGINT AS seq, NULL::VARCHAR AS id FROM (SELECT DISTINCT root FROM roots)
-    UNION ALL SELECT root, k, list_append(used, nid), seq, nid FROM (SELECT o.root, o.k, o.seq, f.used, CASE WHEN NOT list_contains(f.used, base) THEN base ELSE base || '_' || list_filter(range(2, 3000), lambda n: NOT list_contains(f.used, base || '_' || n))[1] END AS nid
+    UNION ALL SELECT root, k, list_append(used, nid), seq, nid FROM (SELECT o.root, o.k, o.seq, f.used, CASE WHEN NOT list_contains(f.used, base) THEN base ELSE base || '_' || list_filter(range(2, len(f.used) + 3), lambda n: NOT list_contains(f.used, base || '_' || n))[1] END AS nid
       FROM f JOIN o ON o.root = f.root AND o.k = f.k + 1))
   SELECT seq, id AS template_id FROM f WHERE k > 0""")
 def _(t):

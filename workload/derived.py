@@ -226,7 +226,7 @@ CTES: dict[str, tuple[str, str]] = {
         replace(replace(html, '<article>', '<article><p>Clause (4.5.' || (page_id % 9) || ') Spec. No: <span data-field-id="f' || (page_id % 7 + 1) || '">' || page_id || '</span></p>'),
                 '<li>', '<li data-field-id="f' || (page_id % 3 + 1) || '">') AS html FROM pages"""),
     "turn_lines": ("", """
-      SELECT conv_id, turn, role || ': ' || substr(replace(text, chr(10), ' '), 1, 60) AS line FROM conversations"""),
+      SELECT conv_id, turn, unnest(string_split(role || ': ' || text, chr(10))) AS line FROM conversations"""),
     "responses": ("chunk_fields", """
       SELECT job_id, chunk_no, CAST(substr(field_id, 2) AS INTEGER) AS batch_no,
         CASE WHEN tie % 11 = 1 THEN 'length' ELSE 'stop' END AS done_reason,
@@ -380,8 +380,7 @@ class Tables:
 
     @property
     def turn_lines(self) -> DataFrame:
-        return self.conversations.select("conv_id", "turn", F.concat(
-            "role", F.lit(": "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60)).alias("line"))
+        return self.conversations.select("conv_id", "turn", F.explode(F.split(F.concat("role", F.lit(": "), "text"), "\n")).alias("line"))
 
     @property
     def responses(self) -> DataFrame:

@@ -42,8 +42,8 @@ _ROWS = lambda c: (f"list_filter(list_transform(string_split({c}, chr(10)), lamb
 
 @query("p3_page_fidelity", f"""
   WITH x AS (SELECT doc_id, page_number, text, lead(text) OVER (PARTITION BY doc_id ORDER BY page_number) AS nxt FROM document_pages),
-  y AS (SELECT doc_id, page_number, {_TOK('text')} AS s, {_TOK("left(text, 200) || coalesce(nxt, '')")} AS e, {_ROWS('text')} AS rs,
-        {_ROWS("left(text, 200) || coalesce(nxt, '')")} AS re FROM x),
+  y AS (SELECT doc_id, page_number, {_TOK('text')} AS s, {_TOK("replace(text, 'a', 'o') || coalesce(nxt, '')")} AS e, {_ROWS('text')} AS rs,
+        {_ROWS("replace(text, 'a', 'o') || coalesce(nxt, '')")} AS re FROM x),
   z AS (SELECT *, len(list_intersect(s, e)) AS c, len(list_intersect(list_distinct(rs), list_distinct(re))) AS rb, len(list_distinct(list_concat(rs, re))) AS ra FROM y)
   SELECT doc_id, page_number, CASE WHEN len(s) = 0 THEN 1.0 ELSE round(c / len(s), 3) END AS coverage_ratio,
     CASE WHEN ra = 0 THEN 0.0 ELSE round(rb / ra, 3) END AS table_match_ratio, CAST(c AS INTEGER) AS covered_tokens, CAST(len(s) AS INTEGER) AS total_tokens,
@@ -51,7 +51,7 @@ _ROWS = lambda c: (f"list_filter(list_transform(string_split({c}, chr(10)), lamb
 def _(t):
     nxt = t.document_pages.select("doc_id", (F.col("page_number") - 1).alias("page_number"), F.col("text").alias("nxt"))
     df = t.document_pages.join(nxt, ["doc_id", "page_number"], "left").select(
-        "doc_id", "page_number", "text", F.concat(F.left("text", F.lit(200)), F.coalesce("nxt", F.lit(""))).alias("x"))
+        "doc_id", "page_number", "text", F.concat(F.replace("text", F.lit("a"), F.lit("o")), F.coalesce("nxt", F.lit(""))).alias("x"))
     out = P.page_fidelity(df, "text", "x")
     return out.withColumns({c: F.array_join(c, "#") for c in ("source_table_rows", "extracted_table_rows")})
 
@@ -68,10 +68,10 @@ def _(t):
 
 @query("p5_choose_text", f"""
   SELECT doc_id, CASE WHEN length({O.strip('a')}) < length(b) THEN b ELSE a END AS chosen
-  FROM (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN left(text, 120) ELSE ' ' END AS a, left(text, CAST(n_chars % 200 AS INTEGER)) AS b FROM documents)""")
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN text ELSE ' ' END AS a, CASE WHEN doc_id % 2 = 0 THEN replace(text, ' ', '') ELSE text || ' ' END AS b FROM documents)""")
 def _(t):
-    d = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.left("text", F.lit(120))).otherwise(" ").alias("a"),
-                           F.left("text", (F.col("n_chars") % 200).cast("int")).alias("b"))
+    d = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("text")).otherwise(" ").alias("a"),
+                           F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(" "), F.lit(""))).otherwise(F.concat("text", F.lit(" "))).alias("b"))
     return d.select("doc_id", P.choose_text(F.col("a"), F.col("b")).alias("chosen"))
 
 
@@ -104,14 +104,12 @@ def _(t):
 
 
 @query("p8_needs_review", """
-  SELECT job_id, avg(coalesce(c, 0.5)) < 0.7 AS needs_review FROM (
-    SELECT job_id, CASE WHEN page_number % 4 > 0 THEN round(confidence, 1) * 1.8 END AS c FROM chunk_fields) GROUP BY 1
-  HAVING abs(avg(coalesce(c, 0.5)) - 0.7) > 1e-9""", "chunk_fields")
+  SELECT job_id, 10 * sum(coalesce(c, 0.5)) < 7 * count(*) AS needs_review FROM (
+    SELECT job_id, CASE WHEN page_number % 4 > 0 THEN CAST(round(confidence, 1) AS DECIMAL(3, 1)) * 1.8 END AS c FROM chunk_fields) GROUP BY 1""", "chunk_fields")
 def _(t):
-    f = t.chunk_fields.withColumn("c", F.expr("case when page_number % 4 > 0 then round(confidence, 1) * 1.8d end"))
-    # means that equal the threshold up to summation order are left out on both sides
-    near = f.groupBy("job_id").agg(F.avg(F.coalesce("c", F.lit(0.5))).alias("m")).where("abs(m - 0.7) > 1e-9")
-    return P.needs_review(f, ["job_id"], "c").join(near.select("job_id"), "job_id")
+    """Exact decimals: a mean at the threshold doesn't depend on the order of the sum."""
+    f = t.chunk_fields.withColumn("c", F.expr("case when page_number % 4 > 0 then cast(round(confidence, 1) as decimal(3, 1)) * 1.8bd end"))
+    return P.needs_review(f, ["job_id"], "c")
 
 
 @query("p9_text_preview", f"""
@@ -133,7 +131,7 @@ _LAYERS = f"""
 
 
 @query("p10_combine_layers", f"""WITH {_LAYERS},
-  j AS (SELECT doc_id, page_number, text, left(text, 40) || CASE WHEN page_number % 2 = 0 THEN ' scanned' ELSE '' END AS ocr FROM document_pages),
+  j AS (SELECT doc_id, page_number, text, text || CASE WHEN page_number % 2 = 0 THEN ' scanned' ELSE '' END AS ocr FROM document_pages),
   k AS (SELECT doc_id, page_number, CASE WHEN {O.strip('ocr')} <> '' AND NOT contains(text, {O.strip('ocr')}) THEN {O.strip("text || chr(10) || ocr")} ELSE text END AS t FROM j WHERE page_number % 3 > 0
         UNION ALL SELECT doc_id, page_number, text FROM j WHERE page_number % 3 = 0)
   SELECT k.doc_id, k.page_number, CASE WHEN rs IS NULL THEN t ELSE {O.strip("t || chr(10) || chr(10) || 'STRUCTURED TABLE DATA (columns tab-separated, in source order):' || chr(10) || rs")} END AS text
@@ -141,7 +139,7 @@ _LAYERS = f"""
 def _(t):
     pages = t.document_pages
     ocr = pages.where("page_number % 3 > 0").select("doc_id", "page_number", F.concat(
-        F.left("text", F.lit(40)), F.when(F.col("page_number") % 2 == 0, " scanned").otherwise("")).alias("ocr_text"))
+        "text", F.when(F.col("page_number") % 2 == 0, " scanned").otherwise("")).alias("ocr_text"))
     rows = t.blocks.where("block_type = 'table'").select(
         "doc_id", (F.floor(F.col("block_seq") / 5) + 1).cast("int").alias("page_number"), F.col("block_seq").alias("row_no"), F.col("text").alias("row_text"))
     return P.combine_layers(pages, ocr, rows)

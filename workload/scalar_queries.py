@@ -100,11 +100,15 @@ def _(t):
 
 
 @query("x13_dedupe_merged", """
-  SELECT doc_id, block_seq, array_to_string(list_filter(a, lambda x, i: i = 1 OR x <> a[i - 1]), ',') AS deduped
-  FROM (SELECT doc_id, block_seq, list_transform(string_split(text, ' '), lambda w: left(w, 1)) AS a FROM blocks)""", "blocks")
-def _(t):
-    a = t.blocks.select("doc_id", "block_seq", F.transform(F.split("text", " "), lambda w: F.left(w, F.lit(1))).alias("a"))
-    return a.select("doc_id", "block_seq", F.array_join(X.dedupe_merged("a"), ",").alias("deduped"))
+  SELECT doc_id, table_index, row_no, array_to_string(list_filter(a, lambda x, i: i = 1 OR x <> a[i - 1]), '#') AS deduped
+  FROM (SELECT doc_id, table_index, row_no, list(text ORDER BY pos) AS a
+        FROM (SELECT doc_id, table_index, row_no, pos, text, unnest(range(greatest(colspan, 1))) FROM cells) GROUP BY ALL)""", "cells")
+def _(t):
+    """Rows of tables whose merged cells come once for every column they span."""
+    spread = t.cells.select("doc_id", "table_index", "row_no", "pos", F.array_repeat("text", F.greatest("colspan", F.lit(1))).alias("ts"))
+    a = spread.groupBy("doc_id", "table_index", "row_no").agg(F.array_sort(F.collect_list(F.struct("pos", "ts"))).alias("b"))
+    a = a.select("doc_id", "table_index", "row_no", F.flatten("b.ts").alias("a"))
+    return a.select("doc_id", "table_index", "row_no", F.array_join(X.dedupe_merged("a"), "#").alias("deduped"))
 
 
 @query("x14_plausible_ratio", f"""

@@ -87,7 +87,7 @@ def register_sql(source: str) -> str:
       SELECT * FROM rg0 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(field_label) ORDER BY ord) = 1)),
   rg AS (SELECT doc_id, 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::VARCHAR AS field_id FROM (SELECT DISTINCT doc_id FROM rg1)
     UNION ALL SELECT doc_id, k, list_append(used, fid), fid FROM (
-      SELECT s.doc_id, s.k, r.used, CASE WHEN NOT list_contains(r.used, base) THEN base ELSE base || '_' || list_filter(range(2, 400), lambda n: NOT list_contains(r.used, base || '_' || n))[1] END AS fid
+      SELECT s.doc_id, s.k, r.used, CASE WHEN NOT list_contains(r.used, base) THEN base ELSE base || '_' || list_filter(range(2, len(r.used) + 3), lambda n: NOT list_contains(r.used, base || '_' || n))[1] END AS fid
       FROM rg r JOIN rg1 s ON s.doc_id = r.doc_id AND s.k = r.k + 1)),
   registered AS (SELECT rg1.*, rg.field_id, 'Extract the ' || lower(field_label) || ' from the source document.' || CASE WHEN coalesce(value, '') <> '' THEN ' Example from source: "' || left(value, 120) || '".' ELSE '' END AS extraction_hint,
       coalesce(value, '') AS default_value FROM rg1 JOIN rg USING (doc_id, k))"""
@@ -127,7 +127,7 @@ def _(t):
     return D.estimate_pages(t.blocks).select("doc_id", "block_seq", "page")
 
 
-_NEEDLES = """nd AS (SELECT doc_id, block_seq AS seq, CASE block_seq % 7 WHEN 3 THEN reverse(text) WHEN 5 THEN left(text, 9) ELSE text END AS text, 2 AS fallback FROM blocks WHERE block_type <> 'table')"""
+_NEEDLES = """nd AS (SELECT doc_id, block_seq AS seq, CASE block_seq % 7 WHEN 3 THEN reverse(text) ELSE text END AS text, 2 AS fallback FROM blocks WHERE block_type <> 'table')"""
 
 
 @query("d4_locate", f"""WITH {_NEEDLES},
@@ -140,26 +140,25 @@ _NEEDLES = """nd AS (SELECT doc_id, block_seq AS seq, CASE block_seq % 7 WHEN 3
       FROM lc JOIN nk ON nk.doc_id = lc.doc_id AND nk.k = lc.k + 1 JOIN np ON np.doc_id = nk.doc_id JOIN pg ON pg.doc_id = nk.doc_id GROUP BY ALL))
   SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(page AS INTEGER) AS page FROM lc WHERE k > 0""", "blocks document_pages")
 def _(t):
-    text = F.expr("CASE block_seq % 7 WHEN 3 THEN reverse(text) WHEN 5 THEN left(text, 9) ELSE text END")
+    text = F.expr("CASE block_seq % 7 WHEN 3 THEN reverse(text) ELSE text END")
     needles = t.blocks.where("block_type <> 'table'").select("doc_id", F.col("block_seq").alias("seq"), text.alias("text"), F.lit(2).alias("fallback"))
     return D.locate(needles, t.document_pages)
 
 
-_PIECES = f"pieces AS (SELECT doc_id, page + CASE WHEN block_seq % 13 = 12 THEN 3 ELSE 0 END AS page, block_seq AS seq, {_TXT} AS text FROM bp WHERE {_TXT} <> '' AND block_seq % 4 < 3)"
+_PIECES = f"pieces AS (SELECT doc_id, page + CASE WHEN block_seq % 13 = 12 THEN 3 ELSE 0 END AS page, block_seq AS seq, {_TXT} AS text FROM bp WHERE {_TXT} <> '')"
 
 
 def _pieces(t):
     from paperweft.functions.text import strip
 
-    b = D.estimate_pages(t.blocks).where("block_seq % 4 < 3").withColumn("text", strip("text")).where("text <> ''")
+    b = D.estimate_pages(t.blocks).withColumn("text", strip("text")).where("text <> ''")
     return b.select("doc_id", (F.col("page") + F.when(F.col("block_seq") % 13 == 12, 3).otherwise(0)).alias("page"), F.col("block_seq").alias("seq"), "text")
 
 
 @query("d5_assemble_pages", f"""WITH {PAGED}, {_PIECES},
   on_ AS (SELECT doc_id, least(page, page_count) AS page_number, string_agg(text, chr(10) ORDER BY page, seq) AS text, bool_or(page > page_count) AS over FROM pieces JOIN pc USING (doc_id) GROUP BY ALL)
-  SELECT doc_id, p AS page_number, coalesce(CASE WHEN over THEN {O.strip('text')} ELSE text END, '') AS text
-  FROM (SELECT doc_id, unnest(range(1, page_count + 1))::INTEGER AS p FROM pc) LEFT JOIN on_ USING (doc_id) WHERE on_.page_number = p OR NOT EXISTS (SELECT 1 FROM on_ o WHERE o.doc_id = doc_id AND false)""".replace(
-    "LEFT JOIN on_ USING (doc_id) WHERE on_.page_number = p OR NOT EXISTS (SELECT 1 FROM on_ o WHERE o.doc_id = doc_id AND false)", "LEFT JOIN (SELECT doc_id, page_number AS p, text, over FROM on_) USING (doc_id, p)"), "blocks")
+  SELECT doc_id, page_number, coalesce(CASE WHEN over THEN {O.strip('text')} ELSE text END, '') AS text
+  FROM (SELECT doc_id, unnest(range(1, page_count + 1))::INTEGER AS page_number FROM pc) LEFT JOIN on_ USING (doc_id, page_number)""", "blocks")
 def _(t):
     return D.assemble_pages(_pieces(t), D.page_count(t.blocks))
 
@@ -221,16 +220,18 @@ def _(t):
 _NL = lambda x: O.norm_label(x)
 _D11 = f"""
   WITH e0 AS (SELECT * FROM {O.candidates('cells', 'text')}),
-  e1 AS (SELECT doc_id, table_index, row_no, pos, text, CASE WHEN kind IS NOT NULL AND {_NL('label')} <> '' THEN {_NL('label')} END AS el, value AS ev,
-      lead(text) OVER (PARTITION BY doc_id, table_index, row_no ORDER BY pos) AS nx, count(*) OVER (PARTITION BY doc_id, table_index, row_no) AS w FROM e0),
-  e2 AS (SELECT *, count(el) OVER (PARTITION BY doc_id, table_index, row_no) AS ne FROM e1),
-  f1 AS (SELECT doc_id, table_index, row_no, pos AS cell_index, el AS label, ev AS value FROM e2 WHERE el IS NOT NULL
-    UNION ALL SELECT doc_id, table_index, row_no, pos, {_NL('text')}, {O.strip('nx')} FROM e2 WHERE ne = 0 AND pos % 2 = 0 AND pos < w - 1 AND {_NL('text')} <> '' AND {O.table_label(_NL('text'))}
-      AND (doc_id, table_index, row_no) IN (SELECT (doc_id, table_index, row_no) FROM cells WHERE text <> '')),
-  rv AS (SELECT doc_id, table_index, row_no, {_NL('text')} AS label FROM e2 WHERE w = 2 AND pos = 1 AND {_NL('text')} <> '' AND {O.table_label(_NL('text'))} AND (doc_id, table_index, row_no) NOT IN (SELECT (doc_id, table_index, row_no) FROM f1)),
+  e1 AS MATERIALIZED (SELECT doc_id, table_index, row_no, pos, {_NL('text')} AS nt, CASE WHEN kind IS NOT NULL THEN nullif({_NL('label')}, '') END AS el, value AS ev,
+      lead(text) OVER (r ORDER BY pos) AS nx, lag(text) OVER (r ORDER BY pos) AS pv, count(*) OVER r AS w, bool_or(text <> '') OVER r AS filled
+    FROM e0 WINDOW r AS (PARTITION BY doc_id, table_index, row_no)),
+  e2 AS MATERIALIZED (SELECT *, count(el) OVER (PARTITION BY doc_id, table_index, row_no) AS ne, nt <> '' AND {O.table_label('nt')} AS tl FROM e1),
+  e3 AS MATERIALIZED (SELECT *, ne = 0 AND pos % 2 = 0 AND pos < w - 1 AND tl AND filled AS left_label FROM e2),
+  e4 AS MATERIALIZED (SELECT *, bool_or(left_label OR el IS NOT NULL) OVER (PARTITION BY doc_id, table_index, row_no) AS found FROM e3),
+  f1 AS (SELECT doc_id, table_index, row_no, pos AS cell_index, el AS label, ev AS value FROM e4 WHERE el IS NOT NULL
+    UNION ALL SELECT doc_id, table_index, row_no, pos, nt, {O.strip('nx')} FROM e4 WHERE left_label),
+  rv AS (SELECT doc_id, table_index, row_no, nt AS label, pv FROM e4 WHERE w = 2 AND pos = 1 AND tl AND NOT found),
   ff AS (SELECT doc_id, table_index, min(row_no) AS r FROM f1 GROUP BY ALL), rr AS (SELECT doc_id, table_index, min(row_no) AS r FROM rv GROUP BY ALL),
-  al AS (SELECT * FROM f1 UNION ALL SELECT rv.doc_id, rv.table_index, rv.row_no, 1, rv.label, c.text FROM rv JOIN rr ON rr.doc_id = rv.doc_id AND rr.table_index = rv.table_index AND rr.r = rv.row_no
-      LEFT JOIN ff ON ff.doc_id = rv.doc_id AND ff.table_index = rv.table_index JOIN cells c ON c.doc_id = rv.doc_id AND c.table_index = rv.table_index AND c.row_no = rv.row_no AND c.pos = 0 WHERE ff.r IS NULL OR rr.r < ff.r)
+  al AS (SELECT * FROM f1 UNION ALL SELECT rv.doc_id, rv.table_index, rv.row_no, 1, rv.label, rv.pv FROM rv JOIN rr ON rr.doc_id = rv.doc_id AND rr.table_index = rv.table_index AND rr.r = rv.row_no
+      LEFT JOIN ff ON ff.doc_id = rv.doc_id AND ff.table_index = rv.table_index WHERE ff.r IS NULL OR rr.r < ff.r)
   SELECT doc_id, table_index, row_no, cell_index, label, value, {O.slug('label')} || '_table_' || (table_index + 1) || '_row_' || (row_no + 1) || '_cell_' || (cell_index + 1) AS field_id FROM al"""
 
 
