@@ -208,14 +208,14 @@ def validate_output(headers: DataFrame, fields: DataFrame, schema: DataFrame, ke
     rows = fields.join(head.select(*keys, "expected_id", "_head"), keys).join(known, ["expected_id", "field_id"], "left")
     first = rows.groupBy(*keys, "field_id").agg(F.min("pos").alias("_first"))
     rows = rows.join(first, [*keys, "field_id"], "left")
-    number = F.col("confidence_kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    number = F.col("confidence_kind").rlike("^(BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL.*)$")  # a JSON boolean counts as a number
     given = lambda c: F.coalesce(F.col(c), F.lit("VOID")) != "VOID"
     problem = (
         F.when(~F.startswith("item_kind", F.lit("OBJECT")), "Invalid field entry")
         .when(F.col("_label").isNull(), F.concat(F.lit("Unknown field: "), _or_none(F.col("field_id"))))
         .when(F.col("pos") > F.col("_first"), F.concat(F.lit("Duplicate field: "), F.col("field_id")))
         .when(given("source_kind") & ~F.startswith("source_kind", F.lit("OBJECT")), "Invalid source object")
-        .when(given("page_kind") & (F.col("page_kind") != "BIGINT"), "Invalid source page number")
+        .when(given("page_kind") & ~F.col("page_kind").isin("BIGINT", "BOOLEAN"), "Invalid source page number")
         .when(given("text_kind") & (F.col("text_kind") != "STRING"), "Invalid source text")
         .when(given("confidence_kind") & ~number, "Invalid source confidence")
     )

@@ -101,7 +101,10 @@ def _unescape_each(s: pd.Series) -> pd.Series:
 
 
 def html_fields(pages: DataFrame, html: str = "html", limit: int = 20) -> DataFrame:
-    """Page-local fields from visible text: distinct blocks in order, split at the first colon."""
+    """Page-local fields from visible text: distinct blocks in order, split at the first colon.
+
+    A block that reads ``&nbsp;`` once decoded keeps its number but is no field.
+    """
     df = X.let(pages, _raw=F.concat(H.html_blocks(html), F.array(H.drop_tags(html))))
     df = df.withColumn("_raw", _unescape_each("_raw"))
     df = X.let(df, _all=F.transform("_raw", X.squeeze))
@@ -120,7 +123,7 @@ def html_fields(pages: DataFrame, html: str = "html", limit: int = 20) -> DataFr
             .when(F.length(block) > 80, F.concat(F.lit("Page value "), n))
             .otherwise(F.concat(F.lit("Value "), n))
         )
-        return F.struct((i + 1).alias("idx"), label.alias("field_label"), F.when(split, right).otherwise(block).alias("value"))
+        return F.struct((i + 1).alias("idx"), label.alias("field_label"), F.when(block == "&nbsp;", "").when(split, right).otherwise(block).alias("value"))
 
     fields = F.filter(F.transform(blocks, field), lambda f: f["value"] != "")
     keep = [c for c in pages.columns if c != html]

@@ -219,3 +219,22 @@ def test_positions_of_long_tables_do_not_reach_the_next_block(spark):
     pages = spark.createDataFrame([(1, 1, "far row"), (1, 2, "next row")], "doc_id long, page_number int, text string")
     got = sorted((r.page_number, r.row_text) for r in rows_by_page(blocks, texts, tables, pages).collect())
     assert got == [(1, "far row"), (2, "next row")]
+
+
+def test_json_booleans_are_numbers(spark):
+    schema = spark.createDataFrame([("T", "a", "A")], "template_id string, field_id string, field_label string")
+    text = '{"fields":[{"field_id":"a","value":"1","confidence":0.5,"source":{"page_number":true,"confidence":false}}]}'
+    r = spark.createDataFrame([(0, text, "stop")], "k int, response string, done_reason string")
+    heads = r.select("k", F.lit("T").alias("expected_id"), F.lit("1").alias("expected_version"), F.lit("T").alias("template_id"), F.lit("1").alias("template_version"))
+    ok, errors = E.validate_output(heads, E.output_fields(E.parse_output(r), ["k"]), schema, ["k"])
+    assert rows(errors, "k", "error") == [] and rows(ok, "field_id", "page_number") == [("a", 1)]
+
+
+def test_blocks_that_read_nbsp_are_no_fields(spark):
+    page = spark.createDataFrame([(1, "<p>one</p><p>&amp;nbsp;</p><p>a: b</p>")], "page_id int, html string")
+    assert rows(P.html_fields(page), "idx", "field_label", "value") == [(1, "Value 1", "one"), (3, "a", "b")]
+
+
+def test_needs_review_of_exact_decimals(spark):
+    f = spark.createDataFrame([(1, "0.9"), (1, "0.5"), (2, "0.69"), (3, None)], "k int, c string").withColumn("c", F.col("c").cast("decimal(3,2)"))
+    assert rows(P.needs_review(f, ["k"], "c"), "k", "needs_review") == [(1, False), (2, True), (3, True)]

@@ -84,7 +84,7 @@ P6 = f"""
   b5 AS (SELECT page_id, idx, block, contains(block, ':') AND length({O.strip("split_part(block, ':', 1)")}) <= 60 AS sp FROM b4),
   b6 AS (SELECT page_id, idx, CASE WHEN sp THEN coalesce(nullif({O.strip("split_part(block, ':', 1)")}, ''), 'Page value ' || idx)
             WHEN length(block) > 80 THEN 'Page value ' || idx ELSE 'Value ' || idx END AS field_label,
-            CASE WHEN sp THEN {O.strip("substr(block, strpos(block, ':') + 1)")} ELSE block END AS value FROM b5),
+            CASE WHEN block = '&nbsp;' THEN '' WHEN sp THEN {O.strip("substr(block, strpos(block, ':') + 1)")} ELSE block END AS value FROM b5),
   html_fields AS (SELECT page_id, idx, field_label, value FROM b6 WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY idx) <= 20)"""
 
 
