@@ -22,6 +22,8 @@ from .store import stored
 _U = np.uint64
 #: Bytes of contexts that are compared at once; a key is never cut.
 CHUNK = 4 << 20
+#: Occurrences of an anchor from which on its windows travel alone, each under its own hash.
+HOT = 20_000
 RANGES = "array<struct<start:int,end:int>>"
 
 
@@ -61,8 +63,10 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def occurrences(src: DataFrame, unit: Unit) -> DataFrame:
-    """(doc_id, marks): for every document, the marks of its anchors that occur elsewhere.
+def occurrences(src: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
+    """(doc_id, marks, hot): for every document, the marks of its anchors that occur elsewhere.
+
+    ``hot`` lists, once or more over all documents, the keys of anchors with more than ``hot`` occurrences.
 
     A batch sends a repeated anchor once under its hash; its other occurrences are known to repeat and
     travel under keys of their own, so a passage that a third of the documents share stays spread.
@@ -79,15 +83,16 @@ def occurrences(src: DataFrame, unit: Unit) -> DataFrame:
             if parts:
                 key, doc, mark = (np.concatenate(x) for x in zip(*parts))
                 _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                sure = count[inverse] > 1
-                later = sure & (first[inverse] != np.arange(len(key)))
+                later = first[inverse] != np.arange(len(key))
+                n = np.where(later, 0, count[inverse])
                 key = np.where(later, W.mix(doc.astype(_U) * _U(0x9E3779B97F4A7C15) + mark.astype(_U)), key)
-                yield pa.record_batch([_signed(key), pa.array(doc), pa.array(mark), pa.array(sure)], ["key", "doc_id", "mark", "sure"])
+                yield pa.record_batch([_signed(key), pa.array(doc), pa.array(mark), pa.array(n)], ["key", "doc_id", "mark", "n"])
 
     by_key = Window.partitionBy("key").orderBy("doc_id")
-    rows = src.where("doc_id is not null").mapInArrow(emit, "key long, doc_id long, mark long, sure boolean")
-    again = rows.select("doc_id", "mark", "sure", F.lag("mark").over(by_key).alias("l"), F.lead("mark").over(by_key).alias("n"))
-    return stored(again.where("sure or l is not null or n is not null").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")))
+    rows = src.where("doc_id is not null").mapInArrow(emit, "key long, doc_id long, mark long, n long")
+    so_far = F.sum("n").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    again = rows.select("doc_id", "mark", "n", F.lag("mark").over(by_key).alias("l"), F.lead("mark").over(by_key).alias("r"), F.when(so_far > hot, F.col("key")).alias("key"))
+    return stored(again.where("n != 1 or l is not null or r is not null").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"), F.collect_set("key").alias("hot")))
 
 
 def contexts(src: DataFrame, marked: DataFrame, unit: Unit, payload: Callable) -> DataFrame:
@@ -95,7 +100,14 @@ def contexts(src: DataFrame, marked: DataFrame, unit: Unit, payload: Callable) -
 
     ``data`` is what ``payload`` makes of the owned windows. Later equal contexts of the task (documents
     come in order of doc_id) repeat as a whole: they are sent as ranges, with ``data`` NULL.
+
+    The windows of a hot anchor are contexts of one window each, whose key is a hash of the whole window. So
+    different windows of one anchor don't meet, and of equal ones a task sends one. The driver collects the
+    hot keys: 8 bytes for every ``HOT`` anchors at most.
     """
+    keys = [r.key for r in marked.select(F.explode("hot").alias("key")).distinct().collect()]
+    hot = np.sort(np.array(keys, np.int64)).view(_U)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], tuple[int, int]] = {}
         for batch in batches:
@@ -110,10 +122,17 @@ def contexts(src: DataFrame, marked: DataFrame, unit: Unit, payload: Callable) -
                 packed = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
                 at, back, n = unpack(packed)
                 at = at + own[doc]
+                key = W.gram_hashes(items, unit.gram)[at]
+                alone = np.isin(key, hot)
+                if alone.any():
+                    times = np.where(alone, n, 1)
+                    place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    at, back, n, doc, key, alone = (np.repeat(x, times) for x in (at, back, n, doc, key, alone))
+                    back, n = back - place, np.where(alone, 1, n)
                 start = at - back
                 stop = start + n - 1 + unit.window
-                key = W.range_hashes(items, at, at + unit.gram)
                 same = W.range_hashes(items, start, stop) ^ W.mix(back.astype(_U))
+                key = np.where(alone, W.mix(key + same), key)
                 data = payload(unit, piece, items, at, back, stop)
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 local = start - own[doc]
@@ -136,14 +155,15 @@ def contexts(src: DataFrame, marked: DataFrame, unit: Unit, payload: Callable) -
                     _signed(np.array(out[0], _U)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()),
                     pa.array(out[4], pa.binary()), pa.array(out[5], pa.int32())], ["key", "doc_id", "start", "own", "data", "end"])
 
-    joined = src.where("doc_id is not null").join(marked.hint("merge"), "doc_id").select("doc_id", "text", "marks").sortWithinPartitions("doc_id")
+    joined = src.where("doc_id is not null").join(marked.drop("hot").hint("merge"), "doc_id").select("doc_id", "text", "marks").sortWithinPartitions("doc_id")
     return joined.mapInArrow(emit, "key long, doc_id long, start int, own int, data binary, end int")
 
 
 def resolve(rows: DataFrame, unit: Unit, judge: Callable) -> DataFrame:
     """(doc_id, start, end): ranges covered by windows that also start earlier.
 
-    Contexts of one key meet in one task, sorted; about ``CHUNK`` bytes of keys are judged at once.
+    Contexts of one key meet in one task, sorted; about ``CHUNK`` bytes of keys are judged at once. A key
+    has at most ``HOT`` contexts, or one a task of ``contexts``.
     ``judge(unit, key, doc, start, own, data, length)`` gets them in order of (doc_id, start) and returns a
     boolean matrix (context x owned start).
     """
@@ -222,9 +242,9 @@ def earlier(group, row, place, doc, start, own, unit: Unit) -> np.ndarray:
     return hit
 
 
-def repeated_ranges(docs: DataFrame, unit: Unit, payload: Callable = extensions, judge: Callable = judge_extensions) -> DataFrame:
+def repeated_ranges(docs: DataFrame, unit: Unit, payload: Callable = extensions, judge: Callable = judge_extensions, hot: int = HOT) -> DataFrame:
     """(doc_id, ranges) of documents (doc_id, text) with items covered by a window that also starts earlier."""
-    rows = resolve(contexts(docs, occurrences(docs, unit), unit, payload), unit, judge)
+    rows = resolve(contexts(docs, occurrences(docs, unit, hot), unit, payload), unit, judge)
     return rows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
@@ -259,7 +279,7 @@ def _cleaned(unit: Unit, texts: pa.Array, ranges: list, give_text: bool) -> pa.A
 
 
 def remove(docs: DataFrame, unit: Unit, payload: Callable = extensions, judge: Callable = judge_extensions, give_text: bool = False,
-           doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+           doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_items, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining text) of every row.
 
     An item goes when a window of ``unit.window`` items that covers it also starts earlier: in a document
@@ -268,7 +288,7 @@ def remove(docs: DataFrame, unit: Unit, payload: Callable = extensions, judge: C
     document; a row with a NULL doc_id keeps all and is no earlier occurrence of anything.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = repeated_ranges(src, unit, payload, judge)
+    found = repeated_ranges(src, unit, payload, judge, hot)
     kind = "struct<n_items: long, n_removed: long, n_spans: long, kept_sha256: string" + (", kept: string>" if give_text else ">")
     clean = F.arrow_udf(lambda texts, ranges: _cleaned(unit, texts, ranges.to_pylist(), give_text), kind)
     return src.join(found, "doc_id", "left").select("doc_id", clean("text", "ranges").alias("r")).select("doc_id", "r.*")

@@ -76,3 +76,19 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     got = sorted((str(r.doc_id), r.n_removed) for r in repeats.remove(df, repeats.Unit("word", 20, 8)).collect())
     assert got == [("1", 0), ("1", 0), ("2", 50), ("None", 0)]
     assert repeats.remove(df.limit(0), repeats.Unit("word", 20, 8)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["word", "byte"])
+def test_hot_anchors_are_spread(spark, kind):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(6))
+    some = [" ".join(word() for _ in range(30)) for _ in range(6)]
+    shared = " ".join(f"shared{i}" for i in range(10))
+    docs = corpus(5) + [(1000 + i, f"{word()} {r.choice(some)} {shared} {r.choice(some)} {word()}") for i in range(300)]
+    how = (suffixes.context_bytes, suffixes.judge_suffixes) if kind == "byte" else (repeats.extensions, repeats.judge_extensions)
+    unit, cut = (repeats.Unit("byte", 100, 32), (lambda t: [bytes([b]) for b in t.encode()], b"".join)) if kind == "byte" else (repeats.Unit("word", 20, 8), (lambda t: [w.encode() for w in t.split()], b" ".join))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_items, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove(df, unit, *how, hot=20).collect()}
+    assert got == brute(docs, unit.window, *cut)
+    most = lambda hot: repeats.contexts(df, repeats.occurrences(df, unit, hot), unit, how[0]).where("data is not null").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert most(20) <= 20 < most(10**9)
