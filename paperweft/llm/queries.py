@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, digests, jaccard, language, lines, mixing, pii, repeats, suffixes, tokencounts
+from . import decontaminate, digests, jaccard, language, lines, mixing, periodic, pii, repeats, suffixes, tokencounts, topk, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +218,49 @@ from d left join kept using (doc_id) left join n using (doc_id)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document outside templates that three documents share."""
     return lines.drop_templates(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op11_exact_topk", """
+with d as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+q as (select vec_id as query_id, x, row_number() over () as slot from d where vec_id % 50 = 0),
+s as (
+  select slot, query_id, d.vec_id, coalesce(list_sum(list_transform(list_zip(q.x, d.x), lambda z: coalesce(z[1], 0)::hugeint * coalesce(z[2], 0))), 0)::bigint as score
+  from q join d on d.vec_id is distinct from q.query_id),
+r as (select *, row_number() over (partition by slot order by score desc, vec_id nulls last) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best rows by integer inner product for every row whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def repeat_tail(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    """The contract's planted runs: words from place a on become repetitions of the first p of them."""
+    out = []
+    for doc, text in zip(ids.to_pylist(), texts.to_pylist()):
+        w = (text or "").encode("utf-8", "replace").split()
+        if doc is None or not w:
+            out.append(text)
+            continue
+        g = zlib.crc32(str(doc).encode()) // 10
+        a = g % len(w)
+        p = 1 + (len(w) - a) // (3 + g % 8)
+        out.append(b" ".join(w[:a] + [w[a + i % p] for i in range(len(w) - a)]).decode("utf-8", "replace"))
+    return pa.array(out, pa.string())
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, a tenth of them with a repeated tail; tested against brute force in tests/llm."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    tail = F.arrow_udf(repeat_tail, "string")(F.when(chosen, F.col("doc_id")), F.when(chosen, F.col("text")))
+    return periodic.periodic_runs(docs.withColumn("text", F.when(chosen, tail).otherwise(F.col("text"))))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First eight whitened components of every vector; tested against an eigendecomposition in tests/llm."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=8, scale=1024, shift=100_000)

@@ -37,6 +37,12 @@ def folder(tmp_path_factory):
     none = dict.fromkeys(items.column_names)
     more = [none | {"item_id": items["item_id"][0].as_py()}, none | {"item_id": items["item_id"][1].as_py(), "text": ""}]
     pq.write_table(pa.Table.from_pylist(items.to_pylist() + more, items.schema), path / "benchmark.parquet")
+    vectors = table("embeddings").slice(0, 120)
+    bad = [None, [], [0.5], [None] * 64, [float("nan")] * 64, [0.25] * 63 + [float("inf")], [0.25] * 64, [0.25] * 64, [0.25] * 64]
+    more = [{"vec_id": i, "embedding": x, "label": None} for i, x in zip((1000, 1050, 1100, 1150, 1200, 1250, 1300, 1300, None), bad)]
+    more += [{"vec_id": 2000 + i, "embedding": [0.5, -0.5] * 32, "label": i} for i in range(60)]
+    every = pa.concat_tables([vectors, pa.Table.from_pylist(more, vectors.schema)])
+    pq.write_table(every.append_column("rank", pa.nulls(len(every), pa.int32())).append_column("x", pa.nulls(len(every), pa.int32())), path / "embeddings.parquet")
     return str(path)
 
 
@@ -47,7 +53,7 @@ def normal(rows):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_edge_cases_equal_sql(spark, folder, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         db.execute(f"create view {t} as from '{folder}/{t}.parquet'")
     want = db.execute(SQL[name])
     names = [c[0] for c in want.description]
