@@ -1,98 +1,156 @@
 """Line dedup with a log-template tree.
 
-Lines go down a tree of fixed depth: number of tokens, then the leading tokens. In a leaf, a field whose
-token occurs in few documents at its place is variable; what remains is the line's template. Templates
-that recur across documents are dropped.
+Lines go down a tree of fixed depth: number of tokens, then the leading tokens. In a leaf, a field is constant
+where more than half of the leaf's lines hold the same token; the other fields are variable. What remains is the
+line's template. Templates that recur across documents are dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import words as W
 from .store import stored
 
-ANY = b"<*>"
-_DIGIT = re.compile(rb"[0-9]")
+_U = np.uint64
+#: Hash of a variable field.
+ANY = 0
 #: Leading tokens that the tree branches on.
 DEPTH = 2
-#: Documents that a leaf, a constant token and a dropped template need.
+#: Documents that a dropped template needs.
 MIN_DOCS = 3
-#: Lines of fewer tokens are kept.
-MIN_TOKENS = 4
 #: Tenths of the tokens after the leading ones that a generalised template keeps constant.
 CONSTANT_TENTHS = 6
-
-
-def _hash(*parts: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(b"\0".join(parts))
-    return h - (1 << 64) if h >> 63 else h
-
-
-def tokens(line: bytes) -> list[bytes]:
-    """Tokens between ASCII white space; one with a digit is variable from the start."""
-    words = line.split()
-    return [ANY if _DIGIT.search(w) else w for w in words] if _DIGIT.search(line) else words
-
-
-def line_rows(docs: DataFrame, with_line: bool) -> DataFrame:
-    """(doc_id, leaf), or also (line_no, n, whole, line), of lines of at least ``MIN_TOKENS`` tokens.
-
-    ``leaf`` hashes the path in the tree, ``whole`` all tokens.
-    """
-    def parse(batches):
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, line in enumerate((text or "").encode("utf-8", "replace").split(b"\n")):
-                    t = tokens(line)
-                    if len(t) >= MIN_TOKENS:
-                        leaf = _hash(b"%d" % len(t), *t[:DEPTH])
-                        rows.append((doc, leaf, i, len(t), _hash(b"line", *t), line) if with_line else (doc, leaf))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())[: 6 if with_line else 2]
-            columns = list(zip(*rows)) or [[] for _ in kinds]
-            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["doc_id", "leaf", "line_no", "n", "whole", "line"][: len(kinds)])
-
-    return docs.select("doc_id", "text").mapInArrow(parse, "doc_id long, leaf long" + ", line_no int, n int, whole long, line binary" * with_line)
-
-
-def _fields(batches):
-    """A row for every field that isn't variable from the start: hash of (leaf, place, token)."""
+#: Parts into which the rows of one leaf or template are split when they meet its summary.
+SALTS = 32
+#: Bits of the map of leaves that enough documents share: 8 MB, whatever the number of leaves.
+MAP_BITS = 1 << 26
+
+
+class Lines:
+    """The non-blank lines of a block of documents, with hashed tokens; one with a digit is variable from the start."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        starts, ends, counts = W.spans(raw, offsets)
+        exact = W.word_hashes(raw, starts, ends)
+        digits = np.concatenate([[0], np.cumsum((raw >= 0x30) & (raw <= 0x39))])
+        self.tokens = np.where(digits[ends] > digits[starts], _U(ANY), exact | _U(1))
+        breaks = np.flatnonzero(raw == 0x0A)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[:-1])[doc]
+        new = np.ones(len(starts), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
+        self.head = np.flatnonzero(new)
+        self.stop = np.concatenate([self.head[1:], [len(starts)]]).astype(np.int64)
+        self.doc, self.line, self.n = doc[self.head], line[self.head], self.stop - self.head
+        first = self.tokens[self.head]
+        second = self.tokens[np.minimum(self.head + 1, max(len(starts) - 1, 0))] if len(starts) else first
+        self.leaf = W.mix(W.mix(self.n.astype(_U)) + W.mix(first + _U(2)) * _U(3) + np.where(self.n > 1, W.mix(second + _U(5)), _U(0)))
+        general = np.concatenate([[0], np.cumsum(self.tokens != _U(ANY))])
+        some = general[self.stop] > general[self.head]
+        self.whole = np.where(some, W.range_hashes(self.tokens, self.head, self.stop), ~W.range_hashes(exact, self.head, self.stop))
+        self.some = some
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Lines]]:
     for batch in batches:
-        out = ([], [], [], [])
-        for doc, i, leaf, line in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "line_no", "leaf", "line"))):
-            for place, token in enumerate(tokens(line)):
-                if token != ANY:
-                    for column, value in zip(out, (_hash(b"%d,%d" % (leaf, place), token), doc, i, place < DEPTH)):
-                        column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-        yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, kinds)], ["field", "doc_id", "line_no", "leading"])
-
-
-def _shared(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """Keys that occur in ``min_docs`` documents; partial sums first, so a frequent key costs a row a task."""
-    return rows.select(key, "doc_id").distinct().groupBy(key).agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs).select(key)
+        raw, offsets = W.flat(batch.column(1))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for lo, hi in W.blocks(offsets):
+            yield ids[lo:hi], Lines(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+
+def _signed(a: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(a).view(np.int64))
+
+
+def shared_leaves(docs: DataFrame, min_docs: int) -> np.ndarray:
+    """A map of ``MAP_BITS`` bits with the leaves of at least ``min_docs`` rows; other leaves rarely share a bit."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _blocks(batches):
+            pair = np.unique(np.rec.fromarrays([x.leaf, x.doc]))
+            leaf, n = np.unique(pair.f0, return_counts=True)
+            yield pa.record_batch([_signed(leaf), pa.array(n)], ["leaf", "n"])
+
+    many = docs.mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
+    bit = F.pmod("leaf", F.lit(MAP_BITS)) + 1  # places in these maps count from 1
+    parts = many.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for part, bits in zip(parts.column("part").to_pylist(), parts.column("bits").to_pylist()):  # parts count from 1 and hold 32,768 bits
+        at = (part - 1) * 4096
+        out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)[: len(out) - at]
+    return out
+
+
+def live_lines(docs: DataFrame, leaves) -> DataFrame:
+    """(doc_id, line_no, leaf, whole, some, tokens, salt) of the lines whose leaf is on the broadcast map ``leaves``."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = leaves.value
+        for ids, x in _blocks(batches):
+            at = (x.leaf.view(np.int64) % MAP_BITS).astype(np.int64)
+            use = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            n = x.n[use]
+            edge = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            flat = np.repeat(x.head[use], n) + np.arange(edge[-1]) - np.repeat(edge[:-1], n)
+            tokens = pa.ListArray.from_arrays(pa.array(edge), _signed(x.tokens[flat]))
+            doc = ids[x.doc[use]].astype(np.int64)
+            salt = (W.mix(doc.astype(_U)) % _U(SALTS)).astype(np.int32)
+            yield pa.record_batch([pa.array(doc), pa.array(x.line[use].astype(np.int32)), _signed(x.leaf[use]), _signed(x.whole[use]), pa.array(x.some[use]), tokens, pa.array(salt)],
+                                  ["doc_id", "line_no", "leaf", "whole", "some", "tokens", "salt"])
+
+    return docs.mapInArrow(emit, "doc_id long, line_no int, leaf long, whole long, some boolean, tokens array<long>, salt int")
+
+
+def _with_salts(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def constants(near: DataFrame) -> DataFrame:
+    """(leaf, places, values): the fields after the leading ones of which more than half of the leaf's lines hold one token."""
+    fields = near.select("leaf", F.posexplode("tokens").alias("place", "token")).where((F.col("place") >= DEPTH) & (F.col("token") != ANY))
+    often = fields.groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = near.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
+    most = often.join(sizes, "leaf").where("2 * n > lines")
+    return most.groupBy("leaf").agg(F.collect_list("place").alias("places"), F.collect_list("token").alias("values"))
+
+
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The template of every line: its leaf and the constants it holds, or the line as a whole if those are too few."""
+    for batch in batches:
+        leaf, whole, some = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "whole", "some"))
+        tokens, places, values = (batch.column(c) for c in ("tokens", "places", "values"))
+        begin = tokens.offsets.to_numpy()
+        first = begin[:-1]
+        n = np.diff(begin)
+        row = np.repeat(np.arange(len(batch)), pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy())
+        place, value = places.flatten().to_numpy(), values.flatten().to_numpy()
+        held = tokens.values.to_numpy()[first[row] + place] == value
+        row, place, value = row[held], place[held], value[held]
+        fixed = np.bincount(row, minlength=len(batch))
+        each = W.mix(value.view(_U) ^ W.mix(place.astype(_U) + _U(1)))
+        total = np.zeros(len(batch), _U)
+        np.add.at(total, row, each)
+        general = some & (fixed * 10 >= (n - DEPTH) * CONSTANT_TENTHS)
+        template = np.where(general, W.mix(leaf.view(_U) + total), W.mix(whole.view(_U) ^ _U(0x9E3779B97F4A7C15)))
+        yield pa.record_batch([batch.column("doc_id"), batch.column("line_no"), _signed(template), batch.column("salt")], ["doc_id", "line_no", "template", "salt"])
 
 
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, line_no, template) of lines in leaves that ``min_docs`` documents share.
+    """(doc_id, line_no, template, salt) of lines in leaves that ``min_docs`` rows share.
 
-    A leaf's lines are never gathered: a field finds out whether it is constant by a join on (leaf,
-    place, token). A line with too few constants after its leading tokens is its own template
-    (numbers still variable).
+    A leaf's lines are never gathered: tokens are counted by (leaf, place, token), and the constants, a row a leaf, come
+    to the lines by a join on leaf and salt. Only the map of shared leaves passes the driver.
     """
-    near = stored(line_rows(docs, True).join(_shared(line_rows(docs, False), "leaf", min_docs), "leaf", "left_semi"))
-    fields = near.select("doc_id", "line_no", "leaf", "line").mapInArrow(_fields, "field long, doc_id long, line_no int, leading boolean")
-    constant = fields.join(_shared(fields, "field", min_docs), "field", "left_semi")
-    trees = constant.groupBy("doc_id", "line_no").agg(
-        F.xxhash64(F.array_sort(F.collect_set("field"))).alias("tree"), F.size(F.collect_set(F.when(~F.col("leading"), F.col("field")))).alias("fixed"))
-    general = F.col("fixed") * 10 >= (F.col("n") - DEPTH) * CONSTANT_TENTHS
-    template = F.when(general, F.xxhash64(F.lit("tree"), "leaf", "tree")).otherwise(F.xxhash64(F.lit("line"), "whole"))
-    return near.select("doc_id", "line_no", "leaf", "n", "whole").join(trees, ["doc_id", "line_no"], "left").select("doc_id", "line_no", template.alias("template"))
+    sent = docs.sparkSession.sparkContext.broadcast(shared_leaves(docs, min_docs))
+    near = stored(live_lines(docs, sent))
+    sent.destroy()
+    met = near.join(_with_salts(constants(near)), ["leaf", "salt"], "left").select("doc_id", "line_no", "leaf", "whole", "some", "tokens", "places", "values", "salt")
+    return met.mapInArrow(_name, "doc_id long, line_no int, template long, salt int")
 
 
 def _kept(texts: pa.Array, dropped: pa.Array) -> pa.Array:
@@ -108,12 +166,15 @@ def _kept(texts: pa.Array, dropped: pa.Array) -> pa.Array:
 def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256, kept of every row.
 
-    Lines end at line feeds; all lines of a template that occurs in ``min_docs`` documents go. NULL text
-    is one empty line; lines of fewer than ``MIN_TOKENS`` tokens stay. Rows of one doc_id must hold one
-    text and are one document; a row with a NULL doc_id keeps all its lines.
+    Lines end at line feeds; every line with a token goes down the tree, and all lines of a template that
+    occurs in ``min_docs`` documents go. A line of at most two tokens is its own template, numbers variable; one of
+    variable tokens only stands for itself, numbers and all. Blank lines stay. NULL text is one empty line. Rows of
+    one doc_id must hold one text and are one document (each row weighs in the shares); a row with a NULL doc_id keeps
+    all its lines and counts for nothing.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = stored(templates(src.where("doc_id is not null"), min_docs))
-    gone = named.join(_shared(named, "template", min_docs), "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
+    recurring = named.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    gone = named.join(_with_salts(recurring.select("template")), ["template", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
     clean = F.arrow_udf(_kept, "struct<n_lines: long, n_dropped: long, kept_sha256: string, kept: string>")
     return src.join(gone, "doc_id", "left").select("doc_id", clean("text", "dropped").alias("r")).select("doc_id", "r.*")

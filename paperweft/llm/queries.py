@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate, digests, jaccard, language, lines, mixing, periodic, pii, repeats, suffixes, tokencounts, topk, whitening
+from .store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,26 +111,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_token_counts", r"""
 with d as (
-  select source, lang, len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[|*%&#!]+', ' ', 'g'), '[^\x20\x09-\x0D]+')) as words,
+  select source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words,
     len(regexp_extract_all(coalesce(text, ''), '[0-9]+|[^\x00-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')) as pieces from documents)
-select source, lang, 'words-1' as tokenizer, count(*) as n_docs, sum(words)::bigint as n_tokens from d where words >= 20 group by all
+select source, lang, 'words-1' as tokenizer, count(*) as n_docs, sum(words)::bigint as n_tokens from d group by all
 union all
-select source, lang, 'pieces-1', count(*), sum(pieces)::bigint from d where words >= 20 group by all
+select source, lang, 'pieces-1', count(*), sum(pieces)::bigint from d group by all
 """)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted under two tokenizers, signs stripped and recounted, short documents deleted.
+    """Totals of all documents under two tokenizers, reached by inserts, revised counts, deletes and a repeated delivery.
 
-    The recount is delivered twice; the second delivery changes nothing.
+    Documents with certain signs first get a provisional count, from the text without them, and then the right one;
+    short documents are withdrawn and inserted again. The revision is delivered twice; the second changes nothing.
     """
     docs = table(spark, sf_dir, "documents")
     rollup = tokencounts.Rollup(spark, f"token_counts_{uuid.uuid4().hex}")
-    first = tokencounts.counted(docs, "words-1", F.col("text")).union(tokencounts.counted(docs, "pieces-1", F.col("text")))
-    rollup.commit("insert", first)
     signs = r"[|*%&#!]+"
-    revised = tokencounts.counted(docs.where(F.col("text").rlike(signs)), "words-1", F.regexp_replace("text", signs, " "))
+    words = tokencounts.counted(docs, "words-1", F.regexp_replace("text", signs, " "))
+    rollup.commit("insert", words.union(tokencounts.counted(docs, "pieces-1", F.col("text"))))
+    revised = tokencounts.counted(docs.where(F.col("text").rlike(signs)), "words-1", F.col("text"))
     rollup.commit("revise", revised)
-    short = rollup.entries().where("tokenizer = 'words-1' and tokens < 20").select("doc_id", "source", "lang")
-    rollup.commit("delete", short.select("*", F.explode(F.array(F.lit("words-1"), F.lit("pieces-1"))).alias("tokenizer"), F.lit(None).cast("long").alias("tokens")))
+    short = stored(rollup.entries().join(rollup.entries().where("tokenizer = 'words-1' and tokens < 20").select("doc_id"), "doc_id", "left_semi"))
+    rollup.commit("delete", short.withColumn("tokens", F.lit(None).cast("long")))
+    rollup.commit("again", short)
     rollup.commit("revise", revised)
     return rollup.totals()
 
@@ -196,24 +199,31 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_templates", r"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 l as (
-  select doc_id, i as line_no, list_transform(list_filter(regexp_split_to_array(ls[i + 1], '[\x20\x09-\x0D]+'), lambda x: x <> ''),
-    lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t from (select doc_id, ls, unnest(range(len(ls))) as i from d)),
-m as (select *, len(t) as n, t[1] as a, t[2] as b from l where len(t) >= 4),
-leaf as (select n, a, b from m group by all having count(distinct doc_id) >= 3),
-c as (select m.* from m join leaf using (n, a, b)),
-e as (select doc_id, line_no, n, a, b, t, unnest(range(len(t))) as place, unnest(t) as token from c),
-k as (select n, a, b, place, token, 1 as constant from e where token <> '<*>' group by all having count(distinct doc_id) >= 3),
-g as (
-  select doc_id, line_no, n, any_value(t) as t, list(case when constant is null then '<*>' else token end order by place) as tree, count(*) filter (place >= 2 and constant = 1) as fixed
-  from e left join k using (n, a, b, place, token) group by doc_id, line_no, n),
-x as (select doc_id, line_no, case when fixed * 10 >= (n - 2) * 6 then list_prepend('tree', tree) else list_prepend('line', t) end as template from g),
+  select doc_id, i as line_no, list_filter(regexp_split_to_array(ls[i + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from (select doc_id, ls, unnest(range(len(ls))) as i from d) where doc_id is not null),
+m as (
+  select doc_id, line_no, w, list_transform(w, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t, len(w) as n from l where len(w) > 0),
+k as (select *, t[1] as a, coalesce(t[2], '') as b from m),
+leaf as (select n, a, b, count(*) as lines from k group by all),
+e as (select n, a, b, unnest(range(len(t))) as place, unnest(t) as token from k),
+c as (
+  select n, a, b, place, token from (select n, a, b, place, token, count(*) as times from e where place >= 2 and token <> '<*>' group by all)
+  join leaf using (n, a, b) where 2 * times > lines),
+s as (select n, a, b, map(list(place), list(token)) as fixed from c group by all),
+f as (
+  select doc_id, line_no, n, t, w, list_transform(range(len(t)), lambda i: i < 2 or fixed[i] = t[i + 1]) as holds
+  from k left join s using (n, a, b)),
+x as (
+  select doc_id, line_no, case when len(list_filter(t, lambda v: v <> '<*>')) = 0 then list_prepend('exact', w)
+    when (len(list_filter(holds, lambda h: h)) - least(n, 2)) * 10 >= (n - 2) * 6 then list_prepend('tree', list_transform(range(len(t)), lambda i: case when holds[i + 1] then t[i + 1] else '<*>' end))
+    else list_prepend('line', t) end as template from f),
 r as (select template from x group by 1 having count(distinct doc_id) >= 3),
 gone as (select distinct doc_id, line_no from x join r using (template)),
 y as (select doc_id, ls[i + 1] as line, i as line_no from (select doc_id, ls, unnest(range(len(ls))) as i from d)),
 kept as (select doc_id, string_agg(line, chr(10) order by line_no) as text from y anti join gone using (doc_id, line_no) group by 1),
-n as (select doc_id, count(*) as n_dropped from gone group by 1)
+g as (select doc_id, count(*) as n_dropped from gone group by 1)
 select d.doc_id, len(ls) as n_lines, coalesce(n_dropped, 0) as n_dropped, sha256(coalesce(kept.text, '')) as kept_sha256
-from d left join kept using (doc_id) left join n using (doc_id)
+from d left join kept using (doc_id) left join g using (doc_id)
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document outside templates that three documents share."""

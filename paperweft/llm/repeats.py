@@ -95,6 +95,11 @@ def occurrences(src: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
     return stored(again.where("n != 1 or l is not null or r is not null").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"), F.collect_set("key").alias("hot")))
 
 
+def dealt(src: DataFrame) -> DataFrame:
+    """The texts of rows with a doc_id as both joins read them: equal plans, so Spark deals the texts once."""
+    return src.where("doc_id is not null").select("doc_id", "text")
+
+
 def contexts(src: DataFrame, marked: DataFrame, unit: Unit, payload: Callable) -> DataFrame:
     """One row for each distinct context of an anchor in a task: (key, doc_id, start, own, data, end).
 
@@ -155,7 +160,7 @@ def contexts(src: DataFrame, marked: DataFrame, unit: Unit, payload: Callable) -
                     _signed(np.array(out[0], _U)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()),
                     pa.array(out[4], pa.binary()), pa.array(out[5], pa.int32())], ["key", "doc_id", "start", "own", "data", "end"])
 
-    joined = src.where("doc_id is not null").join(marked.drop("hot").hint("merge"), "doc_id").select("doc_id", "text", "marks").sortWithinPartitions("doc_id")
+    joined = dealt(src).join(marked.select("doc_id", "marks").hint("merge"), "doc_id").select("doc_id", "text", "marks").sortWithinPartitions("doc_id")
     return joined.mapInArrow(emit, "key long, doc_id long, start int, own int, data binary, end int")
 
 
@@ -287,8 +292,11 @@ def remove(docs: DataFrame, unit: Unit, payload: Callable = extensions, judge: C
     empty; a text shorter than a window keeps all. Rows of one doc_id must hold one text and are one
     document; a row with a NULL doc_id keeps all and is no earlier occurrence of anything.
     """
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    same = doc_id == "doc_id" and dict(docs.dtypes)[doc_id] == "bigint"  # a plain column keeps both reads of the texts equal
+    src = docs.select("doc_id" if same else F.col(doc_id).cast("long").alias("doc_id"), "text" if text == "text" else F.col(text).alias("text"))
     found = repeated_ranges(src, unit, payload, judge, hot)
     kind = "struct<n_items: long, n_removed: long, n_spans: long, kept_sha256: string" + (", kept: string>" if give_text else ">")
     clean = F.arrow_udf(lambda texts, ranges: _cleaned(unit, texts, ranges.to_pylist(), give_text), kind)
-    return src.join(found, "doc_id", "left").select("doc_id", clean("text", "ranges").alias("r")).select("doc_id", "r.*")
+    none = src.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(RANGES).alias("ranges"))
+    every = dealt(src).join(found.hint("merge"), "doc_id", "left").select("doc_id", "text", "ranges").union(none)
+    return every.select("doc_id", clean("text", "ranges").alias("r")).select("doc_id", "r.*")

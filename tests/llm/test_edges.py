@@ -90,3 +90,20 @@ def test_language_on_held_out_documents(spark):
     found = queries.QUERIES["op1_language_mixture"](spark, path).join(docs, "doc_id").where("held_out and lang is not null")
     share = found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
     assert share >= 0.9, share
+
+
+def line_docs(spark, n, kinds):
+    """``n`` documents with one line of a template with two variable fields, a short line, numbers and a line of their own."""
+    rows = [(i, f"worker failed on host h{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}x{'uvwxyz'[i // 100 % 6]}{i // 600 * 'z'} in region r{'abcdefghij'[i % kinds]} after retry\n"
+             f"All rights reserved.\n{i} {i}\n7 7\nown {'abcdefghij'[i % 10]} line {'abcdefghij'[i // 10 % 10]} of {i} {'q' * (i + 1)} kind", None) for i in range(n)]
+    return spark.createDataFrame(rows + [(None, "All rights reserved.", None), (n, "\n \n", None), (n + 1, None, None)], "doc_id long, text string, template string")
+
+
+@pytest.mark.parametrize("n", [40, 2000])
+def test_templates_at_two_sizes(spark, n):
+    got = {r.doc_id: r for r in lines.drop_templates(line_docs(spark, n, 4)).collect()}
+    assert len(got) == n + 3
+    for i in range(n):
+        kept = got[i].kept.split("\n")
+        assert len(kept) == 2 and kept[0] == f"{i} {i}" and kept[1].startswith("own "), kept
+    assert (got[None].n_dropped, got[n].n_dropped, got[n + 1].n_lines) == (0, 0, 1)
