@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .store import fresh
 
 #: Characters of items in one automaton.
 BLOCK_CHARS = 8_000_000
@@ -163,6 +164,7 @@ def scan(automaton: Automaton, texts: pa.Array, earlier: pa.Array | None = None)
                 else:
                     spans.append([s, e])
             out.append({"n_words": int(counts[d]), "n_hit": sum(e - s for s, e in spans), "items": sorted(items), "spans": [{"start": s, "end": e} for s, e in spans]})
+    W.give_back()
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
     return pa.array(out, kind)
 
@@ -209,10 +211,16 @@ def remove_spans(texts: pa.Array, spans: pa.Array, drop_below: int) -> pa.Array:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, min_span: int = 10, max_coverage: float = 0.5, text: str = "text",
                   item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without test items: spans of at least ``min_span`` words are cut out of the text, and a
-    document of which more than ``max_coverage`` of the words are hit is removed."""
-    found = matches(docs, benchmark, size, text, item_id, item_text, "_match")
-    kept = found.where(F.col("_match.n_hit") <= F.col("_match.n_words") * F.lit(max_coverage))
+    document of which more than ``max_coverage`` of the words are hit is removed.
+
+    Touching and overlapping windows are one span. NULL and blank texts hold no words and stay as they are; repeated rows and
+    rows without an id are judged each; without items with words nothing is cut. All columns are kept, whatever their names.
+    """
+    match = fresh(docs, "match")
+    m = F.col(match)
+    found = matches(docs, benchmark, size, text, item_id, item_text, match)
+    kept = found.where(m["n_hit"] <= m["n_words"] * F.lit(max_coverage))
     cut = F.arrow_udf(lambda texts, spans: remove_spans(texts, spans, min_span), "string")
-    clean = F.when(F.col("_match.n_hit") > 0, cut(F.col(text), F.col("_match.spans"))).otherwise(F.col(text))
-    return kept.withColumn(text, clean).drop("_match")
+    clean = F.when(m["n_hit"] > 0, cut(F.col(text), m["spans"])).otherwise(F.col(text))
+    return kept.withColumn(text, clean).drop(match)
 

@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
             if parts:
                 n, one, two = (np.concatenate(x) for x in zip(*parts))
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), _signed(one), _signed(two)], ["doc_id", "n", "key", "key2"])
+            W.give_back()
 
     def sign(batches):
         sent: set[int] = set()  # a class signs once a task
@@ -230,12 +231,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
                         new[i] = True
                 sig, of, lane = signatures(h[np.repeat(new, counts)], counts[new], percent)
                 yield pa.record_batch([_signed(sig), _signed(key[new][of]), pa.array(lane)], ["sig", "key", "lane"])
+            W.give_back()
 
     def profile(batches):
         for batch in batches:
             for lo, hi, h, counts in _each(batch.column(1), size):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), _signed(h))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), lists], ["key", "set"])
+            W.give_back()
 
     sets = stored(src.mapInArrow(keys, "doc_id long, n long, key long, key2 long"))
     classes = stored(sets.where("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep")))

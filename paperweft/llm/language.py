@@ -31,10 +31,10 @@ _tables: list[np.ndarray] = []
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """(is a letter, lower-case form) by code point; a form of several characters is left as it is."""
     if not _tables:
-        chars = [chr(i) for i in range(sys.maxunicode + 1)]
-        _tables.append(np.fromiter((c.isalpha() for c in chars), bool, len(chars)))
-        small = (c.lower() for c in chars)
-        _tables.append(np.fromiter((ord(s) if len(s) == 1 else i for i, s in enumerate(small)), np.uint32, len(chars)))
+        n = sys.maxunicode + 1
+        _tables.append(np.fromiter((chr(i).isalpha() for i in range(n)), bool, n))
+        small = (chr(i).lower() for i in range(n))
+        _tables.append(np.fromiter((ord(s) if len(s) == 1 else i for i, s in enumerate(small)), np.uint32, n))
     return _tables[0], _tables[1]
 
 
@@ -92,6 +92,7 @@ class Model:
                 sets[d] = [(self.languages[i], p) for i, p in enumerate(row) if p > 0]
         names = [self.languages[i] if i >= 0 else UNKNOWN for i in best.tolist()]
         kind = pa.map_(pa.string(), pa.float64())
+        W.give_back()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.minimum(score, 1.0), pa.float64()), pa.array(sets, kind)], ["lang_pred", "score", "proportions"])
 
     def _mixtures(self, log_words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -167,6 +168,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_
                 for name, i in index.items():
                     sums.setdefault(name, np.zeros(BUCKETS, np.int64))
                     sums[name] += np.bincount(g[of_gram == i], minlength=BUCKETS)
+        W.give_back()
         for name, total in sums.items():
             some = np.flatnonzero(total)
             yield pa.record_batch([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some])], ["lang", "bucket", "n"])

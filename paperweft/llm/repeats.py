@@ -87,6 +87,7 @@ def occurrences(src: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
                 n = np.where(later, 0, count[inverse])
                 key = np.where(later, W.mix(doc.astype(_U) * _U(0x9E3779B97F4A7C15) + mark.astype(_U)), key)
                 yield pa.record_batch([_signed(key), pa.array(doc), pa.array(mark), pa.array(n)], ["key", "doc_id", "mark", "n"])
+            W.give_back()
 
     by_key = Window.partitionBy("key").orderBy("doc_id")
     rows = src.where("doc_id is not null").mapInArrow(emit, "key long, doc_id long, mark long, n long")
@@ -159,6 +160,7 @@ def contexts(src: DataFrame, marked: DataFrame, unit: Unit, payload: Callable) -
                 yield pa.record_batch([
                     _signed(np.array(out[0], _U)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()),
                     pa.array(out[4], pa.binary()), pa.array(out[5], pa.int32())], ["key", "doc_id", "start", "own", "data", "end"])
+            W.give_back()
 
     joined = dealt(src).join(marked.select("doc_id", "marks").hint("merge"), "doc_id").select("doc_id", "text", "marks").sortWithinPartitions("doc_id")
     return joined.mapInArrow(emit, "key long, doc_id long, start int, own int, data binary, end int")
@@ -263,22 +265,25 @@ def merged(ranges: list) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _cleaned(unit: Unit, texts: pa.Array, ranges: list, give_text: bool) -> pa.Array:
+def _cleaned(unit: Unit, texts: pa.Array, ranges: pa.Array, give_text: bool) -> pa.Array:
     raw, offsets = W.flat(texts)
-    starts, ends, counts = W.spans(raw, offsets) if unit.kind == "word" else (None, None, np.diff(offsets))
-    first = np.concatenate([[0], np.cumsum(counts)])
-    data = raw.tobytes()
     out = []
-    for d, found in enumerate(ranges):
-        gone = merged(found)
-        edge = [0, *[x for r in gone for x in r], int(counts[d])]
-        if unit.kind == "byte":
-            base = int(offsets[d])
-            kept = b"".join(data[base + a : base + b] for a, b in zip(edge[::2], edge[1::2]))
-        else:
-            kept = b" ".join(data[starts[i] : ends[i]] for a, b in zip(edge[::2], edge[1::2]) for i in range(first[d] + a, first[d] + b))
-        row = {"n_items": int(counts[d]), "n_removed": sum(b - a for a, b in gone), "n_spans": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest()}
-        out.append(row | ({"kept": kept.decode("utf-8", "replace")} if give_text else {}))
+    for lo, hi in W.blocks(offsets):
+        piece, own = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        starts, ends, counts = W.spans(piece, own) if unit.kind == "word" else (None, None, np.diff(own))
+        first = np.concatenate([[0], np.cumsum(counts)])
+        data = piece.tobytes()
+        for d, found in enumerate(ranges.slice(lo, hi - lo).to_pylist()):
+            gone = merged(found)
+            edge = [0, *[x for r in gone for x in r], int(counts[d])]
+            if unit.kind == "byte":
+                base = int(own[d])
+                kept = b"".join(data[base + a : base + b] for a, b in zip(edge[::2], edge[1::2]))
+            else:
+                kept = b" ".join(data[starts[i] : ends[i]] for a, b in zip(edge[::2], edge[1::2]) for i in range(first[d] + a, first[d] + b))
+            row = {"n_items": int(counts[d]), "n_removed": sum(b - a for a, b in gone), "n_spans": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+            out.append(row | ({"kept": kept.decode("utf-8", "replace")} if give_text else {}))
+    W.give_back()
     fields = [("n_items", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     return pa.array(out, pa.struct(fields + [("kept", pa.string())] * give_text))
 
@@ -296,7 +301,7 @@ def remove(docs: DataFrame, unit: Unit, payload: Callable = extensions, judge: C
     src = docs.select("doc_id" if same else F.col(doc_id).cast("long").alias("doc_id"), "text" if text == "text" else F.col(text).alias("text"))
     found = repeated_ranges(src, unit, payload, judge, hot)
     kind = "struct<n_items: long, n_removed: long, n_spans: long, kept_sha256: string" + (", kept: string>" if give_text else ">")
-    clean = F.arrow_udf(lambda texts, ranges: _cleaned(unit, texts, ranges.to_pylist(), give_text), kind)
+    clean = F.arrow_udf(lambda texts, ranges: _cleaned(unit, texts, ranges, give_text), kind)
     none = src.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(RANGES).alias("ranges"))
     every = dealt(src).join(found.hint("merge"), "doc_id", "left").select("doc_id", "text", "ranges").union(none)
     return every.select("doc_id", clean("text", "ranges").alias("r")).select("doc_id", "r.*")

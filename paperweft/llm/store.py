@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared(spark: SparkSession) -> str:
@@ -28,3 +28,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number of its own for each row, made once and written, and that column's name."""
+    key = fresh(df, "row_key")
+    return stored(df.withColumn(key, F.monotonically_increasing_id())), key

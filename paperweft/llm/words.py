@@ -7,6 +7,7 @@ hashed bytes or words alone, never on their place.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a batch: workers live on, and what they hold adds up over stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call on this platform
+        pass
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; NULL counts as empty."""
     if isinstance(column, pa.ChunkedArray):
