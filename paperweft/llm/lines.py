@@ -63,6 +63,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Lin
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for lo, hi in W.blocks(offsets):
             yield ids[lo:hi], Lines(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        W.give_back()
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -122,22 +123,26 @@ def constants(near: DataFrame) -> DataFrame:
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The template of every line: its leaf and the constants it holds, or the line as a whole if those are too few."""
     for batch in batches:
-        leaf, whole, some = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "whole", "some"))
-        tokens, places, values = (batch.column(c) for c in ("tokens", "places", "values"))
-        begin = tokens.offsets.to_numpy()
-        first = begin[:-1]
-        n = np.diff(begin)
-        row = np.repeat(np.arange(len(batch)), pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy())
-        place, value = places.flatten().to_numpy(), values.flatten().to_numpy()
-        held = tokens.values.to_numpy()[first[row] + place] == value
-        row, place, value = row[held], place[held], value[held]
-        fixed = np.bincount(row, minlength=len(batch))
-        each = W.mix(value.view(_U) ^ W.mix(place.astype(_U) + _U(1)))
-        total = np.zeros(len(batch), _U)
-        np.add.at(total, row, each)
-        general = some & (fixed * 10 >= (n - DEPTH) * CONSTANT_TENTHS)
-        template = np.where(general, W.mix(leaf.view(_U) + total), W.mix(whole.view(_U) ^ _U(0x9E3779B97F4A7C15)))
-        yield pa.record_batch([batch.column("doc_id"), batch.column("line_no"), _signed(template), batch.column("salt")], ["doc_id", "line_no", "template", "salt"])
+        size = np.cumsum(pa.compute.list_value_length(batch.column("tokens")).to_numpy())
+        lo = 0
+        while lo < len(batch):  # about a block's tokens at a time
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + W.BLOCK // 8, "right")))
+            part, lo = batch.slice(lo, hi - lo), hi
+            leaf, whole, some = (part.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "whole", "some"))
+            tokens, places, values = (part.column(c) for c in ("tokens", "places", "values"))
+            n = pa.compute.list_value_length(tokens).to_numpy()
+            first = np.cumsum(n) - n
+            row = np.repeat(np.arange(len(part)), pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy())
+            place, value = places.flatten().to_numpy(), values.flatten().to_numpy()
+            held = tokens.flatten().to_numpy()[first[row] + place] == value
+            row, place, value = row[held], place[held], value[held]
+            fixed = np.bincount(row, minlength=len(part))
+            total = np.zeros(len(part), _U)
+            np.add.at(total, row, W.mix(value.view(_U) ^ W.mix(place.astype(_U) + _U(1))))
+            general = some & (fixed * 10 >= (n - DEPTH) * CONSTANT_TENTHS)
+            template = np.where(general, W.mix(leaf.view(_U) + total), W.mix(whole.view(_U) ^ _U(0x9E3779B97F4A7C15)))
+            yield pa.record_batch([part.column("doc_id"), part.column("line_no"), _signed(template), part.column("salt")], ["doc_id", "line_no", "template", "salt"])
+        W.give_back()
 
 
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -153,18 +158,22 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return met.mapInArrow(_name, "doc_id long, line_no int, template long, salt int")
 
 
-def _kept(texts: pa.Array, dropped: pa.Array) -> pa.Array:
-    out = []
-    for text, gone in zip(texts.to_pylist(), dropped.to_pylist()):
-        lines = (text or "").split("\n")
-        gone = set(gone or [])
-        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-        out.append({"n_lines": len(lines), "n_dropped": len(gone), "kept_sha256": hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest(), "kept": kept})
-    return pa.array(out, pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]))
+def _kept(give_text: bool):
+    def kept(texts: pa.Array, dropped: pa.Array) -> pa.Array:
+        out = []
+        for text, gone in zip(texts, dropped):
+            lines, gone = (text.as_py() or "").split("\n"), set(gone.as_py() or [])
+            left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+            row = {"n_lines": len(lines), "n_dropped": len(gone), "kept_sha256": hashlib.sha256(left.encode("utf-8", "replace")).hexdigest()}
+            out.append(row | ({"kept": left} if give_text else {}))
+        W.give_back()
+        return pa.array(out, pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * give_text))
 
+    return kept
 
-def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256, kept of every row.
+
+def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, doc_id: str = "doc_id", text: str = "text", give_text: bool = True) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 (and ``kept``, the remaining text) of every row.
 
     Lines end at line feeds; every line with a token goes down the tree, and all lines of a template that
     occurs in ``min_docs`` documents go. A line of at most two tokens is its own template, numbers variable; one of
@@ -176,5 +185,5 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, doc_id: str = "doc
     named = stored(templates(src.where("doc_id is not null"), min_docs))
     recurring = named.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     gone = named.join(_with_salts(recurring.select("template")), ["template", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
-    clean = F.arrow_udf(_kept, "struct<n_lines: long, n_dropped: long, kept_sha256: string, kept: string>")
+    clean = F.arrow_udf(_kept(give_text), "struct<n_lines: long, n_dropped: long, kept_sha256: string" + ", kept: string" * give_text + ">")
     return src.join(gone, "doc_id", "left").select("doc_id", clean("text", "dropped").alias("r")).select("doc_id", "r.*")

@@ -227,7 +227,7 @@ from d left join kept using (doc_id) left join g using (doc_id)
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document outside templates that three documents share."""
-    return lines.drop_templates(table(spark, sf_dir, "documents")).drop("kept")
+    return lines.drop_templates(table(spark, sf_dir, "documents"), give_text=False)
 
 
 @query("op11_exact_topk", """
