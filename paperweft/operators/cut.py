@@ -1,26 +1,34 @@
-"""Cutting lineage in long compositions."""
+"""Cutting lineage in long compositions, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the reliable checkpoint folder and continue from there.
-
-    A scan over segments refers to its input twice, so a chain of them would double the plan at
-    every step. The folder is the cluster's ``spark.checkpoint.dir``; only a local session without
-    one gets a temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Materialize ``df`` by a reliable checkpoint and continue from there."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` as Parquet and continue from there: columns stay prunable, which a checkpoint's don't."""
+    path = f"{shared(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K, labels as L, text as X
-from .parts import nest
+from .parts import PART_SIZE, nest
 from .prefix import running
 
 # --- chunks, batches, prompts ----------------------------------------------------------------------
@@ -348,17 +348,17 @@ def apply_field_edits(fields: DataFrame, edits: DataFrame) -> DataFrame:
         "verification_status": F.when(~edited, F.col("verification_status"))}).drop("new_status", "new_value")
 
 
-def job_results(jobs: DataFrame, fields: DataFrame, references: DataFrame, templates: DataFrame) -> DataFrame:
+def job_results(jobs: DataFrame, fields: DataFrame, references: DataFrame, templates: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """Jobs with nested fields, each with its source references, in bounded parts.
 
-    ``jobs`` carries job_id; a field has few references, a job's fields are cut into parts.
+    ``jobs`` carries job_id; a field has few references, a job's fields are cut into parts of ``part_size``.
     """
     key = ["job_id", "field_id"]
     refs = references.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("page_number", "source_text"))).alias("source_references"))
     cols = [c for c in ("field_label", "value", "original_value", "confidence", "validation_status", "verification_status", "is_dynamic")
             if c in fields.columns]
     full = fields.join(refs, key, "left").withColumn("source_references", F.coalesce("source_references", F.array()))
-    nested = nest(full, ["job_id"], ["field_id"], ["field_id"], ["field_id", *cols, "source_references"], "extracted_fields")
+    nested = nest(full, ["job_id"], ["field_id"], ["field_id", *cols, "source_references"], "extracted_fields", part_size)
     body = jobs.join(templates.select("template_key", F.col("template_id").alias("template_code"), "template_name"), "template_key", "left")
     return body.join(nested, "job_id", "left").withColumns({
         "part_no": F.coalesce("part_no", F.lit(0)), "extracted_fields": F.coalesce("extracted_fields", F.array())})

@@ -1,28 +1,46 @@
 """Nested results in bounded parts.
 
-A nested result (all fields of a job, all documents of a project) is one row per key and *part*.
-Keys with at most ``size`` items have a single part 0; larger keys are cut by a hash of the item,
-so no task and no row ever holds an unbounded group, and nothing is left out.
+A nested result (all fields of a job, all documents of a project) is one row per key and *part*: the items of a key in
+their order, cut after every ``size``. Parts concatenate to the whole order, at every size. No row holds more than
+``size`` items, and no task more than a range of the order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .cut import written
 
 PART_SIZE = 10_000
 
 
-def with_parts(df: DataFrame, keys: list[str], item: list[str], size: int = PART_SIZE) -> DataFrame:
-    heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
-    n_parts = F.ceil(F.col("_n") / size)
-    part = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*item), n_parts)).cast("int")
-    return df.join(heavy, keys, "left").withColumn("part_no", part).drop("_n")
+def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``rank``, the position of a row in its key from 0, without one task per key.
+
+    Rows are dealt by ranges of (keys, order) and sorted; a row's rank is its place in its range plus the rows that
+    its key has in earlier ranges. Rows that are equal in ``order`` lie in one range.
+    """
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = written(dealt.withColumns({"_at": F.monotonically_increasing_id(), "_range": F.spark_partition_id()}))
+    by_range = placed.groupBy(*keys, "_range").agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = by_range.select(*keys, "_range", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(firsts, [*keys, "_range"]).withColumn("rank", F.col("_at") - F.col("_from") + F.col("_before")).drop("_at", "_from", "_before", "_range")
+
+
+def with_parts(df: DataFrame, keys: list[str], order: list[str], size: int = PART_SIZE) -> DataFrame:
+    """``df`` with ``part_no``: rank in the key, by ``order``, divided by ``size``.
+
+    In a key of at most ``size`` rows every rank gives part 0, so only rows of larger keys are dealt out and ranked.
+    """
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size).select(*keys)
+    rest = df.join(large, keys, "left_anti").withColumn("part_no", F.lit(0))
+    cut = ranked(df.join(large, keys, "left_semi"), keys, order)
+    return rest.unionByName(cut.withColumn("part_no", F.floor(F.col("rank") / size).cast("int")).drop("rank"))
 
 
-def nest(df: DataFrame, keys: list[str], item: list[str], order: list[str], columns: list[str], out: str,
-         size: int = PART_SIZE) -> DataFrame:
-    """(keys, part_no, out: array<struct<columns>>), items ordered by ``order`` inside a part."""
+def nest(df: DataFrame, keys: list[str], order: list[str], columns: list[str], out: str, size: int = PART_SIZE) -> DataFrame:
+    """(keys, part_no, out: array<struct<columns>>), items in order."""
     body: list[Column] = [F.struct(*[F.col(c) for c in columns]).alias("v")]
-    rows = with_parts(df, keys, item, size).groupBy(*keys, "part_no").agg(
-        F.array_sort(F.collect_list(F.struct(*order, *body))).alias("_b"))
+    rows = with_parts(df, keys, order, size).groupBy(*keys, "part_no").agg(F.array_sort(F.collect_list(F.struct(*order, *body))).alias("_b"))
     return rows.select(*keys, "part_no", F.col("_b.v").alias(out))

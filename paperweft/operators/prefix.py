@@ -1,16 +1,19 @@
 """Running values over an ordered key, without one task per key.
 
 A plain window over ``key`` puts all rows of a key into one task. Here every key is cut into
-segments of consecutive positions; each segment is scanned on its own, segment totals (one row per
-segment) are scanned over the key, and the carried value is joined back. A key that holds a third
-of the table is thus spread over as many tasks as it has segments. The input is computed twice, for the
-scanned segments and for their totals; the carry side is ``1 / segment`` of the input.
+segments of consecutive positions. One exchange deals the rows by key and segment; every segment is scanned on its
+own and the result is written. Segment totals (one row per segment) come from the written rows, reading their own
+columns only; they are scanned over the key, and what is carried into later segments is joined back. So the input is
+evaluated and dealt once, a key that holds a third of the table is spread over as many tasks as it has segments, and
+a key of one segment carries nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .cut import written
+
 SEGMENT = 65_536
 
 
@@ -20,7 +23,7 @@ def running(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[s
 
     kinds: ``sum``, ``max`` (over all rows up to and including this one), ``last`` (last non-NULL
     value up to and including this one), ``lag`` (value of the previous row; NULL on the first).
-    ``order`` is an integer position, unique within the key.
+    ``order`` is an integer position, unique within the key. The rows are written when this is called.
     """
     seg = F.floor(F.col(order) / segment).cast("long")
     base = df.withColumn("_seg", seg)
@@ -56,9 +59,10 @@ def running(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[s
             final[name] = F.coalesce(F.col(here_), F.col(car))["v"]
         else:
             raise ValueError(kind)
-    scanned = base.select("*", *[c.alias(n) for n, c in local.items()])
+    scanned = written(base.select("*", *[c.alias(n) for n, c in local.items()]))
     carry = scanned.groupBy(*part).agg(*totals).select(*part, *carried)
-    joined = scanned.join(carry, part, "left")
+    some = " or ".join(f"_car_{name} is not null" for name in specs)
+    joined = scanned.join(carry.where(some), part, "left")
     return joined.select(*df.columns, *[c.alias(n) for n, c in final.items()])
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import labels as L
-from .parts import nest
+from .parts import PART_SIZE, nest
 
 
 def _with_template(df: DataFrame, templates: DataFrame) -> DataFrame:
@@ -33,13 +33,13 @@ def project_list(projects: DataFrame, documents: DataFrame, jobs: DataFrame, tem
         F.coalesce("document_count", F.lit(0)).alias("document_count"), "latest_job_status")
 
 
-def project_detail(projects: DataFrame, documents: DataFrame, jobs: DataFrame, templates: DataFrame) -> DataFrame:
+def project_detail(projects: DataFrame, documents: DataFrame, jobs: DataFrame, templates: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """Projects with nested documents and jobs, in bounded parts (part 0 always present)."""
-    docs = nest(documents, ["project_id"], ["id"], ["id"],
-                ["id", "original_filename", "file_size", "page_count", "upload_status", "created_at"], "documents")
+    docs = nest(documents, ["project_id"], ["id"],
+                ["id", "original_filename", "file_size", "page_count", "upload_status", "created_at"], "documents", part_size)
     runs = _with_template(jobs, templates).withColumnRenamed("template_id", "template_code")
-    runs = nest(runs, ["project_id"], ["id"], ["id"],
-                ["id", "document_id", "template_code", "template_name", "status", "progress", "error_message", "created_at"], "extraction_jobs")
+    runs = nest(runs, ["project_id"], ["id"],
+                ["id", "document_id", "template_code", "template_name", "status", "progress", "error_message", "created_at"], "extraction_jobs", part_size)
     key = ["project_id", "part_no"]
     heads = projects.select(F.col("id").alias("project_id"), F.lit(0).alias("part_no"))
     parts = heads.unionByName(docs.select(*key)).unionByName(runs.select(*key)).distinct()

@@ -196,10 +196,35 @@ def test_sync_and_delete_plan(spark):
 
 def test_parts_keep_everything(spark):
     df = spark.createDataFrame([(1, i) for i in range(1000)] + [(2, 1)], "k int, i int")
-    n = parts.nest(df, ["k"], ["i"], ["i"], ["i"], "items", size=100)
-    got = n.collect()
-    assert sum(len(r["items"]) for r in got) == 1001 and len({r["part_no"] for r in got if r["k"] == 1}) == 10
-    assert max(len(r["items"]) for r in got) < 200
+    n = parts.nest(df.repartition(7), ["k"], ["i"], ["i"], "items", size=100)
+    got = {(r.k, r.part_no): [x.i for x in r["items"]] for r in n.collect()}
+    assert got == {(1, p): list(range(100 * p, 100 * p + 100)) for p in range(10)} | {(2, 0): [1]}
+
+
+def test_ranks_over_many_ranges(spark):
+    """A key that holds most rows, ties in the order, an empty table; ranks equal a window's."""
+    from pyspark.sql import Window
+
+    df = spark.range(20_000).select((F.when(F.col("id") % 5 == 0, F.col("id") % 11).otherwise(99)).alias("k"), F.pmod(F.xxhash64("id"), F.lit(3_000)).alias("v"), "id")
+    df = df.union(df.limit(50))
+    got = parts.ranked(df, ["k"], ["v", "id"])
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("v", "id")) - 1)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert parts.ranked(df.where("false"), ["k"], ["v"]).count() == 0
+
+
+def test_running_evaluates_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(3_000).select(F.lit(1).alias("k"), "id").mapInPandas(touch, "k int, id long")
+    got = prefix.running(df, ["k"], "id", {"s": ("sum", F.col("id")), "g": ("lag", F.col("id"))}, segment=100)
+    assert got.agg(F.max("s")).first()[0] == 2_999 * 1_500 and got.where("g = id - 1").count() == 2_999
+    assert seen.value == 3_000 and got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 0
 
 
 def test_signature_pairs(spark):

@@ -216,12 +216,13 @@ def _(t):
 
 def _results(t):
     f = t.extracted_fields
-    return E.job_results(t.jobs.withColumnRenamed("id", "job_id"), f.drop("page_number", "source_text"), f.select("job_id", "field_id", "page_number", "source_text"), t.templates)
+    return E.job_results(t.jobs.withColumnRenamed("id", "job_id"), f.drop("page_number", "source_text"), f.select("job_id", "field_id", "page_number", "source_text"), t.templates, part_size=4)
 
 
 @query("s4_export_jobs", """
-  SELECT j.id AS job_id, 0 AS part_no, original_filename AS document_filename, template_id, coalesce(n, 0) AS n_fields, coalesce(vs, '') AS values_ FROM jobs j LEFT JOIN project_documents d ON d.id = j.document_id LEFT JOIN templates USING (template_key)
-  LEFT JOIN (SELECT job_id, count(*) AS n, string_agg(coalesce(value, '-'), ',' ORDER BY field_id) AS vs FROM extracted_fields GROUP BY 1) f ON f.job_id = j.id WHERE j.status = 'completed'""",
+  SELECT j.id AS job_id, coalesce(part, 0)::INTEGER AS part_no, original_filename AS document_filename, template_id, coalesce(n, 0) AS n_fields, coalesce(vs, '') AS values_ FROM jobs j LEFT JOIN project_documents d ON d.id = j.document_id LEFT JOIN templates USING (template_key)
+  LEFT JOIN (SELECT job_id, part, count(*) AS n, string_agg(coalesce(value, '-'), ',' ORDER BY field_id) AS vs
+    FROM (SELECT *, (row_number() OVER (PARTITION BY job_id ORDER BY field_id) - 1) // 4 AS part FROM extracted_fields) GROUP BY 1, 2) f ON f.job_id = j.id WHERE j.status = 'completed'""",
        "jobs project_documents templates extracted_fields")
 def _(t):
     x = SX.export_jobs(_results(t), t.project_documents)
@@ -241,12 +242,13 @@ def _(t):
 
 
 @query("s6_export_documents", """
-  SELECT conv_id AS doc_id, 0 AS part_no, 'Conversation ' || conv_id AS title, count(*) AS n_sections, string_agg(role, ',' ORDER BY turn) AS names, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1""")
+  SELECT conv_id AS doc_id, part::INTEGER AS part_no, 'Conversation ' || conv_id AS title, count(*) AS n_sections, string_agg(role, ',' ORDER BY turn) AS names, CAST(sum(length(text)) AS BIGINT) AS n_chars
+  FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS part FROM conversations) GROUP BY conv_id, part""")
 def _(t):
     c = t.conversations.withColumnRenamed("conv_id", "doc_id")
     docs = c.select("doc_id").distinct().select("doc_id", F.concat(F.lit("Conversation "), F.col("doc_id").cast("string")).alias("title"), F.lit("").alias("subtitle"),
                                                F.create_map(F.lit("spec_no"), F.lit("1")).alias("project_meta"))
-    sections = parts.with_parts(c.select("doc_id", F.col("turn").alias("section_no"), F.col("role").alias("section_name"), F.col("text").alias("content")), ["doc_id"], ["section_no"])
+    sections = parts.with_parts(c.select("doc_id", F.col("turn").alias("section_no"), F.col("role").alias("section_name"), F.col("text").alias("content")), ["doc_id"], ["section_no"], 3)
     doc = F.from_json("json", "title string, sections array<struct<section_number:string,section_name:string,content:string>>")
     return SX.export_documents(docs, sections).select("doc_id", "part_no", doc.alias("d")).select(
         "doc_id", "part_no", "d.title", F.size("d.sections").alias("n_sections"), F.array_join("d.sections.section_name", ",").alias("names"),

@@ -271,12 +271,13 @@ def _(t):
 
 
 @query("e19_job_results", """
-  SELECT j.id AS job_id, 0 AS part_no, template_id AS template_code, j.status, coalesce(fs, '') AS extracted_fields FROM jobs j LEFT JOIN templates USING (template_key) LEFT JOIN (
-    SELECT job_id, string_agg(field_id || '=' || coalesce(value, '-') || '@' || page_number || ':' || coalesce(source_text, '-'), ',' ORDER BY field_id) AS fs FROM extracted_fields GROUP BY 1) f ON f.job_id = j.id""",
+  SELECT j.id AS job_id, coalesce(part, 0)::INTEGER AS part_no, template_id AS template_code, j.status, coalesce(fs, '') AS extracted_fields FROM jobs j LEFT JOIN templates USING (template_key) LEFT JOIN (
+    SELECT job_id, part, string_agg(field_id || '=' || coalesce(value, '-') || '@' || page_number || ':' || coalesce(source_text, '-'), ',' ORDER BY field_id) AS fs
+    FROM (SELECT *, (row_number() OVER (PARTITION BY job_id ORDER BY field_id) - 1) // 3 AS part FROM extracted_fields) GROUP BY 1, 2) f ON f.job_id = j.id""",
        "jobs templates extracted_fields")
 def _(t):
     f = t.extracted_fields
-    r = E.job_results(t.jobs.withColumnRenamed("id", "job_id"), f.drop("page_number", "source_text"), f.select("job_id", "field_id", "page_number", "source_text"), t.templates)
+    r = E.job_results(t.jobs.withColumnRenamed("id", "job_id"), f.drop("page_number", "source_text"), f.select("job_id", "field_id", "page_number", "source_text"), t.templates, part_size=3)
     dash = lambda c: F.coalesce(c, F.lit("-"))
     item = lambda x: F.concat(x["field_id"], F.lit("="), dash(x["value"]), F.lit("@"), F.get(x["source_references"], F.lit(0))["page_number"].cast("string"),
                               F.lit(":"), dash(F.get(x["source_references"], F.lit(0))["source_text"]))

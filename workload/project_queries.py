@@ -24,14 +24,17 @@ def _(t):
 
 
 @query("r2_project_detail", """
-  WITH d AS (SELECT project_id, string_agg(id || '/' || original_filename || '/' || upload_status, ',' ORDER BY id) AS documents FROM project_documents GROUP BY 1),
-  j AS (SELECT project_id, string_agg(j.id || '/' || coalesce(template_id, '-') || '/' || j.status, ',' ORDER BY j.id) AS extraction_jobs FROM jobs j LEFT JOIN templates t USING (template_key) GROUP BY 1)
-  SELECT p.id AS project_id, 0 AS part_no, project_name, template_id, coalesce(documents, '') AS documents, coalesce(extraction_jobs, '') AS extraction_jobs
-  FROM projects p LEFT JOIN templates USING (template_key) LEFT JOIN d ON d.project_id = p.id LEFT JOIN j ON j.project_id = p.id""",
+  WITH d AS (SELECT project_id, part_no, string_agg(id || '/' || original_filename || '/' || upload_status, ',' ORDER BY id) AS documents
+    FROM (SELECT *, (row_number() OVER (PARTITION BY project_id ORDER BY id) - 1) // 4 AS part_no FROM project_documents) GROUP BY 1, 2),
+  j AS (SELECT project_id, part_no, string_agg(id || '/' || coalesce(template_id, '-') || '/' || status, ',' ORDER BY id) AS extraction_jobs
+    FROM (SELECT j.*, template_id, (row_number() OVER (PARTITION BY j.project_id ORDER BY j.id) - 1) // 4 AS part_no FROM jobs j LEFT JOIN templates t USING (template_key)) GROUP BY 1, 2),
+  parts AS (SELECT id AS project_id, 0 AS part_no FROM projects UNION SELECT project_id, part_no FROM d UNION SELECT project_id, part_no FROM j)
+  SELECT p.id AS project_id, part_no::INTEGER AS part_no, project_name, template_id, coalesce(documents, '') AS documents, coalesce(extraction_jobs, '') AS extraction_jobs
+  FROM projects p JOIN parts ON parts.project_id = p.id LEFT JOIN templates USING (template_key) LEFT JOIN d USING (project_id, part_no) LEFT JOIN j USING (project_id, part_no)""",
        "projects project_documents jobs templates")
 def _(t):
     s = lambda c: c.cast("string")
-    d = R.project_detail(t.projects, t.project_documents, t.jobs, t.templates)
+    d = R.project_detail(t.projects, t.project_documents, t.jobs, t.templates, part_size=4)
     return d.select(
         "project_id", "part_no", "project_name", "template_id",
         F.array_join(F.transform("documents", lambda x: F.concat_ws("/", s(x["id"]), x["original_filename"], x["upload_status"])), ",").alias("documents"),
