@@ -40,7 +40,7 @@ def read_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_incoming(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size, modified) of incoming files; contents are never read."""
+    """(path, size, modified) of incoming files; contents are never read. Files without a byte are not seen."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(
         "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 

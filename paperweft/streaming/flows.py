@@ -15,7 +15,7 @@ PAGE_BREAK = "\f"
 
 
 def incoming_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of (path, size, modified, content) of files that land below ``folder``."""
+    """Stream of (path, size, modified, content) of files that land below ``folder``. Files without a byte are not seen."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     return files.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder).select(
         "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")

@@ -112,7 +112,7 @@ def test_intake_of_files(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(W.K, "MAX_UPLOAD_BYTES", 40)
     put("a.PDF", b"one\ntwo\fthree")
-    put("deep/b.docx", b"")
+    put("deep/b.docx", b" ")
     put("c.exe", b"xx")
     put("d.pdf", b"y" * 41)
     run = lambda: drain(W.intake_stream(W.incoming_files(spark, src, 2), out, cp))
