@@ -33,31 +33,33 @@ def document_stats(blocks: DataFrame, totals: DataFrame | None = None) -> DataFr
     return stats.join(totals.select("doc_id", F.col("page_count").alias("total_pages")), "doc_id")
 
 
-def _fold_boundaries(rows: pd.DataFrame) -> pd.DataFrame:
-    """Accept boundaries of one document in order. A table is accepted only on a page not taken yet."""
-    rows = rows.sort_values("block_seq")
-    taken: set[int] = set()
-    accepted, page_of = [], []
-    for seq, guess, total in zip(rows["block_seq"], rows["guess"], rows["total_pages"]):
-        if pd.isna(guess):
-            page = min(int(total), 1 + len(accepted))
-        elif int(guess) in taken or int(guess) > total:
-            continue
-        else:
-            page = int(guess)
-        taken.add(page)
-        accepted.append(int(seq))
-        page_of.append(page)
-    return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]] * len(accepted), "block_seq": accepted, "page": page_of})
+def _accept_tables(rows: pd.DataFrame) -> pd.DataFrame:
+    """Accept the first tables of a document's guessed pages, in order (block_seq, guess, counted, total_pages).
+
+    ``counted`` other boundaries lie before a table. Each of them takes the page after all boundaries so far, so the pages
+    they have taken are 1 up to that number, but for those at which an accepted table stepped in; the last page stands for
+    all beyond it.
+    """
+    stepped: set[int] = set()  # numbers that a table, not a counted boundary, added
+    accepted = []
+    beyond = 0  # numbers from the last page on that tables added
+    for seq, guess, counted, last in rows.sort_values("block_seq")[["block_seq", "guess", "counted", "total_pages"]].itertuples(index=False):
+        so_far = counted + len(accepted)
+        taken = so_far - last + 1 > beyond if guess == last else guess <= so_far and guess not in stepped
+        if not taken:
+            accepted.append(seq)
+            stepped.add(so_far + 1)
+            beyond += so_far + 1 >= last
+    return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]] * len(accepted), "block_seq": accepted})
 
 
 def page_boundaries(blocks: DataFrame, stats: DataFrame) -> DataFrame:
     """(doc_id, block_seq, page) where a new page is taken to begin; none for one-page documents.
 
-    Candidates are page breaks, every third blank paragraph of a run, headings, and tables. Without
-    tables the page is the running number of candidates. Where a document has candidate tables, the
-    accepted pages depend on one another and the candidates (not the blocks) of that document are
-    folded in order.
+    Boundaries are page breaks, every third blank paragraph of a run, headings (the page is the running number of
+    boundaries), and tables whose guessed page, a share of the document, is not taken yet. Of the tables that guess one
+    page only the first can be accepted: it takes the page, or finds it taken. So a minimum by guess leaves at most
+    a row a page, which are decided in order; every other number is a running count.
     """
     blank = (F.col("block_type") != "table") & (X.strip("text") == "")
     run = running(blocks, ["doc_id"], "block_seq", {"_solid": ("last", F.when(~blank, F.col("block_seq")))})
@@ -68,12 +70,12 @@ def page_boundaries(blocks: DataFrame, stats: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "block_seq", "block_type").join(stats.where("total_pages > 1"), "doc_id")
     guess = F.when(F.col("block_type") == "table", 1 + F.floor(F.col("block_seq") * F.col("total_pages") / (F.col("n_blocks") + 1)))
     rows = rows.select("doc_id", "block_seq", "total_pages", guess.cast("long").alias("guess"))
-    mixed = rows.where("guess is not null").select("doc_id").distinct()
-    plain = running(rows.join(mixed, "doc_id", "left_anti"), ["doc_id"], "block_seq", {"_n": ("sum", F.lit(1))}).select(
-        "doc_id", "block_seq", F.least(F.col("total_pages"), F.col("_n")).cast("int").alias("page"))
-    folded = rows.join(mixed, "doc_id", "left_semi").groupBy("doc_id").applyInPandas(
-        _fold_boundaries, "doc_id long, block_seq int, page int")
-    return plain.unionByName(folded)
+    rows = running(rows, ["doc_id"], "block_seq", {"counted": ("sum", F.col("guess").isNull().cast("int"))})
+    first = rows.where("guess <= total_pages").groupBy("doc_id", "guess").agg(F.min(F.struct("block_seq", "counted", "total_pages")).alias("r"))
+    tables = first.select("doc_id", "guess", "r.*").groupBy("doc_id").applyInPandas(_accept_tables, "doc_id long, block_seq int")
+    every = rows.where("guess is null").unionByName(rows.join(tables, ["doc_id", "block_seq"], "left_semi"))
+    return running(every, ["doc_id"], "block_seq", {"_n": ("sum", F.lit(1))}).select(
+        "doc_id", "block_seq", F.coalesce("guess", F.least(F.col("total_pages"), F.col("_n"))).cast("int").alias("page"))
 
 
 def block_pages(blocks: DataFrame, boundaries: DataFrame, stats: DataFrame) -> DataFrame:

@@ -263,3 +263,55 @@ def test_blocks_that_read_nbsp_are_no_fields(spark):
 def test_needs_review_of_exact_decimals(spark):
     f = spark.createDataFrame([(1, "0.9"), (1, "0.5"), (2, "0.69"), (3, None)], "k int, c string").withColumn("c", F.col("c").cast("decimal(3,2)"))
     assert rows(P.needs_review(f, ["k"], "c"), "k", "needs_review") == [(1, False), (2, True), (3, True)]
+
+
+def fold_boundaries(rows):
+    """By definition: (block_seq, guess or None, total) in order; a table is accepted on a page not taken yet."""
+    taken, out = set(), []
+    for seq, guess, total in rows:
+        if guess is None:
+            page = min(total, 1 + len(out))
+        elif guess in taken or guess > total:
+            continue
+        else:
+            page = guess
+        taken.add(page)
+        out.append((seq, page))
+    return out
+
+
+def test_page_boundaries_equal_the_fold(spark):
+    import random
+
+    from paperweft.operators import structure as D
+
+    rnd, blocks, want = random.Random(4), [], {}
+    for doc in range(120):
+        n, density, breaks = rnd.choice([5, 30, 90]), rnd.random(), rnd.random() * 0.6
+        kinds = [rnd.choices(["table", "break", "plain"], [density, breaks, 0.4])[0] for _ in range(n)]
+        blocks += [(doc, i, "table" if k == "table" else "para", "x", None, k == "break", 0) for i, k in enumerate(kinds)]
+        total = 1 + kinds.count("break")
+        if total > 1:
+            cands = [(i, 1 + i * total // (n + 1) if k == "table" else None, total) for i, k in enumerate(kinds) if i and k != "plain"]
+            want |= {(doc, i): p for i, p in fold_boundaries(cands)}
+    df = spark.createDataFrame(blocks, "doc_id long, block_seq int, block_type string, text string, style string, has_page_break boolean, rendered_breaks int")
+    got = D.page_boundaries(df, D.document_stats(df)).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.block_seq): r.page for r in got} == want
+
+
+def test_no_task_holds_a_document_with_many_tables(spark, monkeypatch):
+    from paperweft.operators import structure as D
+
+    most = spark.sparkContext.accumulator(0)
+    accept = D._accept_tables
+
+    def watched(rows):
+        most.add(len(rows))
+        return accept(rows)
+
+    monkeypatch.setattr(D, "_accept_tables", watched)
+    i = F.col("id")
+    df = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), i.cast("int").alias("block_seq"), F.when(i % 3 > 0, "table").otherwise("para").alias("block_type"),
+                                     F.lit("x").alias("text"), F.lit(None).cast("string").alias("style"), (i % 600 == 0).alias("has_page_break"), F.lit(0).alias("rendered_breaks"))
+    got = D.page_boundaries(df, D.document_stats(df))
+    assert got.count() >= 166 and 0 < most.value <= 168
