@@ -67,24 +67,25 @@ def template_stats(templates: DataFrame, fields: DataFrame) -> DataFrame:
     return templates.select("template_id").join(n, "template_id", "left").na.fill(0, ["sections", "fields"])
 
 
-def delete_plan(targets: DataFrame, jobs: DataFrame, projects: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(verdict per template, job ids to delete). ``targets``: template_key.
+def delete_plan(targets: DataFrame, jobs: DataFrame, projects: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(verdict per template, names of projects in use, job ids to delete). ``targets``: template_key.
 
     Jobs of existing projects block unless forced; jobs of vanished projects always go, but only
-    with a template that is deleted. Names are listed once each, in order.
+    with a template that is deleted. A project name in use is a row (template_key, project_name), once each: a template's
+    names may be many, so they are sorted and joined only where they are shown.
     """
     mine = jobs.join(targets, "template_key", "left_semi").join(
         projects.select(F.col("id").alias("project_id"), "project_name", F.lit(True).alias("_live")), "project_id", "left")
     live = mine.where("_live")
-    names = live.select("template_key", "project_name").distinct().groupBy("template_key").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "project_name", F.lit('"')))), ", ").alias("projects"))
-    counts = live.groupBy("template_key").agg(F.count("*").alias("live_jobs")).join(names, "template_key")
+    names = live.select("template_key", "project_name").distinct()
+    n_names = names.where("project_name is not null").groupBy("template_key").agg(F.count("*").alias("project_names"))
+    counts = live.groupBy("template_key").agg(F.count("*").alias("live_jobs")).join(n_names, "template_key", "left")
     blocked = F.lit(False) if force else F.coalesce(F.col("live_jobs") > 0, F.lit(False))
     verdict = targets.join(counts, "template_key", "left").select(
-        "template_key", blocked.alias("blocked"), F.coalesce("live_jobs", F.lit(0)).alias("live_jobs"), F.coalesce("projects", F.lit("")).alias("projects"))
+        "template_key", blocked.alias("blocked"), F.coalesce("live_jobs", F.lit(0)).alias("live_jobs"), F.coalesce("project_names", F.lit(0)).alias("project_names"))
     doomed = mine.join(verdict.where("not blocked").select("template_key"), "template_key", "left_semi")
     doomed = doomed if force else doomed.where("_live is null")
-    return verdict, doomed.select(F.col("id").alias("job_id"), "template_key")
+    return verdict, names, doomed.select(F.col("id").alias("job_id"), "template_key")
 
 
 def _free_ids(new: pd.DataFrame, used: pd.DataFrame) -> pd.DataFrame:

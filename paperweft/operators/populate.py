@@ -58,15 +58,18 @@ def populate(blocks: DataFrame, lists: DataFrame, keys: list[str], labels: bool
         "text": F.coalesce("_f.text", "text"), "ops": F.coalesce("_f.ops", F.array())}).drop("_f", "values")
 
 
+def unfilled_fields(wanted: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field_id) of the replaceable fields ``wanted`` that have no value row in ``values``."""
+    return wanted.select(*keys, "field_id").join(values.select(*keys, "field_id").distinct(), [*keys, "field_id"], "left_anti")
+
+
 def population_report(populated: DataFrame, wanted: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fields_processed, replacements_made, unfilled): ``wanted`` are the replaceable fields
-    per key, ``values`` the (keys, field_id) that have a value row."""
+    """(keys, fields_processed, replacements_made, fields_unfilled): counts only; ``unfilled_fields`` names the fields."""
     done = populated.groupBy(*keys).agg(F.sum(F.size("ops")).alias("replacements_made"))
-    missing = wanted.join(values.select(*keys, "field_id").distinct(), [*keys, "field_id"], "left_anti").groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list("field_id")), ",").alias("unfilled"))
+    missing = unfilled_fields(wanted, values, keys).groupBy(*keys).agg(F.count("*").alias("fields_unfilled"))
     total = wanted.groupBy(*keys).agg(F.count("*").alias("fields_processed"))
     return total.join(done, keys, "left").join(missing, keys, "left").select(
-        *keys, "fields_processed", F.coalesce("replacements_made", F.lit(0)).alias("replacements_made"), F.coalesce("unfilled", F.lit("")).alias("unfilled"))
+        *keys, "fields_processed", F.coalesce("replacements_made", F.lit(0)).alias("replacements_made"), F.coalesce("fields_unfilled", F.lit(0)).alias("fields_unfilled"))
 
 
 def export_route(report: DataFrame, integrity: DataFrame, keys: list[str]) -> DataFrame:

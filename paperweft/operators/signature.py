@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .parts import ranked
 from .structure import page_count
 
 
@@ -170,16 +171,56 @@ def replacement_only(compared: DataFrame, schema: DataFrame) -> DataFrame:
         F.transform("differences", lambda x: F.concat(F.lit("Structure changed: "), x)).alias("errors"), F.coalesce("_n", F.lit(0)).alias("dynamic_fields"))
 
 
-def schema_signature(fields: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """(template_id, signature): sections and fields of a template in order, one line of text."""
-    field = F.concat(F.lit("FIELD:"), F.concat_ws(":", *[F.coalesce(F.col(c), F.lit("")) for c in ("field_id", "field_label", "data_type")],
-                                                  _title(F.coalesce("required", F.lit(False)))))
-    section = fields.groupBy("template_id", "section_pos").agg(
-        F.first("section_id").alias("section_id"), F.first("section_name").alias("section_name"),
-        F.array_sort(F.collect_list(F.struct("field_pos", field.alias("f")))).alias("fs"))
-    line = F.concat(F.array(F.concat(F.lit("SECTION:"), F.coalesce("section_id", F.lit("")), F.lit(":"), F.coalesce("section_name", F.lit("")))), F.col("fs.f"))
-    return section.groupBy("template_id").agg(F.array_sort(F.collect_list(F.struct("section_pos", line.alias("l")))).alias("b")).select(
-        "template_id", F.array_join(F.flatten("b.l"), "|").alias("signature"))
+def _parts_of(text: Column) -> list[Column]:
+    """Two 60-bit numbers of a text; their sums over a set of numbered texts stand for the whole in order."""
+    return [F.conv(F.substring(F.md5(text.cast("binary")), at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 17)]
+
+
+def _digest(df: DataFrame, keys: list[str], text: Column, count: str) -> DataFrame:
+    one, two = _parts_of(text)
+    sums = df.withColumns({"_one": one, "_two": two}).groupBy(*keys).agg(F.sum("_one").alias("_one"), F.sum("_two").alias("_two"), F.count("*").alias(count))
+    return sums.withColumn("digest", F.concat_ws(":", F.col("_one").cast("string"), F.col("_two").cast("string"))).drop("_one", "_two")
+
+
+def _field_line() -> Column:
+    return F.concat(F.lit("FIELD:"), F.concat_ws(":", *[F.coalesce(F.col(c), F.lit("")) for c in ("field_id", "field_label", "data_type")],
+                                                 _title(F.coalesce("required", F.lit(False)))))
+
+
+def section_digests(fields: DataFrame) -> DataFrame:
+    """(template_id, section_pos, section_id, section_name, n_fields, digest): a section's fields in order, as one digest.
+
+    A field enters with its rank in the section, so sums, which combine before the shuffle, keep the order; no
+    task or row holds a section.
+    """
+    key = ["template_id", "section_pos"]
+    placed = ranked(fields.select(*key, "field_pos", _field_line().alias("_line")), key, ["field_pos"])
+    heads = fields.groupBy(*key).agg(F.min(F.coalesce("section_id", F.lit(""))).alias("section_id"), F.min(F.coalesce("section_name", F.lit(""))).alias("section_name"))
+    return heads.join(_digest(placed, key, F.concat_ws("|", F.col("rank").cast("string"), "_line"), "n_fields"), key)
+
+
+def schema_signature(fields: DataFrame) -> DataFrame:
+    """(template_id, n_sections, n_fields, digest): equal for templates with the same sections and fields in the same order."""
+    placed = ranked(section_digests(fields), ["template_id"], ["section_pos"])
+    text = F.concat_ws("|", F.col("rank").cast("string"), "section_id", "section_name", F.col("n_fields").cast("string"), "digest")
+    n = placed.groupBy("template_id").agg(F.sum("n_fields").alias("n_fields"))
+    return _digest(placed, ["template_id"], text, "n_sections").join(n, "template_id").select("template_id", "n_sections", "n_fields", "digest")
+
+
+def signature_lines(fields: DataFrame) -> DataFrame:
+    """(template_id, section_pos, field_pos, line): the signature as text, a row a line; a section's own line has no field_pos."""
+    head = F.concat(F.lit("SECTION:"), F.coalesce("section_id", F.lit("")), F.lit(":"), F.coalesce("section_name", F.lit("")))
+    heads = fields.groupBy("template_id", "section_pos").agg(F.min(head).alias("line")).withColumn("field_pos", F.lit(None).cast("int"))
+    return fields.select("template_id", "section_pos", F.col("field_pos").cast("int").alias("field_pos"), _field_line().alias("line")).unionByName(heads)
+
+
+def changed_sections(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(template_id, section_pos, change): sections that were ``added``, ``removed`` or ``changed``, by their digests."""
+    body = F.struct("section_id", "section_name", "n_fields", "digest")
+    key = ["template_id", "section_pos"]
+    both = section_digests(old).select(*key, body.alias("_o")).join(section_digests(new).select(*key, body.alias("_n")), key, "full_outer")
+    change = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_o") != F.col("_n"), "changed")
+    return both.select(*key, change.alias("change")).where("change is not null")
 
 
 # fixed values: messages of the locked-template check
@@ -194,9 +235,9 @@ def validate_locked(templates: DataFrame, old: DataFrame, new: DataFrame) -> Dat
     """(template_id, is_valid, message): locked templates must keep signature, sections and field counts.
 
     The signature contains every section and field, so equal signatures imply equal counts; the
-    first check that fails is always the signature.
+    first check that fails is always the signature. Digests are compared, never texts.
     """
-    sig = lambda df, n: schema_signature(df).withColumnRenamed("signature", n)
+    sig = lambda df, n: schema_signature(df).select("template_id", F.col("digest").alias(n))
     df = templates.select("template_id", "structure_locked").join(sig(old, "_o"), "template_id", "left").join(sig(new, "_n"), "template_id", "left")
     same = F.coalesce("_o", F.lit("")) == F.coalesce("_n", F.lit(""))
     ok = ~F.coalesce("structure_locked", F.lit(False)) | same

@@ -189,9 +189,10 @@ def test_sync_and_delete_plan(spark):
     jobs = spark.createDataFrame([(1, 7, 1), (2, 8, 1), (3, 9, 2)], "id int, project_id int, template_key int")
     projects = spark.createDataFrame([(7, "P")], "id int, project_name string")
     targets = spark.createDataFrame([(1,), (2,)], "template_key int")
-    verdict, gone = C.delete_plan(targets, jobs, projects)
-    assert rows(verdict, "template_key", "blocked", "projects") == [(1, True, '"P"'), (2, False, "")] and rows(gone, "job_id") == [(3,)]
-    assert rows(C.delete_plan(targets, jobs, projects, True)[1], "job_id") == [(1,), (2,), (3,)]
+    verdict, names, gone = C.delete_plan(targets, jobs, projects)
+    assert rows(verdict, "template_key", "blocked", "project_names") == [(1, True, 1), (2, False, 0)] and rows(gone, "job_id") == [(3,)]
+    assert rows(names, "template_key", "project_name") == [(1, "P")]
+    assert rows(C.delete_plan(targets, jobs, projects, True)[2], "job_id") == [(1,), (2,), (3,)]
 
 
 def test_parts_keep_everything(spark):
@@ -315,3 +316,20 @@ def test_no_task_holds_a_document_with_many_tables(spark, monkeypatch):
                                      F.lit("x").alias("text"), F.lit(None).cast("string").alias("style"), (i % 600 == 0).alias("has_page_break"), F.lit(0).alias("rendered_breaks"))
     got = D.page_boundaries(df, D.document_stats(df))
     assert got.count() >= 166 and 0 < most.value <= 168
+
+
+def test_digests_of_a_large_template(spark):
+    """10^5 fields in one section: no row holds them; order, wording and section borders count."""
+    i = F.col("id")
+    f = spark.range(100_000).select(F.lit("T").alias("template_id"), (i % 2 * 5).cast("int").alias("section_pos"), (i * 3).cast("int").alias("field_pos"), F.lit("s").alias("section_id"),
+                                    F.lit("S").alias("section_name"), F.concat(F.lit("f"), i.cast("string")).alias("field_id"), F.lit("L").alias("field_label"), F.lit("string").alias("data_type"),
+                                    F.lit(False).alias("required"))
+    sign = lambda df: tuple(G.schema_signature(df).first())
+    first = sign(f)
+    assert first[:3] == ("T", 2, 100_000) and first == sign(f.withColumn("field_pos", F.col("field_pos") + 7).repartition(3))
+    swapped = f.withColumn("field_pos", F.when(i == 10, 36).when(i == 12, 30).otherwise(F.col("field_pos")).cast("int")) if "id" in f.columns else f.withColumn(
+        "field_pos", F.when(F.col("field_id") == "f10", 36).when(F.col("field_id") == "f12", 30).otherwise(F.col("field_pos")).cast("int"))
+    others = [swapped, f.withColumn("section_pos", F.lit(0)), f.where("field_id <> 'f9'"), f.withColumn("section_name", F.lit("Z"))]
+    assert len({first, *map(sign, others)}) == 5
+    assert rows(G.changed_sections(f, swapped), "section_pos", "change") == [(0, "changed")]
+    assert G.signature_lines(f).count() == 100_002

@@ -64,15 +64,20 @@ _PLAN = """mine AS (SELECT j.id, j.template_key, p.project_name FROM jobs j LEFT
 
 
 @query("c4_delete_plan", f"""WITH {_PLAN}
-  SELECT t.template_key, count(project_name) > 0 AS blocked, count(project_name) AS live_jobs, coalesce(string_agg(DISTINCT '"' || project_name || '"', ', ' ORDER BY '"' || project_name || '"'), '') AS projects
+  SELECT t.template_key, count(project_name) > 0 AS blocked, count(project_name) AS live_jobs, count(DISTINCT project_name) AS project_names
   FROM (SELECT template_key FROM templates WHERE template_key % 2 = 0) t LEFT JOIN mine USING (template_key) GROUP BY 1""", "jobs projects templates")
 def _(t):
     return C.delete_plan(t.templates.where("template_key % 2 = 0").select("template_key"), t.jobs, t.projects)[0]
 
 
+@query("c4_projects_in_use", f"WITH {_PLAN} SELECT DISTINCT template_key, project_name FROM mine WHERE project_name IS NOT NULL", "jobs projects")
+def _(t):
+    return C.delete_plan(t.templates.where("template_key % 2 = 0").select("template_key"), t.jobs, t.projects)[1]
+
+
 @query("c4_delete_forced", f"WITH {_PLAN} SELECT id AS job_id, template_key FROM mine", "jobs projects")
 def _(t):
-    return C.delete_plan(t.templates.where("template_key % 2 = 0").select("template_key"), t.jobs, t.projects, force=True)[1]
+    return C.delete_plan(t.templates.where("template_key % 2 = 0").select("template_key"), t.jobs, t.projects, force=True)[2]
 
 
 _NAMES = "CASE WHEN p_partkey % 5 = 0 THEN p_name || ' ' || cast(p_partkey % 3 + 1 as string) WHEN p_partkey % 5 = 1 THEN upper(p_name) ELSE p_name || ' ' || p_brand || ' ' || cast(p_partkey as string) END"

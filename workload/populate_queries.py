@@ -65,14 +65,24 @@ def _(t):
     return U.populate(cells, U.value_lists(values, ["doc_id"], ["field_id"]), ["doc_id"], labels=False).select("doc_id", "table_index", "row_no", "pos", "text")
 
 
-@query("u5_population_report", f"""WITH {_VALS}, done AS (SELECT job_id, n FROM ({_fold_sql(True)})),
-  wanted AS (SELECT j.id AS job_id, field_id FROM jobs j JOIN template_fields USING (template_key) WHERE is_dynamic OR default_value IS NOT NULL),
-  miss AS (SELECT job_id, string_agg(field_id, ',' ORDER BY field_id) AS u FROM wanted WHERE (job_id, field_id) NOT IN (SELECT (job_id, field_id) FROM extracted_fields) GROUP BY 1)
-  SELECT w.job_id, w.n AS fields_processed, coalesce(d.n, 0) AS replacements_made, coalesce(u, '') AS unfilled FROM (SELECT job_id, count(*) AS n FROM wanted GROUP BY 1) w LEFT JOIN done d USING (job_id) LEFT JOIN miss USING (job_id)""",
+_WANTED = "wanted AS (SELECT j.id AS job_id, field_id FROM jobs j JOIN template_fields USING (template_key) WHERE is_dynamic OR default_value IS NOT NULL)"
+_MISSING = "SELECT * FROM wanted WHERE (job_id, field_id) NOT IN (SELECT (job_id, field_id) FROM extracted_fields)"
+
+
+def _wanted(t):
+    return t.jobs.selectExpr("id AS job_id", "template_key").join(U.replaceable(t.template_fields).select("template_key", "field_id"), "template_key").drop("template_key")
+
+
+@query("u5_population_report", f"""WITH {_VALS}, done AS (SELECT job_id, n FROM ({_fold_sql(True)})), {_WANTED}, miss AS (SELECT job_id, count(*) AS u FROM ({_MISSING}) GROUP BY 1)
+  SELECT w.job_id, w.n AS fields_processed, coalesce(d.n, 0) AS replacements_made, coalesce(u, 0) AS fields_unfilled FROM (SELECT job_id, count(*) AS n FROM wanted GROUP BY 1) w LEFT JOIN done d USING (job_id) LEFT JOIN miss USING (job_id)""",
        "extracted_fields jobs template_fields")
 def _(t):
-    wanted = t.jobs.selectExpr("id AS job_id", "template_key").join(U.replaceable(t.template_fields).select("template_key", "field_id"), "template_key").drop("template_key")
-    return U.population_report(_filled(t), wanted, t.extracted_fields, ["job_id"])
+    return U.population_report(_filled(t), _wanted(t), t.extracted_fields, ["job_id"])
+
+
+@query("u5_unfilled_fields", f"WITH {_WANTED} {_MISSING}", "extracted_fields jobs template_fields")
+def _(t):
+    return U.unfilled_fields(_wanted(t), t.extracted_fields, ["job_id"])
 
 
 @query("u6_export_route", "SELECT id AS job_id, CASE WHEN id % 2 = 0 AND id % 3 > 0 THEN 'template' ELSE 'flat' END AS route FROM jobs", "jobs")

@@ -401,9 +401,16 @@ def _(t):
     return r.withColumn("errors", F.array_join("errors", "#"))
 
 
+def _sum_sql(text: str) -> str:
+    return " || ':' || ".join(f"CAST(sum(('0x' || substr(md5({text}), {at}, 15))::BIGINT) AS VARCHAR)" for at in (1, 17))
+
+
 def _sig_sql(name: str, source: str) -> str:
-    return f"""{name}0 AS (SELECT template_id, section_pos, 'SECTION:' || any_value(section_id) || ':' || any_value(section_name) || '|' || string_agg('FIELD:' || field_id || ':' || field_label || ':' || data_type || ':' || CASE WHEN required THEN 'True' ELSE 'False' END, '|' ORDER BY field_pos) AS l FROM {source} GROUP BY 1, 2),
-  {name} AS (SELECT template_id, string_agg(l, '|' ORDER BY section_pos) AS signature FROM {name}0 GROUP BY 1)"""
+    line = "'FIELD:' || field_id || ':' || field_label || ':' || data_type || ':' || CASE WHEN required THEN 'True' ELSE 'False' END"
+    return f"""{name}_f AS (SELECT template_id, section_pos, section_id, section_name, (row_number() OVER (PARTITION BY template_id, section_pos ORDER BY field_pos) - 1) || '|' || {line} AS l FROM {source}),
+  {name}_s AS (SELECT template_id, section_pos, min(section_id) AS section_id, min(section_name) AS section_name, count(*) AS n_fields, {_sum_sql('l')} AS digest FROM {name}_f GROUP BY 1, 2),
+  {name}_r AS (SELECT *, (row_number() OVER (PARTITION BY template_id ORDER BY section_pos) - 1) || '|' || section_id || '|' || section_name || '|' || n_fields || '|' || digest AS l FROM {name}_s),
+  {name} AS (SELECT template_id, count(*) AS n_sections, sum(n_fields)::BIGINT AS n_fields, {_sum_sql('l')} AS digest FROM {name}_r GROUP BY 1)"""
 
 
 @query("d24_schema_signature", f"WITH {_sig_sql('sg', 'template_fields')} SELECT * FROM sg", "template_fields")
@@ -411,12 +418,19 @@ def _(t):
     return G.schema_signature(t.template_fields)
 
 
+@query("d24_signature_lines", """
+  SELECT template_id, section_pos, field_pos, 'FIELD:' || field_id || ':' || field_label || ':' || data_type || ':' || CASE WHEN required THEN 'True' ELSE 'False' END AS line FROM template_fields
+  UNION ALL SELECT DISTINCT template_id, section_pos, NULL, 'SECTION:' || section_id || ':' || section_name FROM template_fields""", "template_fields")
+def _(t):
+    return G.signature_lines(t.template_fields)
+
+
 _CHANGED = """SELECT * REPLACE (CASE WHEN template_key % 4 = 1 AND field_pos = 3 THEN field_label || ' (new)' ELSE field_label END AS field_label) FROM template_fields WHERE NOT (template_key % 6 = 0 AND field_pos = 7)"""
 
 
 @query("d25_validate_locked", f"""WITH changed AS ({_CHANGED}), {_sig_sql('so', 'template_fields')}, {_sig_sql('sn', 'changed')}
-  SELECT template_id, NOT structure_locked OR coalesce(so.signature, '') = coalesce(sn.signature, '') AS is_valid,
-    CASE WHEN NOT structure_locked OR coalesce(so.signature, '') = coalesce(sn.signature, '') THEN '' ELSE {q(G.LOCKED[0])} END AS message
+  SELECT template_id, NOT structure_locked OR coalesce(so.digest, '') = coalesce(sn.digest, '') AS is_valid,
+    CASE WHEN NOT structure_locked OR coalesce(so.digest, '') = coalesce(sn.digest, '') THEN '' ELSE {q(G.LOCKED[0])} END AS message
   FROM templates LEFT JOIN so USING (template_id) LEFT JOIN sn USING (template_id)""", "templates template_fields")
 def _(t):
     new = t.template_fields.where("not (template_key % 6 = 0 and field_pos = 7)").withColumn(
@@ -424,6 +438,15 @@ def _(t):
     return G.validate_locked(t.templates, t.template_fields, new)
 
 
+@query("d25_changed_sections", f"""WITH changed AS ({_CHANGED}), {_sig_sql('so', 'template_fields')}, {_sig_sql('sn', 'changed')}
+  SELECT template_id, section_pos, CASE WHEN o.digest IS NULL THEN 'added' WHEN n.digest IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM so_s o FULL JOIN sn_s n USING (template_id, section_pos) WHERE o.digest IS DISTINCT FROM n.digest""", "template_fields")
+def _(t):
+    new = t.template_fields.where("not (template_key % 6 = 0 and field_pos = 7)").withColumn(
+        "field_label", F.expr("CASE WHEN template_key % 4 = 1 AND field_pos = 3 THEN field_label || ' (new)' ELSE field_label END"))
+    return G.changed_sections(t.template_fields, new)
+
+
 @query("p11_rows_by_page", f"""
   WITH rt0 AS (SELECT doc_id, table_index, row_no, list({_TXT} ORDER BY pos) AS a FROM cells GROUP BY ALL),
   rt AS (SELECT doc_id, table_index, row_no, array_to_string(list_filter(list_filter(a, lambda x, i: i = 1 OR x <> a[i - 1]), lambda x: x <> ''), chr(9)) AS row_text FROM rt0),
