@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K, text as X
+from .ids import allocate
 from .pages import first_filled
 
 # fixed values: JSON texts that count as "nothing there"
@@ -88,35 +88,10 @@ def delete_plan(targets: DataFrame, jobs: DataFrame, projects: DataFrame, force:
     return verdict, names, doomed.select(F.col("id").alias("job_id"), "template_key")
 
 
-def _free_ids(new: pd.DataFrame, used: pd.DataFrame) -> pd.DataFrame:
-    seen, following, ids = set(used["template_id"]), {}, []
-    new = new.sort_values("seq")
-    for base in new["base"]:
-        candidate = base
-        while candidate in seen:
-            n = following.get(base, 2)
-            candidate, following[base] = f"{base}_{n}", n + 1
-        seen.add(candidate)
-        ids.append(candidate)
-    return pd.DataFrame({"seq": new["seq"], "template_id": ids})
-
-
 def unique_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(seq, template_id): a free id per new name, in ``seq`` order; ``new``: seq, name.
-
-    Names whose id is free and asked for once keep it; only families of ids (equal up to numeric
-    suffixes) with a clash are resolved one after another.
-    """
-    root = lambda c: F.regexp_replace(c, r"(_\d+)+$", "").alias("root")
-    asked = new.select("seq", X.slug("name", "template").alias("base")).select("seq", "base", root("base"))
-    used = existing.select("template_id", root("template_id")).distinct()
-    repeated = asked.groupBy("base", "root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    taken = asked.join(used.select(F.col("template_id").alias("base")), "base", "left_semi").select("root")
-    clash = repeated.union(taken).distinct()
-    free = asked.join(clash, "root", "left_anti").select("seq", F.col("base").alias("template_id"))
-    hard = asked.join(clash, "root", "left_semi").groupBy("root").cogroup(used.join(clash, "root", "left_semi").groupBy("root")).applyInPandas(
-        _free_ids, "seq long, template_id string")
-    return free.unionByName(hard)
+    """(seq, template_id): a free id per new name, in ``seq`` order; ``new``: seq, name."""
+    asked = new.select("seq", X.slug("name", "template").alias("base"))
+    return allocate(asked, [], ["seq"], existing.select(F.col("template_id").alias("id"))).select("seq", F.col("id").alias("template_id"))
 
 
 def approve(pending: DataFrame, fields: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 from .cut import cut
+from .ids import allocate
 from .prefix import running
 from .structure import cover_titles
 from .tables import form_cells, number_tables, table_structure
@@ -14,54 +14,21 @@ from .tables import form_cells, number_tables, table_structure
 ORD = ["block_seq", "stage", "row_no", "phase", "cell_no"]
 
 
-def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
-    """Suffix colliding ids of one family in registration order."""
-    rows = rows.sort_values("ord")
-    seen: set[str] = set()
-    following: dict[str, int] = {}
-    ids = []
-    for base in rows["base"]:
-        candidate = base
-        while candidate in seen:
-            n = following.get(base, 2)
-            candidate, following[base] = f"{base}_{n}", n + 1
-        seen.add(candidate)
-        ids.append(candidate)
-    return pd.DataFrame({"doc_id": rows["doc_id"], "label_key": rows["label_key"], "field_id": ids})
-
-
 def register_fields(candidates: DataFrame, order: list[str]) -> DataFrame:
     """First candidate per (doc_id, label without case), with a unique ``field_id``.
 
     ``candidates``: doc_id, the ``order`` columns (ints), label, explicit_id, value, further columns.
-    Ids collide only among labels that share their id up to numeric suffixes. A family in which no
-    id repeats, or that has one base id only, is numbered directly; only the mixed families (an id
-    that repeats next to one that looks like its suffixed form) are resolved in order, each on its
-    own.
+    Ids that are equal get numeric suffixes in registration order (see ``ids``).
     """
     df = candidates.withColumn("field_label", X.squeeze(F.coalesce("label", F.lit(""))))
     df = df.withColumn("label_key", F.lower("field_label"))
     keep = [c for c in df.columns if c not in ("doc_id", "label_key", "label")]
     first = df.groupBy("doc_id", "label_key").agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("r")).select("doc_id", "label_key", "r.*")
-    first = first.withColumn("base", F.coalesce("explicit_id", X.slug("field_label")))
-    first = first.withColumn("root", F.regexp_replace("base", r"(_\d+)+$", "")).withColumn("ord", F.struct(*order))
-    first = cut(first)
-    per_base = first.groupBy("doc_id", "root", "base").agg(F.count("*").alias("n"))
-    mixed = per_base.groupBy("doc_id", "root").agg(F.count("*").alias("bases"), F.max("n").alias("most")).where("bases > 1 and most > 1")
-    tagged = first.join(mixed.select("doc_id", "root", F.lit(True).alias("_mixed")), ["doc_id", "root"], "left")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("ord"))
-    plain = tagged.where("_mixed is null").withColumn("_n", nth)
-    plain = plain.withColumn("field_id", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", "_n"))).drop("_n")
-    rank = F.concat_ws("/", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in order])
-    hard = tagged.where("_mixed")
-    ids = hard.select("doc_id", "label_key", "base", "root", rank.alias("ord")).groupBy("doc_id", "root").applyInPandas(
-        _resolve, "doc_id long, label_key string, field_id string")
-    solved = hard.join(ids, ["doc_id", "label_key"])
-    out = plain.unionByName(solved)
+    out = allocate(first.withColumn("base", F.coalesce("explicit_id", X.slug("field_label"))), ["doc_id"], order).withColumnRenamed("id", "field_id")
     hint = F.concat(F.lit("Extract the "), F.lower("field_label"), F.lit(" from the source document."), F.when(
         F.coalesce("value", F.lit("")) != "", F.concat(F.lit(' Example from source: "'), F.left("value", F.lit(120)), F.lit('".'))).otherwise(""))
     return out.withColumns({"extraction_hint": hint, "default_value": F.coalesce("value", F.lit(""))}).drop(
-        "base", "root", "ord", "_mixed", "label_key", "explicit_id", "value")
+        "base", "label_key", "explicit_id", "value")
 
 
 def _marked(paged: DataFrame) -> DataFrame:

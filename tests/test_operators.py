@@ -327,9 +327,49 @@ def test_digests_of_a_large_template(spark):
     sign = lambda df: tuple(G.schema_signature(df).first())
     first = sign(f)
     assert first[:3] == ("T", 2, 100_000) and first == sign(f.withColumn("field_pos", F.col("field_pos") + 7).repartition(3))
-    swapped = f.withColumn("field_pos", F.when(i == 10, 36).when(i == 12, 30).otherwise(F.col("field_pos")).cast("int")) if "id" in f.columns else f.withColumn(
-        "field_pos", F.when(F.col("field_id") == "f10", 36).when(F.col("field_id") == "f12", 30).otherwise(F.col("field_pos")).cast("int"))
+    swapped = f.withColumn("field_pos", F.when(F.col("field_id") == "f10", 36).when(F.col("field_id") == "f12", 30).otherwise(F.col("field_pos")).cast("int"))
     others = [swapped, f.withColumn("section_pos", F.lit(0)), f.where("field_id <> 'f9'"), f.withColumn("section_name", F.lit("Z"))]
     assert len({first, *map(sign, others)}) == 5
     assert rows(G.changed_sections(f, swapped), "section_pos", "change") == [(0, "changed")]
     assert G.signature_lines(f).count() == 100_002
+
+
+def serve_ids(asked, used):
+    """By definition: every request in order takes its base, or the first free number after those it has tried."""
+    seen, out = set(used), []
+    for base in asked:
+        found, n = base, 2
+        while found in seen:
+            found, n = f"{base}_{n}", n + 1
+        seen.add(found)
+        out.append(found)
+    return out
+
+
+def test_ids_equal_serving_one_by_one(spark):
+    import random
+
+    from paperweft.operators import ids
+
+    rnd, asked, used, want = random.Random(9), [], [], {}
+    for scope in range(60):
+        names = rnd.sample(["a", "b", "a_2", "a_2_2", "a_3", "b_02", "b_1", "c_10", "c", "_2", "d_9", "d"], rnd.randint(1, 6))
+        mine = [rnd.choice(names) for _ in range(rnd.randint(1, 25))]
+        has = rnd.sample(["a", "a_2", "a_4", "a_5", "b", "b_2", "b_1", "c_2", "c_11", "d_2", "d_3", "d_9_2", "x"], rnd.randint(0, 8))
+        asked += [(scope, i, n, "z") for i, n in enumerate(mine)]
+        used += [(scope, x) for x in has]
+        want |= {(scope, i): x for i, x in enumerate(serve_ids(mine, has))}
+    df = spark.createDataFrame(asked, "scope int, seq int, base string, extra string").repartition(3)
+    got = ids.allocate(df, ["scope"], ["seq"], spark.createDataFrame(used, "scope int, id string")).collect()
+    assert len(got) == len(want) and {(r.scope, r.seq): r.id for r in got} == want and {r.extra for r in got} == {"z"}
+
+
+def test_a_large_family_of_ids(spark):
+    from paperweft.operators import ids
+
+    i = F.col("id")
+    asked = spark.range(100_000).select(i.alias("seq"), F.lit("part").alias("base"))
+    used = spark.range(100_000).select(F.when(i == 0, "part").otherwise(F.concat(F.lit("part_"), (i * 2).cast("string"))).alias("id"))
+    got = ids.allocate(asked, [], ["seq"], used)
+    assert got.select("id").distinct().count() == 100_000 and got.join(used, "id").count() == 0
+    assert [r.id for r in got.where("seq in (0, 1, 99998, 99999)").orderBy("seq").collect()] == ["part_3", "part_5", "part_199999", "part_200000"]

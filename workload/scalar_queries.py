@@ -118,12 +118,33 @@ def _(t):
     return t.documents.select("doc_id", F.round(X.implausible_ratio("text"), 6).alias("ratio"))
 
 
-@query("x14_is_garbage")
+_SAME_LATER = ", ".join(f"CASE WHEN c = lead(c, {n}) OVER w THEN {n} END" for n in range(3, 26))
+#: Repeated chunks without a back-reference: runs of places whose character comes again n places later, for every n from
+#: 3 to 25; at least 2n such places are a chunk three times. The leftmost run counts, of those the shortest chunk.
+_CHUNK = f"""s AS (SELECT doc_id, {O.strip("coalesce(text, '')")} AS s FROM documents),
+  ch AS (SELECT doc_id, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM (SELECT doc_id, string_split(s, '') AS cs FROM s WHERE s <> '')),
+  same AS (SELECT doc_id, i, unnest(ns) AS n FROM (SELECT doc_id, i, c, list_filter([{_SAME_LATER}], lambda x: x IS NOT NULL) AS ns FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE c <> chr(10)),
+  runs AS (SELECT doc_id, n, min(i) AS a, count(*) AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, n ORDER BY i) AS g FROM same) GROUP BY doc_id, n, g HAVING count(*) >= 2 * n),
+  lead_ AS (SELECT doc_id, unnest(arg_min({{'n': n, 'a': a, 'm': m}}, (a, n))) FROM runs GROUP BY 1),
+  found AS (SELECT doc_id, s, length(regexp_replace(s, {q(K.IMPLAUSIBLE_CHAR)}, '', 'g')) / length(s) AS ratio, n * (m // n + 1) AS run, {O.strip("substr(s, a::INTEGER + 1, n::INTEGER)")} AS chunk FROM s LEFT JOIN lead_ USING (doc_id)),
+  g AS (SELECT *, coalesce(length(chunk) >= 3 AND NOT regexp_matches(chunk, {q(K.BORDER_ONLY)}) AND run >= 0.3::DOUBLE * length(s), false) AS repeated FROM found)"""
+
+
+@query("x14_is_garbage", f"""WITH {_CHUNK}
+  SELECT doc_id, s = '' OR ratio < 0.6::DOUBLE OR repeated AS is_garbage, s = '' OR ratio < 0.9::DOUBLE OR repeated AS is_garbage_strict FROM g""")
 def _(t):
-    """Needs a back-reference, which the oracle's regex engine lacks; tested against brute force."""
     return t.documents.select("doc_id", X.is_garbage("text").alias("is_garbage"), X.is_garbage("text", 0.9).alias("is_garbage_strict"))
 
 
+@query("x14_repeated_lines", f"""WITH {_CHUNK.replace("FROM documents", "FROM lines").replace("doc_id", "id")
+  .replace("s AS (", "lines AS (SELECT doc_id || ':' || i AS id, l AS text FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))), s AS (", 1)}
+  SELECT id, s = '' OR ratio < 0.6::DOUBLE OR repeated AS is_garbage FROM g""")
+def _(t):
+    """Every line of the documents by itself: short texts with separators, tables and repeated words."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "text"))
+    return lines.select(F.concat_ws(":", "doc_id", "i").alias("id"), X.is_garbage("text").alias("is_garbage"))
+
+
 @query("x15_html_plain", f"""
   SELECT page_id, {O.norm("regexp_replace(" + O.unescape4('html') + ", '<[^>]+>', ' ', 'g')")} AS plain FROM pages""")
 def _(t):
