@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed as K, html as H, text as X
 from .pages import html_fields
-from .substring import substring_hits
+from .substring import numbered_hits, substring_hits
 
 
 def template_signals(templates: DataFrame, fields: DataFrame) -> DataFrame:
@@ -30,12 +30,18 @@ def detect_specifications(pages: DataFrame, signals: DataFrame) -> DataFrame:
     documents x templates.
     """
     texts = pages.select("doc_id", "page_number", X.normalize("text").alias("text"))
-    hits = substring_hits(texts, ["doc_id", "page_number"], signals)
-    found = hits.join(signals, "needle").groupBy("doc_id", "template_id").agg(
-        F.max(F.col("kind") == "title").alias("title_hit"),
-        F.max(F.col("kind") == "number").alias("number_hit"),
-        F.count_if(F.col("kind") == "label").alias("label_hits"),
-        F.sort_array(F.collect_set("page_number")).alias("matched_pages"))
+    hits, needles = numbered_hits(texts, ["doc_id", "page_number"], signals)
+    # pages of a needle as bits of 64-page words: rows shrink to document x needle before they meet the templates
+    word, bit = F.floor(F.col("page_number") / 64).cast("int"), F.expr("shiftleft(1L, cast(pmod(page_number, 64) as int))")
+    sets = hits.groupBy("doc_id", "_id", word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    wanted = needles.join(signals, "needle").select("_id", "template_id", "kind")
+    merged = sets.join(wanted, "_id").groupBy("doc_id", "template_id", "_word").agg(
+        F.max(F.col("kind") == "title").alias("title_hit"), F.max(F.col("kind") == "number").alias("number_hit"),
+        F.sum(F.when(F.col("kind") == "label", F.bit_count("_bits")).otherwise(0)).alias("label_hits"), F.bit_or("_bits").alias("_bits"))
+    on = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("_bits", i) == 1)
+    found = merged.groupBy("doc_id", "template_id").agg(
+        F.max("title_hit").alias("title_hit"), F.max("number_hit").alias("number_hit"), F.sum("label_hits").alias("label_hits"),
+        F.sort_array(F.flatten(F.collect_list(F.transform(on, lambda i: (F.col("_word") * 64 + i).cast("int"))))).alias("matched_pages"))
     n_labels = signals.groupBy("template_id").agg(F.count_if(F.col("kind") == "label").alias("n_labels"))
     signal = F.least(F.lit(1.0), F.col("label_hits") / F.greatest("n_labels", F.lit(1)))
     confidence = (

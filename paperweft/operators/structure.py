@@ -6,12 +6,15 @@ has_page_break, rendered_breaks. Positions inside a document are scanned in segm
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
-from .cut import cut
+from .cut import cut, written
 from .prefix import position, running
+from .substring import numbered_hits
 
 IS_TABLE = "block_type = 'table'"
 
@@ -95,33 +98,40 @@ def estimate_pages(blocks: DataFrame, totals: DataFrame | None = None) -> DataFr
     return block_pages(blocks, cut(page_boundaries(blocks, stats)), stats)
 
 
-def _locate(needles: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
-    needles = needles.sort_values("seq")
-    texts = pages.sort_values("page_number")["norm"].tolist()
+def _walk(needles: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+    """Move a document's cursor: per needle the first place at or after it among the sorted places of its text."""
+    at = dict(zip(places["_id"], places["places"]))
     cursor, found = 0, []
-    for key, fallback in zip(needles["norm"], needles["fallback"]):
-        if not texts:
-            found.append(int(fallback))
-            continue
-        if not key:
-            found.append(max(1, min(int(fallback), len(texts))))
-            continue
-        hit = next((p for p in range(cursor, len(texts)) if key in texts[p]), None)
-        if hit is not None:
-            cursor = hit
-        found.append(cursor + 1)
+    for text, page, blank in needles.sort_values("seq")[["_id", "page", "blank"]].itertuples(index=False):
+        if not blank:
+            here = at.get(text)
+            i = 0 if here is None else bisect_left(here, cursor)
+            cursor = cursor if here is None or i == len(here) else int(here[i])
+            page = cursor + 1
+        found.append(int(page))
+    needles = needles.sort_values("seq")
     return pd.DataFrame({"doc_id": needles["doc_id"], "seq": needles["seq"], "page": found})
 
 
 def locate(needles: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, seq, page): first page at or after the cursor that contains each needle, in order.
 
-    ``needles``: doc_id, seq, text, fallback. The cursor never moves back, so a document's needles
-    depend on one another: documents run in parallel, needles of one document in order.
+    ``needles``: doc_id, seq, text, fallback. Which pages contain a needle is a substring join within documents; Python
+    sees numbers only. The cursor never moves back, so a document's needles depend on one another: documents run in
+    parallel, and a task holds a document's needle numbers and, once for each distinct text, the pages that hold it.
+    A blank needle, like every needle of a document without pages, stays at its fallback.
     """
-    n = needles.select("doc_id", F.col("seq").cast("long").alias("seq"), X.normalize("text").alias("norm"), F.col("fallback").cast("long").alias("fallback"))
-    p = pages.select("doc_id", "page_number", X.normalize("text").alias("norm"))
-    return n.groupBy("doc_id").cogroup(p.groupBy("doc_id")).applyInPandas(_locate, "doc_id long, seq long, page int")
+    n = written(needles.select("doc_id", F.col("seq").cast("long").alias("seq"), X.normalize("text").alias("norm"), F.col("fallback").cast("long").alias("fallback")))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number")) - 1
+    p = written(pages.select("doc_id", nth.alias("place"), X.normalize("text").alias("norm")))
+    hits, numbered = numbered_hits(p, ["doc_id", "place"], n, ["doc_id"], "norm", "norm")
+    places = hits.groupBy("doc_id", "_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    count = p.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    rows = n.join(numbered, ["doc_id", "norm"], "left").join(count, "doc_id", "left")
+    blank = F.col("n_pages").isNull() | (F.coalesce("norm", F.lit("")) == "")
+    page = F.when(F.col("n_pages").isNull(), F.col("fallback")).otherwise(F.greatest(F.lit(1), F.least("fallback", "n_pages")))
+    rows = rows.select("doc_id", "seq", "_id", page.alias("page"), blank.alias("blank"))
+    return rows.groupBy("doc_id").cogroup(places.groupBy("doc_id")).applyInPandas(_walk, "doc_id long, seq long, page int")
 
 
 def rows_by_page(blocks: DataFrame, row_texts: DataFrame, tables: DataFrame, pages: DataFrame) -> DataFrame:

@@ -47,6 +47,16 @@ def substring_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope:
     ``texts`` hold white-space-normalized text; ``key`` (+ ``scope``) identifies a row. With
     ``scope`` only needles of the same scope are looked for.
     """
+    found, numbered = numbered_hits(texts, key, needles, scope, text, needle)
+    return found.distinct().join(numbered.select("_id", needle), "_id").drop("_id")
+
+
+def numbered_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope: list[str] | None = None,
+                  text: str = "text", needle: str = "needle") -> tuple[DataFrame, DataFrame]:
+    """(hits, needles): ``(key, scope, _id)`` of every hit, some more than once, and ``(scope, _id, needle)``.
+
+    For callers that aggregate hits anyway: they carry a number and need no distinct.
+    """
     scope = scope or []
     ident = [c for c in key if c not in scope] + scope
     texts = texts.select(*ident, F.col(text).alias("_text"))
@@ -88,10 +98,10 @@ def substring_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope:
     if fits_broadcast(lookup):
         # the text rides along inside the generated code: nothing but hits is shuffled
         with_text = texts.select(*ident, "_text", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
-        found = with_text.join(F.broadcast(lookup), scope + ["_word"]).where(holds).select(*ident, "_id").distinct()
+        found = with_text.join(F.broadcast(lookup), scope + ["_word"]).where(holds).select(*ident, "_id")
     else:
         pairs = words.join(lookup, scope + ["_word"]).select(*ident, "_id", "_needle").distinct()
         sure = pairs.where("_needle is null").select(*ident, "_id")
         doubtful = pairs.where("_needle is not null").join(texts, ident).where(holds).select(*ident, "_id")
-        found = sure.unionByName(doubtful).distinct()
-    return found.join(wanted.select("_id", F.col("_needle").alias(needle)), "_id").drop("_id")
+        found = sure.unionByName(doubtful)
+    return found, wanted.select(*scope, "_id", F.col("_needle").alias(needle))

@@ -373,3 +373,36 @@ def test_a_large_family_of_ids(spark):
     got = ids.allocate(asked, [], ["seq"], used)
     assert got.select("id").distinct().count() == 100_000 and got.join(used, "id").count() == 0
     assert [r.id for r in got.where("seq in (0, 1, 99998, 99999)").orderBy("seq").collect()] == ["part_3", "part_5", "part_199999", "part_200000"]
+
+
+def test_locate_equals_the_walk_over_texts(spark):
+    import random
+
+    from paperweft.operators import structure as D
+
+    rnd, needles, pages, want = random.Random(6), [], [], {}
+    words = ["alpha", "beta", "gamma", "al", "ma", "a", "x y", "beta gamma", "ta ga", ""]
+    for doc in range(40):
+        texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(0, 6))]
+        pages += [(doc, 3 * i + 2, t) for i, t in enumerate(texts)]
+        norm, cursor = [" ".join(t.lower().split()) for t in texts], 0
+        for seq in range(rnd.randint(1, 12)):
+            text, fallback = rnd.choice([*words, "  Beta  GAMMA ", "nowhere"]), rnd.randint(-1, 9)
+            needles.append((doc, seq, text, fallback))
+            key = " ".join(text.lower().split())
+            if not texts:
+                want[doc, seq] = fallback
+            elif not key:
+                want[doc, seq] = max(1, min(fallback, len(texts)))
+            else:
+                cursor = next((p for p in range(cursor, len(texts)) if key in norm[p]), cursor)
+                want[doc, seq] = cursor + 1
+    got = D.locate(spark.createDataFrame(needles, "doc_id long, seq int, text string, fallback int"), spark.createDataFrame(pages, "doc_id long, page_number int, text string")).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.seq): r.page for r in got} == want
+
+
+def test_pages_of_hits_beyond_one_word_of_bits(spark):
+    pages = spark.createDataFrame([(1, n, "the long title here" if n % 2 else "part no 7") for n in (1, 63, 64, 65, 130, 200)], "doc_id long, page_number int, text string")
+    signals = spark.createDataFrame([("T", "title", "the long title here"), ("T", "label", "part no"), ("U", "label", "long title"), ("V", "number", "absent")], "template_id string, kind string, needle string")
+    got = {r.template_id: (r.matched_pages, r.match_status) for r in M.detect_specifications(pages, signals).collect()}
+    assert got["T"][0] == [1, 63, 64, 65, 130, 200] and got["U"][0] == [1, 63, 65] and set(got) == {"T", "U"}
