@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .store import stored
+from .store import drop, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,7 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select("a", "b", "m")
+        former = edges
         edges = stored(small.select("a", F.col("m").alias("b")).union(small.select(b.alias("a"), F.col("m").alias("b"))).where(a != b).distinct())
+        drop(former)
         before, state = state, _state(edges)
         if before == state:
             break

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from . import words as W
 from .components import components
-from .store import stored
+from .store import drop, stored
 
 _U = np.uint64
 SECOND_LEVEL = 2
@@ -245,10 +245,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     met = stored(_several(src.mapInArrow(sign, "sig long, key long, lane long")))
     enough = F.count("*").over(Window.partitionBy("key", "lane")) >= F.col("lane").bitwiseAND(_NEED)
     nodes = stored(_several(met.withColumn("enough", enough).where("enough")).select("sig", "key"))
+    drop(met)
     degree = nodes.groupBy("key").agg(F.count("*").alias("degree"))
     rank = F.col("degree") * F.lit(1 << 40) + F.pmod(F.xxhash64("key"), F.lit(1 << 40))  # the same order for every signature
     pivots = nodes.join(degree, "key").groupBy("sig").agg(F.max_by("key", rank).alias("lead"))
     star = stored(nodes.join(pivots, "sig").where("key != lead").groupBy("key", "lead").agg(F.count("*").alias("n")))
+    drop(nodes)
     involved = star.select("key").union(star.select("lead")).distinct().join(classes.where("rep is not null"), "key").select("key", F.col("rep").alias("doc_id"))
     profiles = stored(src.join(involved, "doc_id").select("key", "text").mapInArrow(profile, "key long, set array<long>"))
 
@@ -258,8 +260,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     pairs = star.select(F.col("key").alias("a"), F.col("lead").alias("b"))
     nearest = star.groupBy("key").agg(F.max_by("lead", F.col("n") * F.lit(1 << 40) + F.pmod(F.xxhash64("lead"), F.lit(1 << 40))).alias("lead"))
     links = linked(nearest.select(F.col("key").alias("a"), F.col("lead").alias("b")))
-    links = links.union(linked(_placed(pairs, stored(components(links))).where("part != pivot_part").select("a", "b")))
-    links = links.union(linked(_cross(_placed(pairs, stored(components(links))), profiles, percent)))
+    near = stored(components(links))
+    links = links.union(linked(_placed(pairs, near).where("part != pivot_part").select("a", "b")))
+    wide = stored(components(links))
+    links = links.union(linked(_cross(_placed(pairs, wide), profiles, percent)))
+    drop(star, profiles, near, wide)  # the links are stored; nothing below reads these
     reps = classes.where("rep is not null").groupBy("key").agg(F.min("rep").alias("rep"))
     by_rep = links.join(reps.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
         reps.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
