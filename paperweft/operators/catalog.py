@@ -94,13 +94,25 @@ def unique_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
     return allocate(asked, [], ["seq"], existing.select(F.col("template_id").alias("id"))).select("seq", F.col("id").alias("template_id"))
 
 
-def approve(pending: DataFrame, fields: DataFrame) -> DataFrame:
-    """Pending templates with ``error``; approved ones become active."""
+def approve(pending: DataFrame, fields: DataFrame, on_disk: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """Pending templates with ``error``; approved ones become active, under ``approved_id``.
+
+    A template that has a folder (``on_disk``: template_id) keeps its id, since files are found by it; any other takes the
+    free id of its name, in order of its former id. ``existing`` (template_id) are the ids of all templates; those that are
+    given up here are free. Without ``on_disk`` every id is kept.
+    """
     n = fields.groupBy("template_id").agg(F.count("*").alias("_n"))
     ok = F.coalesce("_n", F.lit(0)) > 0
-    return pending.where("status = 'pending'").join(n, "template_id", "left").select(
-        "template_id", F.when(ok, True).otherwise(F.col("is_active")).alias("is_active"), F.when(ok, "active").otherwise(F.col("status")).alias("status"),
-        F.when(~ok, "Add at least one field before approving this template").alias("error"))
+    rows = pending.where("status = 'pending'").join(n, "template_id", "left").withColumn("_ok", ok)
+    out = ["template_id", F.when(F.col("_ok"), True).otherwise(F.col("is_active")).alias("is_active"), F.when(F.col("_ok"), "active").otherwise(F.col("status")).alias("status"),
+           F.when(~F.col("_ok"), "Add at least one field before approving this template").alias("error")]
+    if on_disk is None:
+        return rows.select(*out, F.when(F.col("_ok"), F.col("template_id")).alias("approved_id"))
+    moved = rows.where("_ok").join(on_disk.select("template_id").distinct(), "template_id", "left_anti")
+    kept = pending.select("template_id") if existing is None else existing.select("template_id")
+    used = kept.join(moved.select("template_id"), "template_id", "left_anti").select(F.col("template_id").alias("id"))
+    named = allocate(moved.select("template_id", X.slug("template_name", "template").alias("base")), [], ["template_id"], used)
+    return rows.join(named.select("template_id", "id"), "template_id", "left").select(*out, F.when(F.col("_ok"), F.coalesce("id", "template_id")).alias("approved_id"))
 
 
 def finalize(existing: DataFrame, final: DataFrame, summary: DataFrame) -> DataFrame:

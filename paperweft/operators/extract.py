@@ -56,9 +56,11 @@ def _or_none(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
-def prompts(chunks: DataFrame, batches: DataFrame, versions: DataFrame) -> DataFrame:
+def prompts(chunks: DataFrame, batches: DataFrame, versions: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """Extraction prompt per (document, chunk, section, batch).
 
+    With ``sections`` (template_id, section_pos, section_name), those without a field get one prompt too, as batch 1.
+
     ``chunks``: doc_id, template_id, page_number, text, chunk_no. ``batches``: fields with batch_no.
     ``versions``: template_id, version, reference_text. Pages are taken in order until one would
     pass the budget; a chunk has few pages, a batch few fields, so both lists are bounded.
@@ -68,6 +70,10 @@ def prompts(chunks: DataFrame, batches: DataFrame, versions: DataFrame) -> DataF
         F.lit('" hint="'), F.coalesce("extraction_hint", F.lit("")), F.lit('"'))
     heads = batches.groupBy("template_id", "section_pos", "section_name", "batch_no").agg(
         F.array_sort(F.collect_list(F.struct("field_pos", line.alias("line")))).alias("f"), F.count("*").alias("n_fields"))
+    if sections is not None:
+        bare = sections.select("template_id", "section_pos", "section_name").distinct().join(batches.select("template_id", "section_pos").distinct(), ["template_id", "section_pos"], "left_anti")
+        none = F.array().cast(heads.schema["f"].dataType)
+        heads = heads.unionByName(bare.select("*", F.lit(1).alias("batch_no"), none.alias("f"), F.lit(0).cast("long").alias("n_fields")))
     heads = heads.join(versions, "template_id")
     head = F.concat(
         F.array(*[F.lit(x) for x in PROMPT_RULES]),

@@ -406,3 +406,38 @@ def test_pages_of_hits_beyond_one_word_of_bits(spark):
     signals = spark.createDataFrame([("T", "title", "the long title here"), ("T", "label", "part no"), ("U", "label", "long title"), ("V", "number", "absent")], "template_id string, kind string, needle string")
     got = {r.template_id: (r.matched_pages, r.match_status) for r in M.detect_specifications(pages, signals).collect()}
     assert got["T"][0] == [1, 63, 64, 65, 130, 200] and got["U"][0] == [1, 63, 65] and set(got) == {"T", "U"}
+
+
+def test_a_section_without_fields_gets_a_prompt(spark):
+    chunks = spark.createDataFrame([(1, "T", 1, "body", 1)], "doc_id long, template_id string, page_number int, text string, chunk_no int")
+    batches = spark.createDataFrame([("T", 0, "Main", 0, "a", "A", None, 1)], "template_id string, section_pos int, section_name string, field_pos int, field_id string, field_label string, extraction_hint string, batch_no int")
+    versions = spark.createDataFrame([("T", "1", None)], "template_id string, version string, reference_text string")
+    sections = spark.createDataFrame([("T", 0, "Main"), ("T", 1, "Annex")], "template_id string, section_pos int, section_name string")
+    got = {r.section_pos: r.prompt for r in E.prompts(chunks, batches, versions, sections).collect()}
+    assert set(got) == {0, 1} and "SECTION: Annex\n\nDOCUMENT TEXT:\n--- PAGE 1 ---\nbody" in got[1] and "field_id=a" in got[0] and "field_id" not in got[1].split("SECTION")[1]
+    assert E.prompts(chunks, batches, versions).count() == 1
+
+
+def test_file_ends(spark, tmp_path):
+    """Template files, incoming files and exports, through real folders."""
+    import json
+
+    from paperweft.sources import exports as X, files as S
+
+    for name, schema in (("b", {"template_id": "T", "template_name": "Second"}), ("a", {"template_id": "T", "template_name": "First", "is_active": False}), ("c", ["no object"]), ("d", {"x": 1})):
+        (tmp_path / "templates" / name).mkdir(parents=True)
+        (tmp_path / "templates" / name / "schema.json").write_text(json.dumps(schema))
+    (tmp_path / "templates" / "e").mkdir()
+    (tmp_path / "templates" / "e" / "schema.json").write_text("{broken")
+    got = S.read_templates(spark, str(tmp_path / "templates")).collect()
+    assert [(r.template_id, r.template_name, r.is_active, r.version) for r in got] == [("T", "First", False, "1.0")]
+    assert S.read_template_files(spark, str(tmp_path / "templates")).count() == 5
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "x.PDF").write_bytes(b"1234")
+    (tmp_path / "in" / "deep" / "y.exe").write_bytes(b"1")
+    seen = S.intake(S.read_incoming(spark, str(tmp_path / "in")))
+    assert rows(seen, "original_filename", "size", "file_type", "reject_reason") == [("x.PDF", 4, "pdf", None), ("y.exe", 1, "exe", "Unsupported file type")]
+    out = spark.createDataFrame([(1, 0, "completed", '{"a":1}'), (1, 1, "completed", '{"a":2}')], "job_id int, part_no int, status string, json string")
+    X.write_job_exports(out, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == [('{"a":1}', "completed"), ('{"a":2}', "completed")]
