@@ -27,7 +27,7 @@ MIN_DOCS = 3
 #: Tenths of the tokens after the leading ones that a generalised template keeps constant.
 CONSTANT_TENTHS = 6
 #: Parts into which the rows of one leaf or template are split when they meet its summary.
-SALTS = 32
+SALTS = 8
 #: Bits of the map of leaves that enough documents share: 8 MB, whatever the number of leaves.
 MAP_BITS = 1 << 26
 
