@@ -14,8 +14,9 @@ from .registry import query
 
 
 def _stream(t, table):
+    """Stream of the files of a table, which is one file or a folder of files; a stream reads a lone file by pattern only."""
     given = getattr(t, table)
-    return t.spark.readStream.schema(given.schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", 1).parquet(t.sf_dir)
+    return t.spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(f"{t.sf_dir}/{table}.parque[t]")
 
 
 def _scratch(t):
