@@ -29,12 +29,24 @@ def _scratch(t):
     return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
-def _in_files(t, df, base, n, order=None):
-    """Stream of ``df``, written as ``n`` files that arrive one after the other; by ranges of ``order`` or at random."""
-    (df.repartitionByRange(n, order).sortWithinPartitions(order) if order else df.repartition(n)).write.parquet(f"{base}/in")
+def _in_files(t, df, base, n):
+    """Stream of ``df``, written as ``n`` files that arrive one after the other, in any order."""
+    df.repartition(n).write.parquet(f"{base}/in")
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
 
+def _arrivals(t, df, base, n, ts):
+    """Yields a stream ``n`` times, after the next range of ``ts`` has been written: what comes later is never older.
+
+    Files that are written together may be read in any order, so a range only arrives once the stream has read all before it.
+    """
+    cuts = df.agg(F.percentile_approx(F.unix_micros(ts), [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    turn = sum((F.when(F.unix_micros(ts) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(n):
+        df.where(turn == i).write.mode("append").parquet(f"{base}/in")
+        yield t.spark.readStream.schema(df.schema).parquet(f"{base}/in")
+
+
 def _drain(q):
     q.awaitTermination()
     if q.exception() is not None:
@@ -106,8 +118,9 @@ def _(t):
     """Seven-day windows, one a day, each written once its end is an hour behind the newest event."""
     base = _scratch(t)
     events = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counts = W.activity_counts(_in_files(t, events, base, 4, "ts"), "event_type", "7 days", "1 day")
-    _drain(W.write_counts(counts, f"{base}/counts", f"{base}/cp"))
+    for arrived in _arrivals(t, events, base, 4, "ts"):
+        counts = W.activity_counts(arrived, "event_type", "7 days", "1 day")
+        _drain(W.write_counts(counts, f"{base}/counts", f"{base}/cp"))
     return t.spark.read.parquet(f"{base}/counts").select(F.floor(F.unix_seconds("window_start") / 86400).alias("day_no"), "event_type", "n")
 
 
