@@ -145,8 +145,8 @@ def needs_review(fields: DataFrame, keys: list[str], confidence: str = "confiden
 
 
 def text_preview(blocks: DataFrame, cells: DataFrame, limit: int = 2000) -> DataFrame:
-    """First ``limit`` characters of a document. Only pieces that start inside the limit are
-    gathered, so the group that is concatenated is bounded whatever the document's size."""
+    """First ``limit`` characters of a document. Only pieces whose line break before them lies
+    inside the limit are gathered, so the group that is concatenated is bounded whatever the document's size."""
     from .tables import number_tables
 
     para = blocks.where(F.col("block_type") != "table").select(
@@ -157,7 +157,7 @@ def text_preview(blocks: DataFrame, cells: DataFrame, limit: int = 2000) -> Data
     table = rows.select("doc_id", position(F.col("block_seq"), F.col("row_no")).alias("at"), F.concat(
         F.lit("[TABLE ROW "), (F.col("row_no") + 1).cast("string"), F.lit("] "), F.array_join("c.text", " | ")).alias("piece"))
     scanned = running(para.unionByName(table), ["doc_id"], "at", {"_end": ("sum", F.length("piece") + 1)}, segment=SEGMENT << 31)
-    head = scanned.where(F.col("_end") - F.length("piece") - 1 < limit)
+    head = scanned.where(F.col("_end") - F.length("piece") - 1 <= limit)
     return head.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("b")).select(
         "doc_id", F.left(F.array_join("b.piece", "\n"), F.lit(limit)).alias("preview"))
 
