@@ -100,14 +100,15 @@ def _unescape_each(s: pd.Series) -> pd.Series:
     return s.map(lambda a: None if a is None else [_html.unescape(x) for x in a])
 
 
-def html_fields(pages: DataFrame, html: str = "html", limit: int = 20) -> DataFrame:
+def html_fields(pages: DataFrame, html: str = "html", limit: int = 20, entities: dict[str, str] | None = None) -> DataFrame:
     """Page-local fields from visible text: distinct blocks in order, split at the first colon.
 
-    A block that reads ``&nbsp;`` once decoded keeps its number but is no field.
+    A block that reads ``&nbsp;`` once decoded keeps its number but is no field. ``entities``: see ``html.unescape``.
     """
     df = X.let(pages, _raw=F.concat(H.html_blocks(html), F.array(H.drop_tags(html))))
-    df = df.withColumn("_raw", _unescape_each("_raw"))
-    df = X.let(df, _all=F.transform("_raw", X.squeeze))
+    decoded = _unescape_each("_raw") if entities is None else F.transform("_raw", lambda b: H.unescape(b, entities))
+    df = X.let(df, _text=decoded)
+    df = X.let(df, _all=F.transform("_text", X.squeeze))
     inner = F.array_distinct(F.filter(F.slice("_all", 1, F.size("_all") - 1), lambda b: b != ""))
     df = X.let(df, _inner=inner)
     whole = F.filter(F.slice("_all", -1, 1), lambda b: b != "")
