@@ -96,7 +96,7 @@ def _is_cover():
     return F.lower(X.strip(F.coalesce("clause_ref", F.lit("")))).isin(K.COVER_REFS)
 
 
-def fields_in_html(fields: DataFrame, pages: DataFrame) -> DataFrame:
+def fields_in_html(fields: DataFrame, pages: DataFrame, entities: dict[str, str] | None = None) -> DataFrame:
     """(template_id, page_number, field columns, rule): which fields a page shows, by four rules.
 
     The rules are exclusive per page kind, so each is an equi-join of its own: tagged ids; cover
@@ -113,12 +113,12 @@ def fields_in_html(fields: DataFrame, pages: DataFrame) -> DataFrame:
     on_tag = f.where("field_id <> ''").join(tagged, ["template_id", "field_id"])
     r1 = on_tag.where("page_number = 1 or not _cover").withColumn("rule", F.lit(1))
 
-    first = page.where("page_number = 1").select(*key, H.html_plain("html").alias("_plain"))
+    first = page.where("page_number = 1").select(*key, H.html_plain("html", entities).alias("_plain"))
     known = reduce(lambda a, b: a | b, [F.contains("_label", F.lit(w)) for w in K.COVER_LABEL_WORDS])
     r2 = f.where(F.col("_cover") | known).join(first, "template_id").where(
         F.col("_cover") | F.contains("_plain", F.col("_label"))).drop("_plain").withColumn("rule", F.lit(2))
 
-    later = page.where("page_number > 1").withColumn("_raw", H.unescape(H.drop_tags("html")))
+    later = page.where("page_number > 1").withColumn("_raw", H.unescape(H.drop_tags("html"), entities))
     rest = f.where("not _cover")
     token = r"(?U)([\w.]+)"
     runs = later.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("_raw", F.lit(token), 1))).alias("_run"))
@@ -157,19 +157,19 @@ def sections_for(matches: DataFrame, fields: DataFrame) -> DataFrame:
         "template_id", "page_number", "section_id", "section_name").agg(F.count("*").cast("int").alias("field_count"))
 
 
-def page_preview(fields: DataFrame, pages: DataFrame) -> DataFrame:
+def page_preview(fields: DataFrame, pages: DataFrame, entities: dict[str, str] | None = None) -> DataFrame:
     """Fields of every page: declared for it, else matched in its HTML, else read from its text."""
     key = ["template_id", "page_number"]
     ids = pages.select(*key)
     declared = fields_by_page(fields).join(ids, key, "left_semi").select(
         *key, F.lit("declared").alias("origin"), "field_id", F.col("field_label"), F.col("default_value").alias("value"))
     open_ = pages.join(declared.select(*key).distinct(), key, "left_anti")
-    matched = fields_in_html(fields, open_).select(*key, "section_pos", "field_pos").join(
+    matched = fields_in_html(fields, open_, entities).select(*key, "section_pos", "field_pos").join(
         fields.select("template_id", "section_pos", "field_pos", "field_id", "field_label", "default_value"),
         ["template_id", "section_pos", "field_pos"]).select(
         *key, F.lit("matched").alias("origin"), "field_id", "field_label", F.col("default_value").alias("value"))
     bare = open_.join(matched.select(*key).distinct(), key, "left_anti")
-    read = html_fields(bare.select(*key, "html")).select(
+    read = html_fields(bare.select(*key, "html"), entities=entities).select(
         *key, F.lit("read").alias("origin"),
         F.concat(F.lit("dynamic_page_"), F.col("page_number").cast("string"), F.lit("_"), F.col("idx").cast("string")).alias("field_id"),
         "field_label", "value")
