@@ -207,6 +207,13 @@ def schema_signature(fields: DataFrame) -> DataFrame:
     return _digest(placed, ["template_id"], text, "n_sections").join(n, "template_id").select("template_id", "n_sections", "n_fields", "digest")
 
 
+def signature_text(fields: DataFrame) -> DataFrame:
+    """(template_id, signature): the lines of ``signature_lines`` in order, joined. A row holds a template; to compare templates, use digests."""
+    line = F.struct("section_pos", F.col("field_pos").alias("at"), "line")  # a section's own line sorts first: its place is NULL
+    return signature_lines(fields).groupBy("template_id").agg(F.sort_array(F.collect_list(line)).alias("_l")).select(
+        "template_id", F.array_join("_l.line", "|").alias("signature"))
+
+
 def signature_lines(fields: DataFrame) -> DataFrame:
     """(template_id, section_pos, field_pos, line): the signature as text, a row a line; a section's own line has no field_pos."""
     head = F.concat(F.lit("SECTION:"), F.coalesce("section_id", F.lit("")), F.lit(":"), F.coalesce("section_name", F.lit("")))

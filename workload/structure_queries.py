@@ -413,9 +413,12 @@ def _sig_sql(name: str, source: str) -> str:
   {name} AS (SELECT template_id, count(*) AS n_sections, sum(n_fields)::BIGINT AS n_fields, {_sum_sql('l')} AS digest FROM {name}_r GROUP BY 1)"""
 
 
-@query("d24_schema_signature", f"WITH {_sig_sql('sg', 'template_fields')} SELECT * FROM sg", "template_fields")
+@query("d24_schema_signature", f"""WITH {_sig_sql('sg', 'template_fields')},
+  st0 AS (SELECT template_id, section_pos, 'SECTION:' || any_value(section_id) || ':' || any_value(section_name) || '|' || string_agg('FIELD:' || field_id || ':' || field_label || ':' || data_type || ':' || CASE WHEN required THEN 'True' ELSE 'False' END, '|' ORDER BY field_pos) AS l FROM template_fields GROUP BY 1, 2),
+  st AS (SELECT template_id, string_agg(l, '|' ORDER BY section_pos) AS signature FROM st0 GROUP BY 1)
+  SELECT * FROM sg JOIN st USING (template_id)""", "template_fields")
 def _(t):
-    return G.schema_signature(t.template_fields)
+    return G.schema_signature(t.template_fields).join(G.signature_text(t.template_fields), "template_id")
 
 
 @query("d24_signature_lines", """
