@@ -78,11 +78,13 @@ def delete_plan(targets: DataFrame, jobs: DataFrame, projects: DataFrame, force:
         projects.select(F.col("id").alias("project_id"), "project_name", F.lit(True).alias("_live")), "project_id", "left")
     live = mine.where("_live")
     names = live.select("template_key", "project_name").distinct()
-    n_names = names.where("project_name is not null").groupBy("template_key").agg(F.count("*").alias("project_names"))
+    quoted = F.sort_array(F.collect_list(F.concat(F.lit('"'), "project_name", F.lit('"'))))
+    n_names = names.where("project_name is not null").groupBy("template_key").agg(F.count("*").alias("project_names"), F.array_join(quoted, ", ").alias("projects"))
     counts = live.groupBy("template_key").agg(F.count("*").alias("live_jobs")).join(n_names, "template_key", "left")
     blocked = F.lit(False) if force else F.coalesce(F.col("live_jobs") > 0, F.lit(False))
     verdict = targets.join(counts, "template_key", "left").select(
-        "template_key", blocked.alias("blocked"), F.coalesce("live_jobs", F.lit(0)).alias("live_jobs"), F.coalesce("project_names", F.lit(0)).alias("project_names"))
+        "template_key", blocked.alias("blocked"), F.coalesce("live_jobs", F.lit(0)).alias("live_jobs"), F.coalesce("project_names", F.lit(0)).alias("project_names"),
+        F.coalesce("projects", F.lit("")).alias("projects"))
     doomed = mine.join(verdict.where("not blocked").select("template_key"), "template_key", "left_semi")
     doomed = doomed if force else doomed.where("_live is null")
     return verdict, names, doomed.select(F.col("id").alias("job_id"), "template_key")

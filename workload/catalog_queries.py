@@ -64,7 +64,8 @@ _PLAN = """mine AS (SELECT j.id, j.template_key, p.project_name FROM jobs j LEFT
 
 
 @query("c4_delete_plan", f"""WITH {_PLAN}
-  SELECT t.template_key, count(project_name) > 0 AS blocked, count(project_name) AS live_jobs, count(DISTINCT project_name) AS project_names
+  SELECT t.template_key, count(project_name) > 0 AS blocked, count(project_name) AS live_jobs, count(DISTINCT project_name) AS project_names,
+    coalesce(string_agg(DISTINCT '"' || project_name || '"', ', ' ORDER BY '"' || project_name || '"'), '') AS projects
   FROM (SELECT template_key FROM templates WHERE template_key % 2 = 0) t LEFT JOIN mine USING (template_key) GROUP BY 1""", "jobs projects templates")
 def _(t):
     return C.delete_plan(t.templates.where("template_key % 2 = 0").select("template_key"), t.jobs, t.projects)[0]
