@@ -64,12 +64,14 @@ def unfilled_fields(wanted: DataFrame, values: DataFrame, keys: list[str]) -> Da
 
 
 def population_report(populated: DataFrame, wanted: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fields_processed, replacements_made, fields_unfilled): counts only; ``unfilled_fields`` names the fields."""
+    """(keys, fields_processed, replacements_made, fields_unfilled, unfilled): the names of the fields without a value are joined in order."""
     done = populated.groupBy(*keys).agg(F.sum(F.size("ops")).alias("replacements_made"))
-    missing = unfilled_fields(wanted, values, keys).groupBy(*keys).agg(F.count("*").alias("fields_unfilled"))
+    missing = unfilled_fields(wanted, values, keys).groupBy(*keys).agg(
+        F.count("*").alias("fields_unfilled"), F.array_join(F.sort_array(F.collect_list("field_id")), ",").alias("unfilled"))
     total = wanted.groupBy(*keys).agg(F.count("*").alias("fields_processed"))
     return total.join(done, keys, "left").join(missing, keys, "left").select(
-        *keys, "fields_processed", F.coalesce("replacements_made", F.lit(0)).alias("replacements_made"), F.coalesce("fields_unfilled", F.lit(0)).alias("fields_unfilled"))
+        *keys, "fields_processed", F.coalesce("replacements_made", F.lit(0)).alias("replacements_made"), F.coalesce("fields_unfilled", F.lit(0)).alias("fields_unfilled"),
+        F.coalesce("unfilled", F.lit("")).alias("unfilled"))
 
 
 def export_route(report: DataFrame, integrity: DataFrame, keys: list[str]) -> DataFrame:

@@ -73,8 +73,8 @@ def _wanted(t):
     return t.jobs.selectExpr("id AS job_id", "template_key").join(U.replaceable(t.template_fields).select("template_key", "field_id"), "template_key").drop("template_key")
 
 
-@query("u5_population_report", f"""WITH {_VALS}, done AS (SELECT job_id, n FROM ({_fold_sql(True)})), {_WANTED}, miss AS (SELECT job_id, count(*) AS u FROM ({_MISSING}) GROUP BY 1)
-  SELECT w.job_id, w.n AS fields_processed, coalesce(d.n, 0) AS replacements_made, coalesce(u, 0) AS fields_unfilled FROM (SELECT job_id, count(*) AS n FROM wanted GROUP BY 1) w LEFT JOIN done d USING (job_id) LEFT JOIN miss USING (job_id)""",
+@query("u5_population_report", f"""WITH {_VALS}, done AS (SELECT job_id, n FROM ({_fold_sql(True)})), {_WANTED}, miss AS (SELECT job_id, count(*) AS u, string_agg(field_id, ',' ORDER BY field_id) AS names FROM ({_MISSING}) GROUP BY 1)
+  SELECT w.job_id, w.n AS fields_processed, coalesce(d.n, 0) AS replacements_made, coalesce(u, 0) AS fields_unfilled, coalesce(names, '') AS unfilled FROM (SELECT job_id, count(*) AS n FROM wanted GROUP BY 1) w LEFT JOIN done d USING (job_id) LEFT JOIN miss USING (job_id)""",
        "extracted_fields jobs template_fields")
 def _(t):
     return U.population_report(_filled(t), _wanted(t), t.extracted_fields, ["job_id"])
