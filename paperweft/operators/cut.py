@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared(spark: SparkSession) -> str:
@@ -32,3 +32,17 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows and characters up to which a lookup table is sent to every executor.
+LOOKUP_ROWS, LOOKUP_CHARS = 500_000, 32_000_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """``df`` as the smaller side of joins: broadcast if small when counted, else shuffled and merged.
+
+    Estimates of generated or parsed rows may be far too low, and then a growing table goes through the driver.
+    """
+    chars = sum((F.length(F.coalesce(c, F.lit(""))) for c, kind in df.dtypes if kind == "string"), F.lit(0))
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(chars), F.lit(0))).first()
+    return F.broadcast(df) if n <= LOOKUP_ROWS and size <= LOOKUP_CHARS else df.hint("merge")

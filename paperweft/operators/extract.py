@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as K, labels as L, text as X
+from .cut import lookup
 from .parts import PART_SIZE, nest
 from .prefix import running
 
@@ -210,10 +211,10 @@ def validate_output(headers: DataFrame, fields: DataFrame, schema: DataFrame, ke
     """
     head = headers.withColumn("_head", F.when(~F.col("template_id").eqNullSafe(F.col("expected_id")), "Template ID mismatch").when(
         ~F.col("template_version").eqNullSafe(F.col("expected_version")), "Template version mismatch"))
-    known = schema.select(F.col("template_id").alias("expected_id"), "field_id", F.col("field_label").alias("_label"))
-    rows = fields.join(head.select(*keys, "expected_id", "_head"), keys).join(known, ["expected_id", "field_id"], "left")
-    first = rows.groupBy(*keys, "field_id").agg(F.min("pos").alias("_first"))
-    rows = rows.join(first, [*keys, "field_id"], "left")
+    known = lookup(schema.select(F.col("template_id").alias("expected_id"), "field_id", F.col("field_label").alias("_label")))
+    # an output's rows meet their header by merging and stay together: outputs are too many for a broadcast
+    rows = head.hint("merge").join(fields.hint("merge"), keys, "left").join(known, ["expected_id", "field_id"], "left")
+    rows = rows.withColumn("_first", F.min("pos").over(Window.partitionBy(*keys, "field_id")))
     number = F.col("confidence_kind").rlike("^(BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL.*)$")  # a JSON boolean counts as a number
     given = lambda c: F.coalesce(F.col(c), F.lit("VOID")) != "VOID"
     problem = (
@@ -225,12 +226,14 @@ def validate_output(headers: DataFrame, fields: DataFrame, schema: DataFrame, ke
         .when(given("text_kind") & (F.col("text_kind") != "STRING"), "Invalid source text")
         .when(given("confidence_kind") & ~number, "Invalid source confidence")
     )
-    worst = rows.withColumn("_p", problem).where("_p is not null").groupBy(*keys).agg(F.min_by("_p", "pos").alias("_p"))
-    judged = head.join(worst, keys, "left").withColumn("error", F.coalesce("_head", "_p"))
+    rows = rows.withColumn("_p", F.when(F.col("pos").isNotNull(), problem))
+    judged = rows.groupBy(*keys).agg(
+        F.first("expected_id").alias("expected_id"), F.first("_head").alias("_head"), F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("pos"))).alias("_p"))
+    judged = judged.withColumn("error", F.coalesce("_head", "_p"))
     errors = judged.where("error is not null").select(*keys, "error")
     good = judged.where("error is null").select(*keys, "expected_id")
     wanted = good.join(known, "expected_id")
-    got = fields.select(*keys, "field_id", "value", "confidence", "page_number", "source_text").withColumn("_got", F.lit(True))
+    got = fields.select(*keys, "field_id", "value", "confidence", "page_number", "source_text").withColumn("_got", F.lit(True)).hint("merge")
     accepted = wanted.join(got, [*keys, "field_id"], "left").select(
         *keys, "field_id", F.col("_label").alias("field_name"), "value",
         F.when(F.col("_got"), F.col("confidence")).otherwise(0.0).alias("confidence"), "page_number", "source_text")
