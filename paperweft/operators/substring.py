@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .cut import cut
+from .cut import written
 
 _GRAM = 4
 BROADCAST_ROWS = 500_000
@@ -62,18 +62,19 @@ def numbered_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope: l
     texts = texts.select(*ident, F.col(text).alias("_text"))
     wanted = needles.select(*scope, F.col(needle).alias("_needle")).where("_needle <> ''").distinct()
     pieces = F.filter(F.split("_needle", " "), lambda w: w != "")
-    # numbered once (the checkpoint fixes the numbers), so that the many raw hits carry a number, not a text
-    wanted = cut(wanted.withColumn("_w", pieces).where(F.size("_w") > 0).withColumn("_id", F.monotonically_increasing_id()))
+    # numbered once (writing fixes the numbers), so that the many raw hits carry a number, not a text
+    wanted = written(wanted.withColumn("_w", pieces).where(F.size("_w") > 0).withColumn("_id", F.monotonically_increasing_id()))
 
     words = texts.select(*ident, F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")).where("_word <> ''")
-    vocabulary = cut(words.groupBy(*scope, "_word").agg(F.count("*").alias("_df")))
+    vocabulary = written(words.groupBy(*scope, "_word").agg(F.count("*").alias("_df")))
 
     # three words or more: rarest inner word, provided that all inner words occur
     inner = wanted.where(F.size("_w") >= 3).select(
-        *scope, "_id", "_needle", F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))))).alias("_word"))
-    inner = inner.join(vocabulary, scope + ["_word"], "left").groupBy(*scope, "_id", "_needle").agg(
+        *scope, "_id", F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))))).alias("_word"))
+    inner = inner.join(vocabulary, scope + ["_word"], "left").groupBy(*scope, "_id").agg(
         F.min_by("_word", F.coalesce("_df", F.lit(0))).alias("_word"), F.min(F.coalesce("_df", F.lit(0))).alias("_low"))
-    inner = inner.where("_low > 0").select(*scope, "_word", "_id", "_needle")
+    # the many words of needles travel with their number; the text joins once the word is chosen
+    inner = inner.where("_low > 0").join(wanted.select("_id", "_needle"), "_id").select(*scope, "_word", "_id", "_needle")
 
     # one or two words: look the longer word up in the vocabulary
     first, last = F.get("_w", F.lit(0)), F.get("_w", F.size("_w") - 1)
@@ -81,19 +82,27 @@ def numbered_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope: l
     short = wanted.where(F.size("_w") <= 2).withColumn("_mode", mode).withColumn(
         "_piece", F.when(F.col("_mode") == "start", last).otherwise(first))
     size = F.least(F.length("_piece"), F.lit(_GRAM))
-    short = short.withColumn("_gram", F.left("_piece", size))
-    grams = vocabulary.select(*scope, "_word", F.explode(_grams(F.col("_word"), range(1, _GRAM + 1))).alias("_gram"))
-    grams = grams.join(short.select("_gram").distinct(), "_gram", "left_semi")
+    short = short.withColumn("_gram", F.when(F.col("_mode") == "end", F.right("_piece", size)).otherwise(F.left("_piece", size)))
+    sizes = range(1, _GRAM + 1)
+    ends = lambda cut_: F.array_distinct(F.array(*[cut_("_word", F.lit(n)) for n in sizes]))
+    by_mode = {"in": _grams(F.col("_word"), sizes), "start": ends(F.left), "end": ends(F.right)}
+
+    def grams_of(mode: str) -> DataFrame:
+        """Grams of the words that a needle of this mode may meet: those of its own scope, if there are scopes."""
+        near = vocabulary.join(short.where(F.col("_mode") == mode).select(*scope).distinct(), scope, "left_semi") if scope else vocabulary
+        return near.select(*scope, "_word", F.lit(mode).alias("_mode"), F.explode(by_mode[mode]).alias("_gram"))
+
+    grams = grams_of("in").unionByName(grams_of("start")).unionByName(grams_of("end"))
     fits = (
         F.when(F.col("_mode") == "in", F.contains("_word", F.col("_piece")))
         .when(F.col("_mode") == "start", F.startswith("_word", F.col("_piece")))
         .otherwise(F.endswith("_word", F.col("_piece")))
     )
-    short = grams.join(short, scope + ["_gram"]).where(fits).select(
+    short = grams.join(short, scope + ["_mode", "_gram"]).where(fits).select(
         *scope, "_word", "_id", F.when(F.col("_mode") != "in", F.col("_needle")).alias("_needle"))
 
     # _needle is NULL where the word decides (one-word needles)
-    lookup = cut(inner.unionByName(short))
+    lookup = written(inner.unionByName(short))
     holds = F.col("_needle").isNull() | F.contains("_text", F.col("_needle"))
     if fits_broadcast(lookup):
         # the text rides along inside the generated code: nothing but hits is shuffled
