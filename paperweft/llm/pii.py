@@ -40,8 +40,6 @@ SPAN = "array<struct<start:int,end:int,value:string,ok:boolean,before:string,aft
 CONTEXT = 24
 #: Matches of a text that are folded at a time.
 PIECE = 256
-#: Labelled candidates that training and calibration read at most, in expectation.
-SAMPLE = 20_000
 FEATURES = ["is_email", "is_ip", "is_card", "is_phone", "length", "digits", "groups", "letters", "distinct_digits", "largest_part", "luhn", "word_before", "open_before", "open_after"]
 
 
@@ -167,17 +165,16 @@ def fit(labelled: DataFrame, precision: float = 0.98):
     return None if threshold is None else (model, threshold)
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, precision: float = 0.98) -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precision: float = 0.98) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and all (arrays of start, kind number, end, sorted).
 
     NULL text counts as empty. Texts without candidates have empty arrays. An added span never
     overlaps a base span or a plain form that its rule refused. Repeated rows give repeated results.
+    Every labelled candidate trains the trees or sets the threshold.
     """
     rows = stored(candidates(docs, doc_id, text))
     each = rows.select("row", F.explode("cands").alias("c")).select("row", "c.*")
-    n = each.where("ok is not null").count()
-    share = F.pmod(F.xxhash64("row", "start", "kind", "end"), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample / max(n, 1))
-    learned = fit(stored(features(each.where(F.col("ok").isNotNull() & share))), precision)
+    learned = fit(stored(features(each.where("ok is not null"))), precision)
     plain = F.filter("cands", lambda c: c["ok"].isNotNull())
     other = F.filter("cands", lambda c: c["ok"].isNull() & ~F.exists(plain, lambda p: (p["start"] < c["end"]) & (c["start"] < p["end"])))
     key = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
