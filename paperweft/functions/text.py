@@ -222,23 +222,55 @@ def dedupe_merged(arr: ColumnOrName) -> Column:
     return F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
 
 
+def _plausible_share(x: Column) -> Column:
+    """Runs of plausible ASCII go first: the wide class then sees only the few characters left."""
+    rest = F.regexp_replace(x, K.PLAUSIBLE_ASCII, "")
+    return (F.length(x) - within(rest, lambda r: F.length(r) - F.length(F.regexp_replace(r, K.IMPLAUSIBLE_CHAR, "")))) / F.length(x)
+
+
 def implausible_ratio(c: ColumnOrName) -> Column:
     """Share of characters that ordinary text would hold; NULL for blank text."""
     x = strip(F.coalesce(col(c), F.lit("")))
-    kept = F.length(F.regexp_replace(x, K.IMPLAUSIBLE_CHAR, ""))
-    return F.when(x != "", kept / F.length(x))
+    return F.when(x != "", _plausible_share(x))
+
+
+def _may_repeat(x: Column) -> Column:
+    """False only where no chunk comes three times or more over 30 % of ``x``; spares the search for the leftmost run.
+
+    The first third of such a run is at least a tenth of the text, so one of the places 0, 10, 20, ... % lies in it, and the
+    other two thirds hold the chunk twice: it comes twice right at that place.
+    """
+    twice = F.lit(java("^" + K.CHUNK + r"\1"))
+    places = F.sequence(F.lit(1), F.length(x), F.floor(F.length(x) / 10).cast("int"))
+    return (F.length(x) < 60) | F.exists(places, lambda i: F.rlike(F.substring(x, i, F.lit(2 * K.CHUNK_MAX)), twice))
+
+
+def garbage_signs(c: ColumnOrName) -> Column:
+    """``struct<share,repeated>`` of a text: plausible characters (NULL if blank), and whether a chunk repeats over much of it.
+
+    The leftmost run of a repeated chunk counts. Every step is evaluated once.
+    """
+
+    def judged(x: Column, run: Column, chunk: Column) -> Column:
+        return (F.length(chunk) >= 3) & ~F.rlike(chunk, F.lit(K.BORDER_ONLY)) & (F.length(run) >= 0.3 * F.length(x))
+
+    def repeated(x: Column) -> Column:
+        chunk = lambda run: strip(F.regexp_extract(run, java(K.REPEATED_CHUNK), 1))
+        return F.when(_may_repeat(x), within(F.regexp_extract(x, java(K.REPEATED_CHUNK), 0), lambda run: (
+            within(chunk(run), lambda piece: judged(x, run, piece))))).otherwise(False)
+
+    return within(strip(F.coalesce(col(c), F.lit(""))), lambda x: F.struct(
+        F.when(x != "", _plausible_share(x)).alias("share"), repeated(x).alias("repeated")))
 
 
 def is_garbage(c: ColumnOrName, min_ratio: float = 0.6) -> Column:
-    x = strip(F.coalesce(col(c), F.lit("")))
-    run = F.regexp_extract(x, java(K.REPEATED_CHUNK), 0)
-    chunk = strip(F.regexp_extract(x, java(K.REPEATED_CHUNK), 1))
-    repeated = (
-        (F.length(chunk) >= 3)
-        & ~F.rlike(chunk, F.lit(K.BORDER_ONLY))
-        & (F.length(run) >= 0.3 * F.length(x))
-    )
-    return F.when(x == "", True).when(implausible_ratio(x) < min_ratio, True).otherwise(repeated)
+    return within(garbage_signs(c), lambda signs: looks_garbage(signs, min_ratio))
+
+
+def looks_garbage(signs: ColumnOrName, min_ratio: float = 0.6) -> Column:
+    """``is_garbage`` of a text by its ``garbage_signs``."""
+    share = col(signs)["share"]
+    return share.isNull() | (share < min_ratio) | col(signs)["repeated"]
 
 
 def truncate_text(c: ColumnOrName, limit: int) -> Column:

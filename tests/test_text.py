@@ -1,9 +1,10 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from paperweft.functions import html as H, labels as L, rewrite as R, text as X
+from paperweft.functions import fixed as K, html as H, labels as L, rewrite as R, text as X
 
 
 def one(spark, expr, value, kind="string"):
@@ -85,6 +86,34 @@ def test_is_garbage(spark):
     assert {r["i"]: r["g"] for r in rows} == {i: garbage(t) for i, t in enumerate(texts)}
 
 
+def test_is_garbage_of_long_texts(spark):
+    rnd = random.Random(14)
+    filler = lambda n: "".join(rnd.choice("abcdefgh é\n") for _ in range(n))
+    texts = []
+    for _ in range(400):
+        chunk, n = filler(rnd.randint(3, 26)), rnd.choice([50, 60, 61, 119, 300, 900])
+        run = (chunk * n)[: rnd.randint(n // 5, n // 2)]
+        at = rnd.randint(0, n - len(run))
+        texts.append(filler(at) + run + filler(n - at - len(run)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.is_garbage("t").alias("g")).collect()
+    want = {i: garbage(t) for i, t in enumerate(texts)}
+    assert {r["i"]: r["g"] for r in rows} == want and 40 < sum(want.values()) < 360
+
+
+def test_garbage_is_searched_for_once(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    signs = X.let(df, _s=X.garbage_signs("t"))
+    for once in (signs.select(X.looks_garbage("_s").alias("a"), X.looks_garbage("_s", 0.9).alias("b")), df.select(X.is_garbage("t").alias("a"))):
+        plan = once._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(K.REPEATED_CHUNK + ", 0)") == 1  # was once for every use of run and chunk
+
+
+def test_plausible_share_of_every_character(spark):
+    text = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x10000, 7), 0x1F600]))
+    kept = one(spark, F.length(F.regexp_replace("c", K.IMPLAUSIBLE_CHAR, "")), text)
+    assert one(spark, X._plausible_share(F.col("c")), text) == kept / len(text)
+
+
 def test_small_functions(spark):
     assert one(spark, X.clean_text("c"), " a\xa0 b \r\n\r\n\tc\t d ") == "a b\nc d"
     assert one(spark, X.slug("c"), "  Ärea / No. 1 ") == "rea_no_1"
