@@ -127,6 +127,11 @@ def candidate_field(c: ColumnOrName) -> Column:
     return within(strip(F.coalesce(col(c), F.lit(""))), lambda line: within(_kind(line), lambda kind: kinded(line, kind)))
 
 
+def has_line_shape(c: ColumnOrName) -> Column:
+    """False only where ``candidate_field`` is NULL: a filter that needs no further columns."""
+    return within(strip(F.coalesce(col(c), F.lit(""))), _kind).isNotNull()
+
+
 def let(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns behind a one-row generator.
 

@@ -5,14 +5,14 @@ segments of consecutive positions. One exchange deals the rows by key and segmen
 own and the result is written. Segment totals (one row per segment) come from the written rows, reading their own
 columns only; they are scanned over the key, and what is carried into later segments is joined back. So the input is
 evaluated and dealt once, a key that holds a third of the table is spread over as many tasks as it has segments, and
-a key of one segment carries nothing.
+a key of one segment carries nothing. Rows travel with all their columns: callers pass those that they need, not texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .cut import written
+from .cut import lookup, written
 
 SEGMENT = 65_536
 
@@ -60,9 +60,12 @@ def running(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[s
         else:
             raise ValueError(kind)
     scanned = written(base.select("*", *[c.alias(n) for n, c in local.items()]))
-    carry = scanned.groupBy(*part).agg(*totals).select(*part, *carried)
+    # only keys of several segments carry; the many others are neither dealt nor joined again
+    ends = scanned.groupBy(*keys).agg(F.min("_seg").alias("_low"), F.max("_seg").alias("_high"))
+    wide = written(ends.where("_low < _high").select(*keys))
+    carry = scanned.join(lookup(wide), keys, "left_semi").groupBy(*part).agg(*totals).select(*part, *carried)
     some = " or ".join(f"_car_{name} is not null" for name in specs)
-    joined = scanned.join(carry.where(some), part, "left")
+    joined = scanned.join(lookup(written(carry.where(some))), part, "left")
     return joined.select(*df.columns, *[c.alias(n) for n, c in final.items()])
 
 

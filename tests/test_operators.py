@@ -441,3 +441,16 @@ def test_file_ends(spark, tmp_path):
     X.write_job_exports(out, str(tmp_path / "out"))
     back = spark.read.text(str(tmp_path / "out"))
     assert sorted(map(tuple, back.collect())) == [('{"a":1}', "completed"), ('{"a":2}', "completed")]
+
+
+def test_texts_are_not_dealt_with_running_values(spark, monkeypatch):
+    kept, write = [], prefix.written
+    monkeypatch.setattr(prefix, "written", lambda df: (kept.append(df.columns), write(df))[1])
+    data = [(1, i, "para", t, st, False, 0) for i, (t, st) in enumerate([("TITLE", "Title"), ("Name: x", "Normal"), ("", "Normal"), ("words, and words!", "Normal")])]
+    blocks = spark.createDataFrame(data, "doc_id long, block_seq int, block_type string, text string, style string, has_page_break boolean, rendered_breaks int")
+    cells = spark.createDataFrame([], "doc_id long, table_index int, row_no int, pos int, text string, colspan int, vmerge string, border_top string, border_bottom string")
+    paged = D.estimate_pages(blocks)
+    assert "words, and words!" in [r.text for r in S.static_blocks(paged, cells).collect()]
+    sections = S.inferred_sections(blocks, S.infer_fields(paged, cells))
+    assert rows(S.infer_sections(paged, cells), *sections.columns) == rows(sections, *sections.columns)
+    assert kept and not any({"text", "style"} & set(c) for c in kept)  # texts and styles were written by each of them

@@ -200,7 +200,7 @@ def _(t):
   SELECT doc_id, section_no, section_id, section_name, section_page, CAST(count(*) AS INTEGER) AS field_count FROM inferred GROUP BY ALL
   UNION ALL SELECT doc_id, 0, 'general', 'General', 1, 0 FROM pc WHERE doc_id NOT IN (SELECT doc_id FROM inferred)""", _USES)
 def _(t):
-    return S.inferred_sections(t.blocks, S.infer_fields(D.estimate_pages(t.blocks), t.cells))
+    return S.infer_sections(D.estimate_pages(t.blocks), t.cells)
 
 
 @query("d10_static_blocks", f"""WITH {INFER},
