@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .cut import written
+from .cut import lookup, written
 
 PART_SIZE = 10_000
+WINDOW_ROWS = 10_000  # of a key that one task ranks
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -31,11 +32,16 @@ def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def with_parts(df: DataFrame, keys: list[str], order: list[str], size: int = PART_SIZE) -> DataFrame:
     """``df`` with ``part_no``: rank in the key, by ``order``, divided by ``size``.
 
-    In a key of at most ``size`` rows every rank gives part 0, so only rows of larger keys are dealt out and ranked.
+    Rows of keys with at most ``WINDOW_ROWS`` rows (or ``size``) are ranked in a window over the key; only rows of larger keys
+    are dealt out by ranges. The rows are written first, so that counting, window and ranges don't evaluate them again.
     """
-    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size).select(*keys)
-    rest = df.join(large, keys, "left_anti").withColumn("part_no", F.lit(0))
-    cut = ranked(df.join(large, keys, "left_semi"), keys, order)
+    df = written(df)
+    large = written(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(size, WINDOW_ROWS)).select(*keys))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    rest = df.join(lookup(large), keys, "left_anti").withColumn("part_no", F.floor(place / size).cast("int"))
+    if large.isEmpty():
+        return rest
+    cut = ranked(df.join(lookup(large), keys, "left_semi"), keys, order)
     return rest.unionByName(cut.withColumn("part_no", F.floor(F.col("rank") / size).cast("int")).drop("rank"))
 
 

@@ -454,3 +454,14 @@ def test_texts_are_not_dealt_with_running_values(spark, monkeypatch):
     sections = S.inferred_sections(blocks, S.infer_fields(paged, cells))
     assert rows(S.infer_sections(paged, cells), *sections.columns) == rows(sections, *sections.columns)
     assert kept and not any({"text", "style"} & set(c) for c in kept)  # texts and styles were written by each of them
+
+
+def test_parts_of_many_middling_keys_are_not_dealt_by_ranges(spark, monkeypatch):
+    df = spark.range(60).selectExpr("id % 3 as k", "cast(id as int) as i").where("k > 0 or i < 30").repartition(5)
+    seen, rank = [], parts.ranked
+    monkeypatch.setattr(parts, "ranked", lambda d, *a: (seen.append(1), rank(d, *a))[1])
+    want = rows(parts.with_parts(df, ["k"], ["i"], 4), "k", "i", "part_no")
+    assert not seen  # keys of more than a part were
+    assert want == sorted((k, i, i // 3 // 4) for i in range(60) for k in [i % 3] if k > 0 or i < 30)
+    monkeypatch.setattr(parts, "WINDOW_ROWS", 15)  # keys 1 and 2 by ranges, key 0 by window
+    assert rows(parts.with_parts(df, ["k"], ["i"], 4), "k", "i", "part_no") == want and seen

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperweft.operators import catalog as C, extract as E, parts
+from paperweft.operators.cut import written
 from paperweft.sources import exports as SX, files as SF
 
 from . import oracle as O
@@ -232,7 +233,7 @@ def _(t):
 
 
 def _results(t):
-    f = t.extracted_fields
+    f = written(t.extracted_fields)  # fields and references both read it
     return E.job_results(t.jobs.withColumnRenamed("id", "job_id"), f.drop("page_number", "source_text"), f.select("job_id", "field_id", "page_number", "source_text"), t.templates, part_size=4)
 
 

@@ -348,7 +348,7 @@ class Tables:
     def extracted_fields(self) -> DataFrame:
         from paperweft.operators.extract import merge_chunks
 
-        return merge_chunks(self.chunk_fields).selectExpr(
+        return merge_chunks(self.chunk_fields.drop("tie")).selectExpr(
             "job_id", "field_id", "field_name AS field_label", "value", "confidence", "page_number", "source_text", "validation_status")
 
     @property

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperweft.operators import extract as E
+from paperweft.operators.cut import written
 
 from . import oracle as O
 from .registry import query
@@ -276,7 +277,7 @@ def _(t):
     FROM (SELECT *, (row_number() OVER (PARTITION BY job_id ORDER BY field_id) - 1) // 3 AS part FROM extracted_fields) GROUP BY 1, 2) f ON f.job_id = j.id""",
        "jobs templates extracted_fields")
 def _(t):
-    f = t.extracted_fields
+    f = written(t.extracted_fields)  # fields and references both read it
     r = E.job_results(t.jobs.withColumnRenamed("id", "job_id"), f.drop("page_number", "source_text"), f.select("job_id", "field_id", "page_number", "source_text"), t.templates, part_size=3)
     dash = lambda c: F.coalesce(c, F.lit("-"))
     item = lambda x: F.concat(x["field_id"], F.lit("="), dash(x["value"]), F.lit("@"), F.get(x["source_references"], F.lit(0))["page_number"].cast("string"),
