@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed as K, html as H, text as X
+from .cut import written
 from .pages import html_fields
 from .substring import numbered_hits, substring_hits
 
@@ -29,7 +30,8 @@ def detect_specifications(pages: DataFrame, signals: DataFrame) -> DataFrame:
     counted by ``detection_counts`` rather than written out, so the output follows the hits and not
     documents x templates.
     """
-    texts = pages.select("doc_id", "page_number", X.normalize("text").alias("text"))
+    # the join reads texts three times; they are had and normalized once
+    texts = written(pages.select("doc_id", "page_number", X.normalize("text").alias("text")))
     hits, needles = numbered_hits(texts, ["doc_id", "page_number"], signals)
     # pages of a needle as bits of 64-page words: rows shrink to document x needle before they meet the templates
     word, bit = F.floor(F.col("page_number") / 64).cast("int"), F.expr("shiftleft(1L, cast(pmod(page_number, 64) as int))")
@@ -118,7 +120,8 @@ def fields_in_html(fields: DataFrame, pages: DataFrame, entities: dict[str, str]
     r2 = f.where(F.col("_cover") | known).join(first, "template_id").where(
         F.col("_cover") | F.contains("_plain", F.col("_label"))).drop("_plain").withColumn("rule", F.lit(2))
 
-    later = page.where("page_number > 1").withColumn("_raw", H.unescape(H.drop_tags("html"), entities))
+    raw = X.let(page.where("page_number > 1").select(*key, "html"), _raw=H.unescape(H.drop_tags("html"), entities))
+    later = written(raw.select(*key, "_raw", X.normalize("_raw").alias("text")))  # read by every rule below
     rest = f.where("not _cover")
     token = r"(?U)([\w.]+)"
     runs = later.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("_raw", F.lit(token), 1))).alias("_run"))
@@ -132,7 +135,7 @@ def fields_in_html(fields: DataFrame, pages: DataFrame, entities: dict[str, str]
     r3 = plain.unionByName(composite).unionByName(symbols).drop("_run", "_runs").withColumn("rule", F.lit(3))
 
     valued = rest.where((F.length("_value") >= 3) & (F.length("_label") >= 4))
-    texts = later.select(*key, X.normalize("_raw").alias("text"))
+    texts = later.select(*key, "text")
     needles = valued.select("template_id", F.explode(F.array("_label", "_value")).alias("needle"))
     hits = substring_hits(texts, key, needles, scope=["template_id"])
     r4 = (

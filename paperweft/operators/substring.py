@@ -109,8 +109,8 @@ def numbered_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope: l
         with_text = texts.select(*ident, "_text", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
         found = with_text.join(F.broadcast(lookup), scope + ["_word"]).where(holds).select(*ident, "_id")
     else:
-        pairs = words.join(lookup, scope + ["_word"]).select(*ident, "_id", "_needle").distinct()
+        pairs = words.join(lookup, scope + ["_word"]).select(*ident, "_id", "_needle")
         sure = pairs.where("_needle is null").select(*ident, "_id")
-        doubtful = pairs.where("_needle is not null").join(texts, ident).where(holds).select(*ident, "_id")
+        doubtful = pairs.where("_needle is not null").distinct().join(texts, ident).where(holds).select(*ident, "_id")
         found = sure.unionByName(doubtful)
     return found, wanted.select(*scope, "_id", F.col("_needle").alias(needle))

@@ -465,3 +465,13 @@ def test_parts_of_many_middling_keys_are_not_dealt_by_ranges(spark, monkeypatch)
     assert want == sorted((k, i, i // 3 // 4) for i in range(60) for k in [i % 3] if k > 0 or i < 30)
     monkeypatch.setattr(parts, "WINDOW_ROWS", 15)  # keys 1 and 2 by ranges, key 0 by window
     assert rows(parts.with_parts(df, ["k"], ["i"], 4), "k", "i", "part_no") == want and seen
+
+
+def test_texts_are_normalized_once(spark):
+    """Detection evaluates its texts once, however often the substring join reads them."""
+    seen = spark.sparkContext.accumulator(0)
+    look = F.udf(lambda t: (seen.add(1), t)[1])
+    pages = spark.createDataFrame([(1, 1, "Alpha beta gamma"), (1, 2, "delta")], "doc_id long, page_number int, text string").withColumn("text", look.asNondeterministic()("text"))
+    signals = spark.createDataFrame([("t", "title", "alpha beta gamma"), ("t", "label", "delta")], "template_id string, kind string, needle string")
+    assert rows(M.detect_specifications(pages, signals), "doc_id", "template_id", "match_status", "matched_pages") == [(1, "t", "matched", [1, 2])]
+    assert seen.value == 2  # was six
