@@ -30,7 +30,7 @@ def detect_specifications(pages: DataFrame, signals: DataFrame) -> DataFrame:
     counted by ``detection_counts`` rather than written out, so the output follows the hits and not
     documents x templates.
     """
-    # the join reads texts three times; they are had and normalized once
+    # the join reads texts two or three times; they are had and normalized once
     texts = written(pages.select("doc_id", "page_number", X.normalize("text").alias("text")))
     hits, needles = numbered_hits(texts, ["doc_id", "page_number"], signals)
     # pages of a needle as bits of 64-page words: rows shrink to document x needle before they meet the templates

@@ -474,4 +474,4 @@ def test_texts_are_normalized_once(spark):
     pages = spark.createDataFrame([(1, 1, "Alpha beta gamma"), (1, 2, "delta")], "doc_id long, page_number int, text string").withColumn("text", look.asNondeterministic()("text"))
     signals = spark.createDataFrame([("t", "title", "alpha beta gamma"), ("t", "label", "delta")], "template_id string, kind string, needle string")
     assert rows(M.detect_specifications(pages, signals), "doc_id", "template_id", "match_status", "matched_pages") == [(1, "t", "matched", [1, 2])]
-    assert seen.value == 2  # was six
+    assert seen.value == 2  # was four
