@@ -173,7 +173,9 @@ def _cross(placed: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     pivot, so |D(y)| > c (|y| + |pivot|). For x not linked, s >= |D(x)| - (100 - percent) |x| / percent
     (triangle inequality); for x linked, s >= (|D(x)| + 1 - c (|x| - |pivot|)) / 2; s is never below 1.
     Two sets that share s elements share one among the |D| - s + 1 rarest of each (prefix filter), and
-    in copies with edits of their own the rarest elements are their own.
+    in copies with edits of their own the rarest elements are their own. A row's prefix takes the least s of any
+    partner. Where two rows meet, their own s holds: the rarest element that x and y share is among the
+    |D| - s + 1 rarest of each by it, so other meetings propose nothing.
     """
     open_pivots = placed.where("part != pivot_part").select("b").distinct()
     sets = _compare(placed.drop("pivot_part").join(open_pivots, "b", "left_semi"), profiles, percent)
@@ -183,14 +185,17 @@ def _cross(placed: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     rows = stored(
         sets.withColumn("delta", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
         .select("a", "b", "part", "na", size.alias("total"), (size - F.greatest(F.lit(1), shared) + 1).alias("prefix"), F.explode("delta").alias("element")))
-    common = stored(rows.groupBy("b", "element").agg(F.count("*").alias("n")).where("n > 1"))
-    held = rows.join(common, ["b", "element"])  # a set's other elements are its own and come before these
+    common = stored(rows.groupBy("b", "element").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+                    .where("low < high").select("b", "element", "n"))
+    held = rows.join(common, ["b", "element"])  # no other component has a set's other elements; they come before these
     own = F.col("total") - F.count("*").over(Window.partitionBy("b", "a"))
     place = own + F.row_number().over(Window.partitionBy("b", "a").orderBy("n", "element"))
     prefix = stored(held.withColumn("place", place).where("place <= prefix"))
     x, y = prefix.alias("x"), prefix.alias("y")
     fits = F.least("x.na", "y.na") * 100 >= F.greatest("x.na", "y.na") * percent
-    return x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.part") < F.col("y.part")) & fits).select(
+    left = 1 + F.least(F.col("x.total") - F.col("x.place"), F.col("y.total") - F.col("y.place"))  # at most so many are shared from here on
+    meets = 2 * (100 + percent) * left >= (100 + percent) * (F.col("x.total") + F.col("y.total")) - (100 - percent) * (F.col("x.na") + F.col("y.na"))
+    return x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.part") < F.col("y.part")) & fits & meets).select(
         F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
 
 

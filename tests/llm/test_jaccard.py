@@ -55,3 +55,15 @@ def test_empty_clashing_columns_and_repeated_rows(spark):
     got = sorted((str(r.doc_id), r.component_id) for r in jaccard.near_duplicates(df, 3, 90).collect())
     assert got == [("1", 1), ("1", 1), ("2", 1), ("3", 3), ("None", 1)]
     assert jaccard.near_duplicates(df.limit(0), 3, 90).count() == 0
+
+
+def test_sets_that_share_too_few_rare_elements_are_not_proposed(spark):
+    """Ten sets hold 50 elements that their pivot lacks, and 30 of their own, too many to link: only the two that link are compared."""
+    pivot = list(range(100))
+    sets = {0: pivot, 11: pivot[:80] + list(range(9000, 9080)), 12: pivot[:80] + list(range(9000, 9079)) + [9999]}
+    for i in range(1, 11):
+        sets[i] = pivot[:80] + list(range(1000, 1050)) + list(range(2000 * i, 2000 * i + 30))
+    profiles = spark.createDataFrame(list(sets.items()), "key long, set array<long>")
+    placed = spark.createDataFrame([(i, 0, i, 0) for i in sets if i], "a long, b long, part long, pivot_part long")
+    got = {(r.a, r.b) for r in jaccard._cross(placed, profiles, 80).collect()}
+    assert got == {(11, 12)}
