@@ -4,29 +4,38 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
 from ..functions import fixed as K, text as X
 
 
-@F.pandas_udf(ArrayType(BooleanType()))
-def _searches(value: pd.Series, patterns: pd.Series) -> pd.Series:
-    """Per rule: does the pattern occur in the value; NULL for an invalid pattern."""
-    compiled: dict[str, re.Pattern | None] = {}
+@F.arrow_udf(ArrayType(BooleanType()))
+def _searches(value: pa.Array, patterns: pa.Array) -> pa.Array:
+    """Per rule: does the pattern occur in the value; NULL for an invalid pattern.
 
-    def search(pattern, text):
-        if pattern not in compiled:
-            try:
-                compiled[pattern] = re.compile(pattern)
-            except re.error:
-                compiled[pattern] = None
-        found = compiled[pattern]
-        return None if found is None else found.search(text) is not None
-
-    return pd.Series([
-        None if ps is None else [True if not p else search(p, v) for p in ps] for v, ps in zip(value, patterns)])
+    Rules without a pattern cost no Python step a row: only values that meet one are read out of their batch.
+    """
+    counts = pc.fill_null(pc.list_value_length(patterns), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    given = patterns.flatten().dictionary_encode()
+    code = pc.fill_null(given.indices, -1).to_numpy(zero_copy_only=False)
+    hit, valid = np.ones(len(owner), bool), np.ones(len(owner), bool)
+    for i, pattern in enumerate(given.dictionary.to_pylist()):
+        if not pattern:
+            continue
+        rows = np.flatnonzero(code == i)
+        try:
+            search = re.compile(pattern).search
+        except re.error:
+            valid[rows] = False
+            continue
+        hit[rows] = [search(v) is not None for v in value.take(pa.array(owner[rows])).to_pylist()]
+    offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(counts, dtype=np.int32)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hit, mask=~valid), mask=patterns.is_null())
 
 
 def first_rule_failure(rules: Column, found: Column, value: Column) -> Column:

@@ -475,3 +475,14 @@ def test_texts_are_normalized_once(spark):
     signals = spark.createDataFrame([("t", "title", "alpha beta gamma"), ("t", "label", "delta")], "template_id string, kind string, needle string")
     assert rows(M.detect_specifications(pages, signals), "doc_id", "template_id", "match_status", "matched_pages") == [(1, "t", "matched", [1, 2])]
     assert seen.value == 2  # was four
+
+
+def test_pattern_search_reads_values_of_given_patterns_only():
+    """Arrays in, array out; a value is taken from its batch only where a rule has a pattern, here from a slice."""
+    import pyarrow as pa
+
+    from paperweft.operators import verify as V
+
+    values = pa.array(["gone", "12", None, "x", "a1", "y"]).slice(1)
+    patterns = pa.array([["q"], ["^[0-9]+$", None], ["", None], None, ["[0-9", "[0-9]", "^[0-9]+$"], []], pa.list_(pa.string())).slice(1)
+    assert V._searches.func(values, patterns).to_pylist() == [[True, True], [True, True], None, [None, True, False], []]

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperweft.operators import verify as V
+from paperweft.operators.extract import merge_chunks
 
 from .extract_queries import with_verification
 from .registry import query
@@ -33,7 +34,8 @@ def _(t):
 @query("v2_first_rule_failure", f"WITH {_VERIFY} SELECT job_id, field_id, failure FROM rule WHERE v <> ''", _USES)
 def _(t):
     schema = t.template_fields.select("template_key", "field_id", F.array(F.struct("pattern", "min_length", "message")).alias("rules"))
-    f = t.extracted_fields.join(t.jobs.selectExpr("id AS job_id", "template_key"), "job_id").join(schema, ["template_key", "field_id"], "left")
+    fields = merge_chunks(t.chunk_fields.select("job_id", "field_id", "value", "chunk_no"))  # a merge can't prune what it carries
+    f = fields.join(t.jobs.selectExpr("id AS job_id", "template_key"), "job_id").join(schema, ["template_key", "field_id"], "left")
     f = f.withColumn("v", F.trim(F.coalesce("value", F.lit("")))).where("v <> ''")
     f = f.withColumn("found", V._searches("v", "rules.pattern"))
     return f.select("job_id", "field_id", V.first_rule_failure(F.col("rules"), F.col("found"), F.col("v")).alias("failure"))
