@@ -54,7 +54,7 @@ def table_structure(cells: DataFrame, grid: DataFrame | None = None) -> DataFram
         shares = grid.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("col", "width"))).alias("g"), F.sum("width").alias("t"))
         total = F.when(F.col("t") > 0, F.col("t")).otherwise(1)
         shares = shares.select(*TABLE, F.transform("g.width", lambda w: w / total * 100).alias("_w"))
-        df = df.join(shares, TABLE, "left")
+        df = df.join(shares.hint("merge"), TABLE, "left")  # a row a table: too many for a broadcast, however small the files
         covered = F.aggregate(F.slice("_w", F.col("col") + 1, F.col("colspan")), F.lit(0.0), lambda a, x: a + x)
         width = F.when(F.col("col") < F.size("_w"), F.round(covered, 2))
     return df.select(*TABLE, "row_no", "pos", "col", "rowspan", "colspan", "text", width.alias("width_pct"), "is_editable", "field_id")

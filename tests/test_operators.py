@@ -486,3 +486,14 @@ def test_pattern_search_reads_values_of_given_patterns_only():
     values = pa.array(["gone", "12", None, "x", "a1", "y"]).slice(1)
     patterns = pa.array([["q"], ["^[0-9]+$", None], ["", None], None, ["[0-9", "[0-9]", "^[0-9]+$"], []], pa.list_(pa.string())).slice(1)
     assert V._searches.func(values, patterns).to_pylist() == [[True, True], [True, True], None, [None, True, False], []]
+
+
+def test_table_structure_sends_no_widths_through_the_driver(spark):
+    from paperweft.operators import tables as T
+
+    columns = "doc_id long, table_index int, row_no int, pos int, text string, colspan int, vmerge string, border_top string, border_bottom string"
+    cells = spark.createDataFrame([(1, 0, 0, 0, "Brand: x", 1, None, None, None), (1, 0, 0, 1, "y", 2, None, None, None)], columns)
+    grid = spark.createDataFrame([(1, 0, 0, 1000), (1, 0, 1, 2000), (1, 0, 2, 1000)], "doc_id long, table_index int, col int, width int")
+    found = T.table_structure(cells, grid)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.col, r.width_pct, r.field_id) for r in found.collect()) == [(0, 25.0, "brand_table_1_row_1_cell_1"), (1, 75.0, None)]

@@ -304,7 +304,8 @@ class Tables:
             for kk, r, p, x, cs, vm, bt, bb in CELL_ROWS if kk == k])
         spec = part.where("kind in (5, 6)").select(
             "doc_id", "block_seq", F.inline(F.when(F.col("kind") == 5, kind(5)).otherwise(kind(6))))
-        spec = spec.join(tables.select("doc_id", "block_seq", "table_index"), ["doc_id", "block_seq"]).drop("block_seq")
+        # merged: by the size of its files a side may seem small enough to pass through the driver
+        spec = spec.join(tables.select("doc_id", "block_seq", "table_index").hint("merge"), ["doc_id", "block_seq"]).drop("block_seq")
         cells = F.filter(F.transform(F.split("text", "[|\t]"), X.strip), lambda p: p != "")
         none = F.lit(None).cast("string")
         prose = tables.where(F.col("doc_id") < SPEC_BASE).select("doc_id", "table_index", F.posexplode(cells).alias("pos", "text")).select(
