@@ -491,9 +491,9 @@ def test_pattern_search_reads_values_of_given_patterns_only():
 def test_table_structure_sends_no_widths_through_the_driver(spark):
     from paperweft.operators import tables as T
 
-    columns = "doc_id long, table_index int, row_no int, pos int, text string, colspan int, vmerge string, border_top string, border_bottom string"
-    cells = spark.createDataFrame([(1, 0, 0, 0, "Brand: x", 1, None, None, None), (1, 0, 0, 1, "y", 2, None, None, None)], columns)
-    grid = spark.createDataFrame([(1, 0, 0, 1000), (1, 0, 1, 2000), (1, 0, 2, 1000)], "doc_id long, table_index int, col int, width int")
+    cells = spark.sql("""select 1L doc_id, 0 table_index, 0 row_no, pos, text, colspan, cast(null as string) vmerge
+                         from values (0, 'Brand: x', 1), (1, 'y', 2) as c(pos, text, colspan)""")
+    grid = spark.sql("select 1L doc_id, 0 table_index, col, width from values (0, 1000), (1, 2000), (2, 1000) as g(col, width)")
     found = T.table_structure(cells, grid)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.col, r.width_pct, r.field_id) for r in found.collect()) == [(0, 25.0, "brand_table_1_row_1_cell_1"), (1, 75.0, None)]
