@@ -127,3 +127,13 @@ def test_intake_of_files(spark, tmp_path, monkeypatch):
     assert [(n, p, c) for n, p, c in got("pages", "page_number", "line_count")] == [("a.PDF", 1, 2), ("a.PDF", 2, 1), ("b.docx", 1, 0), ("e.png", 1, 1)]
     once = S.intake(S.read_incoming(spark, src))
     assert once.where("reject_reason is null").count() == 3 and once.count() == 5
+
+
+def test_files_of_a_batch_grow_with_the_table(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from workload.stream_queries import _in_files
+
+    for parts, files in ((20, 20), (1, 5)):
+        _in_files(SimpleNamespace(spark=spark), spark.range(0, 1000, 1, parts), f"{tmp_path}/{parts}", 5)
+        assert len(list((tmp_path / str(parts) / "in").glob("*.parquet"))) == files

@@ -30,9 +30,10 @@ def _scratch(t):
 
 
 def _in_files(t, df, base, n):
-    """Stream of ``df``, written as ``n`` files that arrive one after the other, in any order."""
-    df.repartition(n).write.parquet(f"{base}/in")
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    """Stream of ``df``, which arrives in ``n`` micro-batches, in any order. A batch has more files, so more tasks, the larger ``df`` is."""
+    each = max(1, -(-df.rdd.getNumPartitions() // n))
+    df.repartition(n * each).write.parquet(f"{base}/in")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(f"{base}/in")
 
 
 def _arrivals(t, df, base, n, ts):
