@@ -34,6 +34,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that grows with the input: shuffled, never sent through the driver.
+
+    Written and checkpointed tables are estimated by their files, which are a small part of their rows.
+    """
+    return df.hint("merge")
+
+
 #: Rows and characters up to which a lookup table is sent to every executor.
 LOOKUP_ROWS, LOOKUP_CHARS = 500_000, 32_000_000
 

@@ -497,3 +497,33 @@ def test_table_structure_sends_no_widths_through_the_driver(spark):
     found = T.table_structure(cells, grid)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.col, r.width_pct, r.field_id) for r in found.collect()) == [(0, 25.0, "brand_table_1_row_1_cell_1"), (1, 75.0, None)]
+
+
+def broadcasts(monkeypatch, make):
+    """Plans of ``make()`` and of all tables that it writes on the way in which a side is sent through the driver, counted look-ups aside."""
+    from paperweft.operators import cut, ids
+
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (D, S, T, ids, parts, prefix):
+        for name, f in (("written", cut.written), ("cut", cut.cut)):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, lambda df, f=f: f(noted(df)))
+        if hasattr(module, "lookup"):
+            monkeypatch.setattr(module, "lookup", cut.merged)
+    df = noted(make())
+    monkeypatch.undo()
+    return df, [p for p in plans if "Broadcast" in p]
+
+
+COVERED = [("para", "PROJECT A", False), ("para", "", False), ("table", "a table", False), ("para", "AB-12", True), ("para", "Brand: x", False), ("para", "plain text", True), ("para", "", False)]
+
+
+def test_pages_and_cover_titles_send_no_rows_through_the_driver(spark, monkeypatch):
+    found, sent = broadcasts(monkeypatch, lambda: D.cover_titles(D.estimate_pages(blocks(spark, COVERED))))
+    assert not sent
+    assert rows(found, "block_seq", "label") == [(0, "Project Name")]
