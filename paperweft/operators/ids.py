@@ -12,7 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .cut import written
+from .cut import lookup, merged, written
 from .parts import ranked
 
 _SUFFIXED = r"^(.*)_([2-9]|[1-9][0-9]{1,17})$"
@@ -58,24 +58,24 @@ def allocate(asked: DataFrame, scope: list[str], order: list[str], used: DataFra
     number = F.regexp_extract("id", _SUFFIXED, 2)
     both = F.array(F.struct(F.col("id").alias("base"), F.lit(1).cast("long").alias("number")),
                    F.struct(_parent(F.col("id")).alias("base"), F.nullif(number, F.lit("")).cast("long").alias("number")))
-    taken = used.select(*scope, F.explode(both).alias("t")).select(*scope, "t.*").where("base is not null").join(wanted, key, "left_semi")
+    taken = used.select(*scope, F.explode(both).alias("t")).select(*scope, "t.*").where("base is not null").join(merged(wanted), key, "left_semi")
     moving = written(wanted.where("_n > 1").select(*key).union(taken.where("number = 1").select(*key)).distinct())
     root = F.regexp_replace("base", r"(_\d+)+$", "")
-    clash = wanted.select(*scope, root.alias("_root"), _parent(F.col("base")).alias("base")).join(moving, key, "left_semi").select(*scope, "_root").distinct()
-    clash = written(clash)
+    clash = wanted.select(*scope, root.alias("_root"), _parent(F.col("base")).alias("base")).join(merged(moving), key, "left_semi").select(*scope, "_root").distinct()
+    few = lookup(written(clash))
     family = [*scope, "_root"]
     rows = asked.withColumn("_root", root)
-    alone = rows.join(clash, family, "left_anti")
-    kept = alone.join(moving, key, "left_anti").withColumn("id", F.col("base"))
+    alone = rows.join(few, family, "left_anti")
+    kept = alone.join(merged(moving), key, "left_anti").withColumn("id", F.col("base"))
 
-    moved = alone.join(moving, key, "left_semi")
+    moved = alone.join(merged(moving), key, "left_semi")
     asks = ranked(moved.select(*key, *order), key, order).withColumnRenamed("rank", "_at")
     if none_used:  # no gaps
         served = asks.withColumnRenamed("_at", "_number")
     else:
-        served = _fill_gaps(asks, taken.join(moving, key, "left_semi"), key, order)
+        served = _fill_gaps(asks, taken.join(merged(moving), key, "left_semi"), key, order)
     suffixed = F.when(F.col("_number") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", (F.col("_number") + 1).cast("string")))
-    numbered = moved.join(served, [*key, *order]).withColumn("id", suffixed)
+    numbered = moved.join(merged(served), [*key, *order]).withColumn("id", suffixed)
 
     columns = [*asked.columns, "_root"]
     kinds = ", ".join(f"`{c}` {t}" for c, t in asked.select(*scope, "base", *order).dtypes)
@@ -84,9 +84,9 @@ def allocate(asked: DataFrame, scope: list[str], order: list[str], used: DataFra
         a = a.sort_values(order)
         return a[[*scope, "base", *order]].assign(id=_serve(a, u))
 
-    mine = used.withColumn("_root", F.regexp_replace("id", r"(_\d+)+$", "")).join(clash, family, "left_semi")
-    hard = rows.join(clash, family, "left_semi")
+    mine = used.withColumn("_root", F.regexp_replace("id", r"(_\d+)+$", "")).join(few, family, "left_semi")
+    hard = rows.join(few, family, "left_semi")
     folded = hard.select(*family, "base", *order).groupBy(*family).cogroup(mine.groupBy(*family)).applyInPandas(serve, f"{kinds}, id string")
-    resolved = hard.join(folded, [*key, *order])
+    resolved = hard.join(merged(folded), [*key, *order])
     every = [df.select(*columns, "id") for df in (kept, numbered, resolved)]
     return every[0].unionByName(every[1]).unionByName(every[2]).drop("_root")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .cut import lookup, written
+from .cut import lookup, merged, written
 
 PART_SIZE = 10_000
 WINDOW_ROWS = 10_000  # of a key that one task ranks
@@ -26,7 +26,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     by_range = placed.groupBy(*keys, "_range").agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = by_range.select(*keys, "_range", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(firsts, [*keys, "_range"]).withColumn("rank", F.col("_at") - F.col("_from") + F.col("_before")).drop("_at", "_from", "_before", "_range")
+    return placed.join(merged(firsts), [*keys, "_range"]).withColumn("rank", F.col("_at") - F.col("_from") + F.col("_before")).drop("_at", "_from", "_before", "_range")
 
 
 def with_parts(df: DataFrame, keys: list[str], order: list[str], size: int = PART_SIZE) -> DataFrame:

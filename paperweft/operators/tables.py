@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as K, text as X
-from .cut import cut
+from .cut import cut, merged
 from .prefix import running
 
 
@@ -178,7 +178,7 @@ def form_cells(cells: DataFrame) -> DataFrame:
         & F.forall("_m", lambda x: ~F.contains(x["text"], F.lit(":")) & ~(x["value"].isNull() & x["pending"]))
     )
     heads = rows.where("row_no = 0").where(is_header).select(*TABLE, F.col("_t").alias("_h"))
-    rows = rows.join(heads, TABLE, "left")
+    rows = rows.join(merged(heads), TABLE, "left")
     named = keep(F.transform("_t", lambda x, i: F.when(
         (F.col("row_no") > 0) & ~F.get("_used", i) & (F.coalesce(F.get("_h", i), F.lit("")) != ""),
         cell(3, i, F.concat(F.get("_h", i), F.lit(" (row "), F.col("row_no").cast("string"), F.lit(")")), x))))

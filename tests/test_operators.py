@@ -520,10 +520,33 @@ def broadcasts(monkeypatch, make):
     return df, [p for p in plans if "Broadcast" in p]
 
 
-COVERED = [("para", "PROJECT A", False), ("para", "", False), ("table", "a table", False), ("para", "AB-12", True), ("para", "Brand: x", False), ("para", "plain text", True), ("para", "", False)]
+COVERED = [("para", "PROJECT A", False), ("para", "", False), ("table", "a table", False), ("para", "AB-12", True), ("para", "Brand: x", False), ("para", "words, and words!", True), ("para", "", False)]
 
 
 def test_pages_and_cover_titles_send_no_rows_through_the_driver(spark, monkeypatch):
     found, sent = broadcasts(monkeypatch, lambda: D.cover_titles(D.estimate_pages(blocks(spark, COVERED))))
     assert not sent
     assert rows(found, "block_seq", "label") == [(0, "Project Name")]
+
+
+def form(spark, *table):
+    return cells(spark, [[(t, 1, None, None, None) for t in row] for row in table])
+
+
+def test_draft_fields_send_no_rows_through_the_driver(spark, monkeypatch):
+    found, sent = broadcasts(monkeypatch, lambda: S.infer_fields(D.estimate_pages(blocks(spark, COVERED)), form(spark, ["Brand", "Kind", "Size"], ["a", "b", "c"])))
+    assert not sent
+    assert rows(found, "block_seq", "field_label") == [(0, "Project Name"), (2, "Brand (row 1)"), (2, "Kind (row 1)"), (2, "Size (row 1)"), (4, "Brand")]
+
+
+def test_draft_sections_send_no_rows_through_the_driver(spark, monkeypatch):
+    found, sent = broadcasts(monkeypatch, lambda: S.infer_sections(D.estimate_pages(blocks(spark, COVERED)), form(spark, ["Brand", "Kind", "Size"], ["a", "b", "c"])))
+    assert not sent
+    assert rows(found, "section_no", "field_count") == [(0, 4), (1, 1)]
+
+
+def test_static_blocks_send_no_rows_through_the_driver(spark, monkeypatch):
+    found, sent = broadcasts(monkeypatch, lambda: S.static_blocks(D.estimate_pages(blocks(spark, COVERED)), form(spark, ["a table"])))
+    assert not sent
+    assert rows(found, "block_seq", "block_type", "text") == [
+        (1, "paragraph", ""), (2, "table", "a table"), (3, "heading", "AB-12"), (5, "paragraph", "words, and words!")]
