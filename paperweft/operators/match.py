@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed as K, html as H, text as X
-from .cut import written
+from .cut import lookup, merged, written
 from .pages import html_fields
 from .substring import numbered_hits, substring_hits
 
@@ -98,43 +98,39 @@ def _is_cover():
     return F.lower(X.strip(F.coalesce("clause_ref", F.lit("")))).isin(K.COVER_REFS)
 
 
-def fields_in_html(fields: DataFrame, pages: DataFrame, entities: dict[str, str] | None = None) -> DataFrame:
-    """(template_id, page_number, field columns, rule): which fields a page shows, by four rules.
+#: Pairs of field and page up to which a template's fields are looked for on each of its pages.
+PAIRS = 100_000
+_QUOTED = r"(?U)(?:^|[^\w.])\Q", r"\E(?:$|[^\w.])"
 
-    The rules are exclusive per page kind, so each is an equi-join of its own: tagged ids; cover
-    references and known cover labels on page 1; clause references as whole tokens and label plus
-    value on later pages. Label and value look-ups go through the substring join.
-    """
-    key, place = ["template_id", "page_number"], ["template_id", "section_pos", "field_pos"]
-    strip0 = lambda c: X.strip(F.coalesce(c, F.lit("")))
-    f = fields.select(
-        *place, strip0("field_id").alias("field_id"), "section_id", strip0("clause_ref").alias("clause_ref"),
-        F.lower(strip0("field_label")).alias("_label"), F.lower(strip0("default_value")).alias("_value"), _is_cover().alias("_cover"))
-    page = pages.select(*key, "html")
-    tagged = page.select(*key, F.explode(H.tagged_ids("html")).alias("field_id"))
-    on_tag = f.where("field_id <> ''").join(tagged, ["template_id", "field_id"])
-    r1 = on_tag.where("page_number = 1 or not _cover").withColumn("rule", F.lit(1))
 
-    first = page.where("page_number = 1").select(*key, H.html_plain("html", entities).alias("_plain"))
-    known = reduce(lambda a, b: a | b, [F.contains("_label", F.lit(w)) for w in K.COVER_LABEL_WORDS])
-    r2 = f.where(F.col("_cover") | known).join(first, "template_id").where(
-        F.col("_cover") | F.contains("_plain", F.col("_label"))).drop("_plain").withColumn("rule", F.lit(2))
+def _on_pages(fields: DataFrame, later: DataFrame) -> DataFrame:
+    """Fields that later pages cite (rule 3) or show by label and value (rule 4): pages are dealt once, to their template's fields."""
+    columns = ["section_pos", "field_pos", "field_id", "section_id"]
+    sets = fields.groupBy("template_id").agg(F.collect_list(F.struct(*columns, "clause_ref", "_label", "_value")).alias("_fields"))
+    df = X.let(later.join(merged(sets), "template_id"), text=X.normalize("_raw"))
+    cited = lambda x: (x["clause_ref"] != "") & F.contains("_raw", x["clause_ref"]) & F.rlike(
+        F.col("_raw"), F.concat(F.lit(_QUOTED[0]), x["clause_ref"], F.lit(_QUOTED[1])))
+    valued = lambda x: (F.length(x["_value"]) >= 3) & (F.length(x["_label"]) >= 4) & F.contains("text", x["_label"]) & F.contains("text", x["_value"])
+    shown = F.transform("_fields", lambda x: F.struct(*[x[c].alias(c) for c in columns], F.when(cited(x), 3).when(valued(x), 4).alias("rule")))
+    return df.select("template_id", "page_number", F.inline(shown)).where("rule is not null")
 
-    raw = X.let(page.where("page_number > 1").select(*key, "html"), _raw=H.unescape(H.drop_tags("html"), entities))
-    later = written(raw.select(*key, "_raw", X.normalize("_raw").alias("text")))  # read by every rule below
-    rest = f.where("not _cover")
+
+def _on_pages_indexed(fields: DataFrame, later: DataFrame) -> DataFrame:
+    """The same by equality on the runs of clause references and by the substring join: work follows shared words, not pairs."""
+    key = ["template_id", "page_number"]
+    later = written(later.select(*key, "_raw", X.normalize("_raw").alias("text")))  # read by every rule below
     token = r"(?U)([\w.]+)"
     runs = later.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("_raw", F.lit(token), 1))).alias("_run"))
-    cited = rest.where("clause_ref <> ''").withColumn("_runs", F.regexp_extract_all("clause_ref", F.lit(token), 1)).withColumn(
+    cited = fields.where("clause_ref <> ''").withColumn("_runs", F.regexp_extract_all("clause_ref", F.lit(token), 1)).withColumn(
         "_run", F.get("_runs", F.lit(0)))
     plain = cited.where("_run = clause_ref").join(runs, ["template_id", "_run"])
-    quoted = F.concat(F.lit(r"(?U)(?:^|[^\w.])\Q"), F.col("clause_ref"), F.lit(r"\E(?:$|[^\w.])"))
+    quoted = F.concat(F.lit(_QUOTED[0]), F.col("clause_ref"), F.lit(_QUOTED[1]))
     composite = cited.where("_run is not null and _run <> clause_ref").join(runs, ["template_id", "_run"]).join(
         later.select(*key, "_raw"), key).where(F.rlike("_raw", quoted)).drop("_raw")
     symbols = cited.where("_run is null").join(later.select(*key, "_raw"), "template_id").where(F.rlike("_raw", quoted)).drop("_raw")
     r3 = plain.unionByName(composite).unionByName(symbols).drop("_run", "_runs").withColumn("rule", F.lit(3))
 
-    valued = rest.where((F.length("_value") >= 3) & (F.length("_label") >= 4))
+    valued = fields.where((F.length("_value") >= 3) & (F.length("_label") >= 4))
     texts = later.select(*key, "text")
     needles = valued.select("template_id", F.explode(F.array("_label", "_value")).alias("needle"))
     hits = substring_hits(texts, key, needles, scope=["template_id"])
@@ -144,8 +140,44 @@ def fields_in_html(fields: DataFrame, pages: DataFrame, entities: dict[str, str]
         .withColumn("rule", F.lit(4))
     )
     cols = key + ["section_pos", "field_pos", "field_id", "section_id", "rule"]
-    untagged = reduce(DataFrame.unionByName, [r.select(*cols) for r in (r2, r3, r4)]).join(
-        tagged, key + ["field_id"], "left_anti")
+    return r3.select(*cols).unionByName(r4.select(*cols))
+
+
+def fields_in_html(fields: DataFrame, pages: DataFrame, entities: dict[str, str] | None = None) -> DataFrame:
+    """(template_id, page_number, field columns, rule): which fields a page shows, by four rules.
+
+    The rules are exclusive per page kind, so each is an equi-join of its own: tagged ids; cover
+    references and known cover labels on page 1; clause references as whole tokens and label plus
+    value on later pages. The latter meet in pairs of a template's fields and pages, or, where there are more than ``PAIRS``
+    of them, by words.
+    """
+    key, place = ["template_id", "page_number"], ["template_id", "section_pos", "field_pos"]
+    strip0 = lambda c: X.strip(F.coalesce(c, F.lit("")))
+    f = fields.select(
+        *place, strip0("field_id").alias("field_id"), "section_id", strip0("clause_ref").alias("clause_ref"),
+        F.lower(strip0("field_label")).alias("_label"), F.lower(strip0("default_value")).alias("_value"), _is_cover().alias("_cover"))
+    page = pages.select(*key, "html")
+    tagged = page.select(*key, F.explode(H.tagged_ids("html")).alias("field_id"))
+    on_tag = merged(f.where("field_id <> ''")).join(tagged, ["template_id", "field_id"])
+    r1 = on_tag.where("page_number = 1 or not _cover").withColumn("rule", F.lit(1))
+
+    first = page.where("page_number = 1").select(*key, H.html_plain("html", entities).alias("_plain"))
+    known = reduce(lambda a, b: a | b, [F.contains("_label", F.lit(w)) for w in K.COVER_LABEL_WORDS])
+    r2 = merged(f.where(F.col("_cover") | known)).join(first, "template_id").where(
+        F.col("_cover") | F.contains("_plain", F.col("_label"))).drop("_plain").withColumn("rule", F.lit(2))
+
+    later = X.let(page.where("page_number > 1").select(*key, "html"), _raw=H.unescape(H.drop_tags("html"), entities)).select(*key, "_raw")
+    rest = f.where("not _cover")
+    count = lambda df, name: df.groupBy("template_id").agg(F.count("*").alias(name))
+    large = written(count(rest, "_n").join(merged(count(page.where("page_number > 1"), "_m")), "template_id").where(F.col("_n") * F.col("_m") > PAIRS).select("template_id"))
+    if large.isEmpty():
+        r34 = _on_pages(rest, later)
+    else:
+        few = lookup(large)
+        r34 = _on_pages(rest.join(few, "template_id", "left_anti"), later.join(few, "template_id", "left_anti")).unionByName(
+            _on_pages_indexed(rest.join(few, "template_id", "left_semi"), later.join(few, "template_id", "left_semi")))
+    cols = key + ["section_pos", "field_pos", "field_id", "section_id", "rule"]
+    untagged = r2.select(*cols).unionByName(r34.select(*cols)).join(merged(tagged), key + ["field_id"], "left_anti")
     every = r1.select(*cols).unionByName(untagged)
     # a field with an id is shown once per page, an unnamed one once per place
     unnamed = F.when(F.col("field_id") == "", F.struct("section_pos", "field_pos"))
@@ -156,7 +188,7 @@ def fields_in_html(fields: DataFrame, pages: DataFrame, entities: dict[str, str]
 def sections_for(matches: DataFrame, fields: DataFrame) -> DataFrame:
     """Sections that own the matched field ids, with their number of matched fields."""
     ids = matches.where("field_id <> ''").select("template_id", "page_number", "field_id").distinct()
-    return fields.select("template_id", "section_id", "section_name", "field_id").join(ids, ["template_id", "field_id"]).groupBy(
+    return fields.select("template_id", "section_id", "section_name", "field_id").join(merged(ids), ["template_id", "field_id"]).groupBy(
         "template_id", "page_number", "section_id", "section_name").agg(F.count("*").cast("int").alias("field_count"))
 
 

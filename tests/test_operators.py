@@ -578,3 +578,20 @@ def test_row_texts_are_evaluated_once(spark):
     found = D.rows_by_page(blocks(spark, [("para", "x", False), ("table", "", False)]), row_texts, tables, pages)
     assert rows(found, "page_number", "row_text") == [(2, "a b"), (3, "c")]
     assert seen.value == 2  # was more: counted, located and returned
+
+
+def test_page_texts_are_not_written_for_their_fields(spark, monkeypatch):
+    cols = "template_id string, section_pos int, field_pos int, field_id string, section_id string, clause_ref string, field_label string, default_value string"
+    fields = [("", 0, 1, "a", "s", "4.5", "Rated", "none"), ("", 0, 2, "b", "s", "4.5 (b)", "Kind", "x"), ("", 0, 3, "c", "s", "§", "Size", None), ("", 1, 4, "d", "u", None, "Colour", "deep red"), ("", 1, 5, "", "u", "4.50", "Size", "big")]
+    fields = spark.createDataFrame([(t, *f[1:]) for t in "TU" for f in fields], cols)
+    html = ["<p>cover</p>", "<p>see 4.5 (b) and 4.50.</p>", "<p>the COLOUR is  deep <b>red</b> § 4.5</p>", "<p>size: bigger</p>"]
+    pages = spark.createDataFrame([(t, i + 1, h) for t in "TUV" for i, h in enumerate(html[:4 if t == "T" else 3])], "template_id string, page_number int, html string")
+    kept, write = [], M.written
+    for module in (M, substring):
+        monkeypatch.setattr(module, "written", lambda df: (kept.append(df.columns), write(df))[1])
+    found = rows(M.fields_in_html(fields, pages), "template_id", "page_number", "field_id", "rule")
+    assert kept and not any({"_raw", "text", "_needle", "_text"} & set(c) for c in kept)
+    assert [x[1:] for x in found if x[0] == "T"] == [(2, "a", 3), (2, "b", 3), (3, "a", 3), (3, "c", 3), (3, "d", 4), (4, "", 4)]
+    for pairs in (14, 0):  # the first template, then both, by words
+        monkeypatch.setattr(M, "PAIRS", pairs)
+        assert rows(M.fields_in_html(fields, pages), "template_id", "page_number", "field_id", "rule") == found
