@@ -23,6 +23,10 @@ def template_signals(templates: DataFrame, fields: DataFrame) -> DataFrame:
     return titles.unionByName(numbers.where("needle <> ''")).unionByName(labels)
 
 
+#: Consecutive pages of a document that one task may get.
+STRETCH = 4_096
+
+
 def detect_specifications(pages: DataFrame, signals: DataFrame) -> DataFrame:
     """(doc_id, template_id, match_status, match_confidence, matched_pages) for every pair with a hit.
 
@@ -30,21 +34,36 @@ def detect_specifications(pages: DataFrame, signals: DataFrame) -> DataFrame:
     counted by ``detection_counts`` rather than written out, so the output follows the hits and not
     documents x templates.
     """
-    # the join reads texts two or three times; they are had and normalized once
-    texts = written(pages.select("doc_id", "page_number", X.normalize("text").alias("text")))
-    hits, needles = numbered_hits(texts, ["doc_id", "page_number"], signals)
+    # texts are had and normalized once and dealt once, by document and stretch of pages: hits, which are many times their
+    # texts, then meet templates and are counted where they are found
+    stretch = F.coalesce(F.floor(F.col("page_number") / STRETCH), F.lit(0))
+    texts = pages.select("doc_id", "page_number", stretch.alias("_stretch"), X.normalize("text").alias("text")).repartition("doc_id", "_stretch")
+    hits, needles = numbered_hits(texts, ["doc_id", "_stretch", "page_number"], signals)
     # pages of a needle as bits of 64-page words: rows shrink to document x needle before they meet the templates
     word, bit = F.floor(F.col("page_number") / 64).cast("int"), F.expr("shiftleft(1L, cast(pmod(page_number, 64) as int))")
-    sets = hits.groupBy("doc_id", "_id", word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    wanted = needles.join(signals, "needle").select("_id", "template_id", "kind")
-    merged = sets.join(wanted, "_id").groupBy("doc_id", "template_id", "_word").agg(
+    sets = hits.groupBy("doc_id", "_stretch", "_id", word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    wanted = lookup(needles.join(signals, "needle").select("_id", "template_id", "kind"))
+    by_word = sets.join(wanted, "_id").groupBy("doc_id", "_stretch", "template_id", "_word").agg(
         F.max(F.col("kind") == "title").alias("title_hit"), F.max(F.col("kind") == "number").alias("number_hit"),
         F.sum(F.when(F.col("kind") == "label", F.bit_count("_bits")).otherwise(0)).alias("label_hits"), F.bit_or("_bits").alias("_bits"))
     on = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("_bits", i) == 1)
-    found = merged.groupBy("doc_id", "template_id").agg(
-        F.max("title_hit").alias("title_hit"), F.max("number_hit").alias("number_hit"), F.sum("label_hits").alias("label_hits"),
-        F.sort_array(F.flatten(F.collect_list(F.transform(on, lambda i: (F.col("_word") * 64 + i).cast("int"))))).alias("matched_pages"))
-    n_labels = signals.groupBy("template_id").agg(F.count_if(F.col("kind") == "label").alias("n_labels"))
+    by_word = by_word.withColumn("matched_pages", F.transform(on, lambda i: (F.col("_word") * 64 + i).cast("int")))
+
+    def together(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(
+            F.max("title_hit").alias("title_hit"), F.max("number_hit").alias("number_hit"), F.sum("label_hits").alias("label_hits"),
+            F.sort_array(F.flatten(F.collect_list("matched_pages"))).alias("matched_pages"))
+
+    found = together(by_word, "doc_id", "_stretch", "template_id")
+    # only documents of several stretches are dealt again
+    extent = pages.groupBy("doc_id").agg(F.min(stretch).alias("_low"), F.max(stretch).alias("_high"))
+    long = written(extent.where("_low < _high").select(F.col("doc_id").alias("_long")))
+    if long.isEmpty():
+        found = found.drop("_stretch")
+    else:
+        long, same = lookup(long), F.col("doc_id").eqNullSafe(F.col("_long"))
+        found = found.join(long, same, "left_anti").drop("_stretch").unionByName(together(found.join(long, same, "left_semi"), "doc_id", "template_id"))
+    n_labels = lookup(signals.groupBy("template_id").agg(F.count_if(F.col("kind") == "label").alias("n_labels")))
     signal = F.least(F.lit(1.0), F.col("label_hits") / F.greatest("n_labels", F.lit(1)))
     confidence = (
         F.when(F.col("title_hit"), 0.75 + F.when(F.col("number_hit"), 0.15).otherwise(0.0) + 0.10 * F.col("_s"))

@@ -10,6 +10,9 @@ So needles are compared with the *vocabulary* (distinct words) and only then, by
 word, with the texts. Needles of three or more words are anchored on their rarest inner word, and
 are dropped when one of those words never occurs. One-word hits are exact; the others are verified
 on the text itself. The work follows the number of (text, word) pairs and of true hits.
+
+Needles without scopes that are few enough for a broadcast, however many texts there are, meet the texts where these
+are: each word of a text looks its grams up among the needles' grams. Texts are read once, and nothing is dealt or written.
 """
 
 from __future__ import annotations
@@ -40,6 +43,48 @@ def _grams(word, sizes):
     return F.array_distinct(F.filter(F.concat(*parts), lambda g: g.isNotNull()))
 
 
+def _probes(wanted: DataFrame) -> DataFrame:
+    """(_mode, _word, _id, _needle, _gram): the word by which a needle is looked up in a text's words, and the gram of it that leads there.
+
+    Of three words or more it is the inner word that fewest needles have, and of these the longest; it must be a whole word. _needle
+    is NULL where the word decides.
+    """
+    inner = wanted.where(F.size("_w") >= 3).select("_id", "_needle", F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.size("_w") - 2))).alias("_word"))
+    spread = inner.groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = inner.join(spread, "_word").groupBy("_id", "_needle").agg(F.min_by("_word", F.struct("_n", -F.length("_word"), "_word")).alias("_word"))
+    first, last = F.get("_w", F.lit(0)), F.get("_w", F.size("_w") - 1)
+    longer = F.length(first) >= F.length(last)
+    mode = F.when(F.size("_w") == 1, "in").when(longer, "end").otherwise("start")
+    short = wanted.where(F.size("_w") <= 2).select(
+        mode.alias("_mode"), F.when((F.size("_w") == 1) | longer, first).otherwise(last).alias("_word"), "_id", F.when(F.size("_w") > 1, F.col("_needle")).alias("_needle"))
+    every = rarest.select(F.lit("whole").alias("_mode"), "_word", "_id", "_needle").unionByName(short)
+    size = F.least(F.length("_word"), F.lit(_GRAM))
+    return every.withColumn("_gram", F.when(F.col("_mode") == "whole", F.col("_word")).when(F.col("_mode") == "end", F.right("_word", size)).otherwise(F.left("_word", size)))
+
+
+def _met_in_place(texts: DataFrame, ident: list[str], probes: DataFrame) -> DataFrame:
+    """Hits of a text's words among broadcast probes; a text travels along inside the generated code."""
+    size = F.when(F.col("_mode") != "whole", F.length("_gram"))
+    kinds = probes.select("_mode", size.alias("_size")).distinct().collect()
+    word, key = F.col("_at"), lambda mode, gram: F.concat(F.lit(f"{mode} "), gram)
+
+    def keys(mode: str, n: int | None):
+        if mode == "in":
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))), lambda i: key(mode, F.substring(word, i, F.lit(n))))
+        return F.array(key(mode, word if mode == "whole" else F.left(word, F.lit(n)) if mode == "start" else F.right(word, F.lit(n))))
+
+    every = [keys(k["_mode"], k["_size"]) for k in kinds] or [F.array().cast("array<string>")]
+    words = texts.select(*ident, "_text", F.explode(F.array_distinct(F.split("_text", " "))).alias("_at")).where("_at <> ''")
+    asked = words.select(*ident, "_text", "_at", F.explode(F.array_distinct(F.concat(*every))).alias("_key"))
+    given = probes.select(F.concat("_mode", F.lit(" "), "_gram").alias("_key"), "_mode", "_word", "_id", "_needle")
+    fits = (
+        F.when(F.col("_mode") == "in", F.contains("_at", F.col("_word")))
+        .when(F.col("_mode") == "start", F.startswith("_at", F.col("_word")))
+        .when(F.col("_mode") == "end", F.endswith("_at", F.col("_word"))).otherwise(True))
+    holds = F.col("_needle").isNull() | F.contains("_text", F.col("_needle"))
+    return asked.join(F.broadcast(given), "_key").where(fits & holds).select(*ident, "_id")
+
+
 def substring_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope: list[str] | None = None,
                    text: str = "text", needle: str = "needle") -> DataFrame:
     """Distinct ``(key, scope, needle)`` with ``needle`` contained in ``text``.
@@ -64,6 +109,11 @@ def numbered_hits(texts: DataFrame, key: list[str], needles: DataFrame, scope: l
     pieces = F.filter(F.split("_needle", " "), lambda w: w != "")
     # numbered once (writing fixes the numbers), so that the many raw hits carry a number, not a text
     wanted = written(wanted.withColumn("_w", pieces).where(F.size("_w") > 0).withColumn("_id", F.monotonically_increasing_id()))
+    if not scope:
+        probes = written(_probes(wanted))
+        if fits_broadcast(probes):
+            return _met_in_place(texts, ident, probes), wanted.select("_id", F.col("_needle").alias(needle))
+        texts = written(texts)  # read several times below
 
     words = texts.select(*ident, F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")).where("_word <> ''")
     vocabulary = written(words.groupBy(*scope, "_word").agg(F.count("*").alias("_df")))

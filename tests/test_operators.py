@@ -595,3 +595,23 @@ def test_page_texts_are_not_written_for_their_fields(spark, monkeypatch):
     for pairs in (14, 0):  # the first template, then both, by words
         monkeypatch.setattr(M, "PAIRS", pairs)
         assert rows(M.fields_in_html(fields, pages), "template_id", "page_number", "field_id", "rule") == found
+
+
+def test_detection_deals_texts_once_and_writes_none(spark, monkeypatch):
+    """Few needles meet the texts in place; only documents of several stretches of pages are dealt again."""
+    pages = spark.createDataFrame([(d, n, "the Long title here" if n % 2 else "part no 7 overparted") for d, n in [(1, 1), (1, 2), (1, 9), (2, 3), (3, 4), (None, 1), (None, 9)]], "doc_id long, page_number int, text string")
+    signals = spark.createDataFrame([("T", "title", "the long title here"), ("T", "label", "part no"), ("T", "label", "part"), ("U", "label", "title here"), ("U", "number", "absent")], "template_id string, kind string, needle string")
+    kept, write = [], substring.written
+    for module in (M, substring):
+        monkeypatch.setattr(module, "written", lambda df: (kept.append(df.columns), write(df))[1])
+    found = M.detect_specifications(pages, signals)
+    assert kept and not any({"text", "_text"} & set(c) for c in kept)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1  # was one for each of three counts
+    columns = ["doc_id", "template_id", "match_status", "match_confidence", "matched_pages"]
+    want = sorted(map(str, found.select(columns).collect()))
+    assert len(want) == 7 and "matched_pages=[1, 2, 9])" in want[0]
+    monkeypatch.setattr(M, "STRETCH", 4)
+    assert sorted(map(str, M.detect_specifications(pages, signals).select(columns).collect())) == want
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)  # needles too many for a broadcast
+    assert sorted(map(str, M.detect_specifications(pages, signals).select(columns).collect())) == want
